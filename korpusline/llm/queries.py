@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusline.functions.session import table
-from korpusline.llm import corpus_encoding, leaked_passages, near_duplicates, similar_vectors, split_oversized
+from korpusline.llm import corpus_encoding, garbled_texts, leaked_passages, near_duplicates, scanned_pages, similar_vectors, split_oversized, truncated_texts
 
 #: TESTDATA.md states three words and 0.7 for problem 3.
 CHUNK_PAIRS = near_duplicates.NearConfig(shingle=3, threshold=0.7)
@@ -26,6 +26,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized.split_oversized(_items(spark, d)).dropDuplicates(["item_kind", "item_id", "piece_no"])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_texts.garbled_texts(table(spark, d, "elements")).select("id")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_texts.restored_texts(table(spark, d, "elements"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, d, "chunks"), CHUNK_PAIRS)
 
@@ -43,6 +51,18 @@ def p4_knn(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.knn_scan(vectors.filter(F.pmod("key", F.lit(20)) == 0), vectors)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned_pages.noisy_pages(table(spark, d, "elements")).select("id")
+
+
+def p5_traces(spark: SparkSession, d: str) -> DataFrame:
+    return scanned_pages.noisy_pages(table(spark, d, "elements"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scanned_pages.repaired_paragraphs(table(spark, d, "elements"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -55,8 +75,20 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts.truncated_texts(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts.truncated_texts(table(spark, d, "documents"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts.truncation_by_source(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_knn, p6_ids, p7_found, p7_leaks)
+    own = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_groups, p4_found, p4_knn, p5_found, p5_traces, p5_paragraphs, p6_ids, p7_found, p7_leaks, p8_found, p8_reasons, p8_sources)
     return {f.__name__: f for f in own}
 
 
