@@ -59,6 +59,13 @@ SHAPE = re.compile(rf"(?:[{RUSSIAN}]+|[{LATIN}{GERMAN}]+)\Z")
 #: Damage that no writing has: replacement characters, control characters, letters lost to question marks.
 DAMAGE = re.compile(r"�|[\x80-\x9f]|\?{4,}|[^\W\d_]\?[^\W\d_]|(?<![\w?])\?{2,}(?=[\s.,;:]+\?{2,})|(?<!\S)\?{3}(?=[ .,;])")
 
+#: Signs where no writing has them: glued to letters, or a closing quotation mark before a letter.
+MISPLACED = re.compile(r"(?<=[^\W\d_])[€©®µ‘“„](?=[^\W\d_]|\W|\Z)|[€©®](?=[^\W\d_])|(?:(?<=\s)|\A)[»”’](?=[^\W\d_])")
+#: Evidence from which a text counts as garbled; what a wholly garbled word or multi-byte sign gives.
+WHOLE = 3.0
+#: A letter that leads a multi-byte symbol, beside a sign.
+LEAD = re.compile(r"[РСВвÐÑÂÃâ╨╤т][^\w\s.,;:()/\-\"?!%=+]")
+
 
 def decoded(page: str, byte: int) -> str:
     """The character a page shows for a byte; an unused byte shows as the control character of its number."""
@@ -154,7 +161,8 @@ class Model:
         self.by_source: dict[str, list[tuple[str, Cipher]]] = defaultdict(list)
         for (source, name), cipher in ciphers.items():
             self.by_source[source].append((name, cipher))
-        self.seen: dict[tuple[str, str], tuple[str, str] | None] = {}
+        self.seen: dict[tuple[str, str], list[tuple[str, str, float]]] = {}
+        self.spoilt: dict[tuple[str, str, str], bool] = {}
 
     def score(self, text: str) -> float:
         """Mean log-probability of a letter of the token's words; signs inside words count as letters of no language."""
@@ -168,31 +176,29 @@ class Model:
 
     def odd(self, token: str) -> int:
         """Characters of no alphabet here, and neither digits nor ordinary signs."""
-        return sum(1 for c in token if ord(c) > 127 and c.lower() not in INDEX and c not in SIGNS and c != "\xa0")
+        strange = sum(1 for c in token if ord(c) > 127 and c.lower() not in INDEX and c not in SIGNS and c != "\xa0")
+        return strange + len(MISPLACED.findall(token))
 
     def penalty(self, token: str) -> float:
         """score less what oddity costs: strange characters among or beside letters, and signs inside words."""
         inner = len(re.findall(r"(?<=[^\W\d_])[^\w\s\-–—/.,:;()«»\"'’…&@+=|~^■>*](?=[^\W\d_])", token))
         return self.score(token) - 3.0 * (self.odd(token) + inner) / max(4, len(token))
 
-    def verdict(self, source: str, token: str) -> tuple[str, str] | None:
-        """(cipher, translated token) of a garbled token."""
+    def readings(self, source: str, token: str) -> list[tuple[str, str, float]]:
+        """(cipher, translated token, weight) of every cipher under which a token that looks wrong reads naturally, best first."""
         key = (source, token)
-        if key in self.seen:
-            return self.seen[key]
-        if len(self.seen) > 400_000:
-            self.seen.clear()
-        self.seen[key] = found = self._verdict(source, token)
+        found = self.seen.get(key)
+        if found is None:
+            if len(self.seen) > 400_000:
+                self.seen.clear()
+            found = self.seen[key] = [] if token.isascii() else self._readings(source, token)
         return found
 
-    def _verdict(self, source: str, token: str) -> tuple[str, str] | None:
-        if token.isascii():
-            return None
-        own = self.penalty(token)
-        odd = self.odd(token)
-        if own >= self.cfg.natural and not odd and not re.search(r"[РСВвÐÑÂÃâ╨╤][^\w\s.,;:()/\-]", token):
-            return None
-        best: tuple[float, str, str] | None = None
+    def _readings(self, source: str, token: str) -> list[tuple[str, str, float]]:
+        own, odd = self.penalty(token), self.odd(token)
+        if own >= self.cfg.natural and not odd and not LEAD.search(token):
+            return []
+        out = []
         chars = set(token)
         for name, cipher in self.by_source.get(source, ()):
             if not chars & cipher.heads:
@@ -200,22 +206,67 @@ class Model:
             text = cipher.apply(token)
             if text == token:
                 continue
-            if not any(c.isalpha() for c in text):
-                # signs only: the symbols must be of several characters and leave nothing strange
-                good = bool(cipher.pattern) and self.odd(text) == 0 and (odd > 0 or any(c.isalpha() for c in token))
-                value = 0.0 if good else -99.0
-            else:
-                value = self.penalty(text)
-                letters = sum(c.isalpha() for c in text)
-                if cipher.pattern and self.odd(text) < odd and value >= self.cfg.natural - 0.7:
-                    good = True
-                elif cipher.pattern and letters >= 1 and len(token) - len(text) >= max(1, letters // 2) and value >= self.cfg.natural - 0.7 and own < value:
-                    good = True
-                else:
-                    good = letters >= 4 and value >= self.cfg.natural and value - own >= self.cfg.gain
-            if good and (best is None or value > best[0]):
-                best = (value, name, text)
-        return best and best[1:]
+            letters = sum(c.isalpha() for c in text)
+            value = self.penalty(text) if letters else 0.0
+            if cipher.pattern:
+                # symbols that show: with strange characters, or letters beside signs inside them
+                shows = sum(1 for m in cipher.pattern.finditer(token) if self.odd(m[0]) or not m[0].isalnum())
+                if shows and self.odd(text) == 0 and (not letters or value >= self.cfg.natural - 0.7) and (odd or value > own or not letters):
+                    out.append((value, name, text, WHOLE))
+                elif letters >= 3 and value >= self.cfg.natural and value - own >= self.cfg.gain and not self.odd(text):
+                    out.append((value, name, text, WHOLE if shows or letters >= 5 else 1.0))
+            elif letters >= 3 and value >= self.cfg.natural and value - own >= self.cfg.gain:
+                changed = sum(c in cipher.table for c in token if c.isalpha() or ord(c) > 127) / max(1, sum(c.isalpha() or ord(c) > 127 for c in token))
+                out.append((value, name, text, WHOLE if changed > 0.6 and letters >= 5 else 1.0))
+        return [x[1:] for x in sorted(out, reverse=True)]
+
+    def verdict(self, source: str, token: str) -> tuple[str, str] | None:
+        """(cipher, translated token) of a token that looks wrong and that a cipher explains."""
+        found = self.readings(source, token)
+        return found[0][:2] if found else None
+
+    def worse(self, source: str, name: str, token: str) -> bool:
+        """Whether the cipher spoils a token that reads naturally as it is."""
+        key = (source, name, token)
+        found = self.spoilt.get(key)
+        if found is None:
+            if len(self.spoilt) > 400_000:
+                self.spoilt.clear()
+            text = self.ciphers[source, name].apply(token)
+            found = self.spoilt[key] = text != token and self.penalty(text) < self.penalty(token) - 0.5
+        return found
+
+    def row(self, source: str, tokens: list[str]) -> set[str]:
+        """The ciphers that a text shows: a run of tokens whose evidence for the cipher, less that against it, is enough.
+
+        A foreign name that some cipher happens to explain stands among words that this cipher spoils.
+        """
+        gains: dict[str, dict[int, float]] = defaultdict(dict)
+        for at, token in enumerate(tokens):
+            for name, _, weight in self.readings(source, token):
+                gains[name][at] = weight
+        out: dict[str, float] = {}
+        for name, own in gains.items():
+            if len(own) == 1 and sum(own.values()) < WHOLE:
+                continue
+            best = run = 0.0
+            met: set[str] = set()
+            for at, token in enumerate(tokens):
+                if at in own:
+                    if token not in met:
+                        met.add(token)
+                        run += own[at]
+                        best = max(best, run)
+                elif not token.isascii() and self.worse(source, name, token):
+                    run = max(0.0, run - 1.5)
+                    if not run:
+                        met.clear()
+            if best >= WHOLE:
+                out[name] = sum(own.values())
+        most = max(out.values(), default=0)
+        equal = sorted(name for name, value in out.items() if value == most)
+        text = " ".join(tokens)
+        return {max(equal, key=lambda name: self.penalty(self.ciphers[source, name].apply(text)))} if equal else set()
 
 
 def source_name(cfg: GarbleConfig):
@@ -396,24 +447,26 @@ def judged(elements: DataFrame, cfg: GarbleConfig, restore: bool) -> DataFrame:
                     if DAMAGE.search(text):
                         rows.append((key, source, text if restore else None, "damage", False))
                     continue
-                names = set()
-                parts = SPLIT.split(text)
-                for token in parts:
-                    found = own.verdict(source, token)
-                    if found:
-                        names.add(found[0])
+                names = own.row(source, SPLIT.split(text))
                 lost = bool(DAMAGE.search(text))
                 if not names and not lost:
                     continue
                 fixed = None
                 if restore:
-                    fixed = re.sub(r"[^ \t\r\n]+", lambda m: (own.verdict(source, m[0]) or (0, m[0]))[1], text)
-                    # short tokens of a text that one cipher has garbled are translated with it
-                    if len(names) == 1 and not own.ciphers[source, next(iter(names))].pattern:
-                        whole = own.ciphers[source, next(iter(names))].apply(text)
-                        if own.score(whole) >= own.score(fixed):
+
+                    def translated(m: re.Match) -> str:
+                        for name, token, _ in own.readings(source, m[0]):
+                            if name in names:
+                                return token
+                        return m[0]
+
+                    fixed = re.sub(r"[^ \t\r\n]+", translated, text)
+                    # the short and unsure tokens of a wholly garbled text are translated with the rest
+                    for name in sorted(names):
+                        whole = own.ciphers[source, name].apply(text)
+                        if own.penalty(whole) >= own.penalty(fixed):
                             fixed = whole
-                rows.append((key, source, fixed, ", ".join(sorted(names)) or "damage", not (lost and "�" in (fixed or text))))
+                rows.append((key, source, fixed, ", ".join(sorted(names)) or "damage", not DAMAGE.search(fixed) if restore else not lost))
             yield pd.DataFrame(rows, columns=["id", "source_type", "restored", "cipher", "whole"])
 
     rows = source.filter(F.length("text") > 0).select("id", source_name(cfg).alias("source"), "text")

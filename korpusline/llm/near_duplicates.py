@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusline.functions.session import cut, spread
@@ -28,13 +28,15 @@ from korpusline.llm.words import WordHashes, mix, shingles, words
 @dataclass(frozen=True)
 class NearConfig:
     """shingle: successive words; threshold: least Jaccard similarity; bands of `rows` values each from
-    bands * rows / 2 permutations; hot: texts of a band value above which the prefix filter pairs them."""
+    bands * rows / 2 permutations; hot: texts of a band value above which the prefix filter pairs them;
+    slots: bits of the bitmap of texts to fetch."""
 
     shingle: int = 5
     threshold: float = 0.8
-    bands: int = 28
-    rows: int = 4
+    bands: int = 32
+    rows: int = 5
     hot: int = 200
+    slots: int = 1 << 23
     seed: int = 7
 
     @property
@@ -84,12 +86,8 @@ def band_hashes(signatures: np.ndarray, cfg: NearConfig) -> np.ndarray:
     return out
 
 
-def _id_hash(column: str) -> Column:
-    return F.xxhash64(column)
-
-
-def banded(rows: DataFrame, cfg: NearConfig) -> DataFrame:
-    """(id, bands) of every text with at least one shingle."""
+def banded(texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(key, bands) of every text class with at least one shingle, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -97,9 +95,9 @@ def banded(rows: DataFrame, cfg: NearConfig) -> DataFrame:
             values, counts = batch_shingles(batch.column(1).to_pylist(), cfg.shingle, hashes)
             keys = band_hashes(minmax_signatures(values, counts, cfg), cfg).view(np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), cfg.bands).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(counts > 0)), lists], ["id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(counts > 0)), lists], ["key", "bands"])
 
-    return rows.select("id", "text").mapInArrow(run, "id string, bands array<bigint>")
+    return texts.select("key", "text").mapInArrow(run, "key bigint, bands array<bigint>").dropDuplicates(["key"])
 
 
 def _hot_pairs(hot: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
@@ -118,8 +116,7 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
             lists = [values[a : a + n].view(np.int64) for a, n in zip(at, prefix)]
             yield pd.DataFrame({"key": batch.key, "size": counts, "prefix": lists})
 
-    keys = hot.select("key").distinct()
-    prefixes = texts.join(keys, "key", "left_semi").select("key", "text").mapInPandas(run, "key bigint, size bigint, prefix array<bigint>")
+    prefixes = texts_of(hot.select("key"), texts, cfg).mapInPandas(run, "key bigint, size bigint, prefix array<bigint>")
     token = hot.join(prefixes, "key").select("key", "size", F.explode(F.transform("prefix", lambda x: F.xxhash64("band", x))).alias("token"))
     a, b = token.alias("a"), token.alias("b")
     return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.size") >= cfg.threshold * F.col("b.size")) & (F.col("b.size") >= cfg.threshold * F.col("a.size"))).select(
@@ -127,21 +124,44 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
     )
 
 
-def candidate_pairs(texts: DataFrame, bands: DataFrame, cfg: NearConfig) -> DataFrame:
+def texts_of(keys: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(key, text) of the given keys, once each.
+
+    A bitmap of fixed size (never more rows than it has bits reach the driver) keeps most other texts
+    out of the shuffle; the join decides.
+    """
+    table = keys.select(F.pmod("key", F.lit(cfg.slots)).cast("int").alias("slot")).distinct().toArrow()
+    bits = np.zeros(cfg.slots, bool)
+    bits[table.column(0).to_numpy()] = True
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % cfg.slots
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    near = texts.select("key", "text").mapInArrow(run, "key bigint, text string")
+    return near.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+
+
+def candidate_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
     """Distinct (key_a, key_b) of texts that agree in a band."""
-    member = bands.select("key", F.explode("bands").alias("band"))
-    counted = member.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
-    some = counted.filter(F.col("n") <= cfg.hot)
+    member = banded(texts, cfg).select("key", F.explode("bands").alias("band"))
+    # most band values belong to one text only; what is kept is small beside the texts
+    shared = cut(member.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1"))
+    some = shared.filter(F.col("n") <= cfg.hot)
     a, b = some.alias("a"), some.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-    return pairs.unionByName(_hot_pairs(counted.filter(F.col("n") > cfg.hot).select("key", "band"), texts, cfg)).distinct()
+    hot = shared.filter(F.col("n") > cfg.hot).select("key", "band")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(hot, texts, cfg))
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
     """(key_a, key_b, similarity) of the pairs whose texts reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    held = texts.join(wanted, "key", "left_semi").select("key", "text")
-    both = pairs.join(held.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(held.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    held = texts_of(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")), texts, cfg)
+    both = pairs.join(held.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b").join(held.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").select("key_a", "key_b", "text_a", "text_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -170,19 +190,14 @@ def near_duplicates(rows: DataFrame, cfg: NearConfig = NearConfig()) -> NearDupl
     """Similar texts of a table (id string, text string; further columns are ignored).
 
     Equal texts form one class (members) and are compared once, through the class; links join
-    different texts. Null texts, and texts with fewer words than a shingle, have no shingles and take
-    no part. A repeated id counts once. An empty table gives empty results.
+    different texts. A class is named by a 64-bit hash of its text. Null texts, and texts with fewer
+    words than a shingle, have no shingles and take no part. A repeated id counts once. An empty table
+    gives empty results.
     """
     several = r"[\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){%d}" % (cfg.shingle - 1)
-    source = spread(rows.select("id", "text").filter(F.col("text").rlike(several)))
-    members = source.select("id", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"))
-    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    texts = source.select(_id_hash("id").alias("key"), "id", "text")
-    bands = banded(source, cfg).join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]).select(_id_hash("id").alias("key"), "bands")
-    pairs = cut(candidate_pairs(texts.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), bands, cfg))
-    links = verified(pairs, texts.dropDuplicates(["key"]), cfg)
-    of_class = members.join(classes.select("h1", "h2", _id_hash("id").alias("key")), ["h1", "h2"]).select("id", "key").distinct()
-    return NearDuplicates(of_class, links)
+    texts = spread(rows.select("id", "text").filter(F.col("text").rlike(several))).select("id", F.xxhash64("text").alias("key"), "text")
+    pairs = cut(candidate_pairs(texts, cfg))
+    return NearDuplicates(texts.select("id", "key").distinct(), verified(pairs, texts, cfg))
 
 
 def similar_pairs(rows: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:

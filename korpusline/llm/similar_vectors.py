@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusline.functions.session import cut, spread
+from korpusline.functions.session import cut, spread, written
 
 
 @dataclass(frozen=True)
@@ -29,18 +29,19 @@ class KnnConfig:
     """k: neighbours; min_cosine: cosine that linked vectors have at least; cell_rows: vectors of a cell;
     probes: cells a query visits; sample_rows: vectors the centres are fitted on, at most (every row is
     indexed); max_cells: bound of the broadcast centres; bound: standard errors by which an estimate may
-    be off in similar_in_cells, scan_bound: in knn_scan; block_rows: rows of one block of work."""
+    be off in similar_in_cells, scan_bound: in knn_scan; block_rows: rows of one block of work; slots: bits
+    of the bitmap of vectors to fetch."""
 
     k: int = 5
     min_cosine: float = 0.90
     cell_rows: int = 400
-    probes: int = 12
+    probes: int = 5
     sample_rows: int = 20_000
     max_cells: int = 20_000
     bound: float = 3.5
     scan_bound: float = 1.3
     block_rows: int = 8192
-    salts: int = 32
+    slots: int = 1 << 23
     seed: int = 11
 
 
@@ -113,121 +114,149 @@ def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def entries(vectors: DataFrame, cfg: KnnConfig) -> DataFrame:
-    """(field, vid, vec, keys, copies): each different vector once, with its k + 1 smallest keys, which
-    are all that any row can have as neighbours there.
+    """(field, vid, vec, keys): each different vector once, with its k + 1 smallest keys, which are all
+    that any row can have as neighbours there.
 
-    The smallest keys are found by salt first and then together, so no task holds all copies.
+    The rank limit is applied before the shuffle too, so no task gets all copies of a vector.
     """
-    copies = Window.partitionBy("field", "vid", "salt").orderBy("key")
-    salted = vectors.withColumn("vid", F.xxhash64("vec")).dropDuplicates(["field", "vid", "key"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(cfg.salts)))
-    least = salted.withColumn("n", F.row_number().over(copies)).filter(F.col("n") <= cfg.k + 1)
-    return least.groupBy("field", "vid").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.collect_list("key")), 1, cfg.k + 1).alias("keys"))
+    rank = F.dense_rank().over(Window.partitionBy("field", "vid").orderBy("key"))
+    least = vectors.withColumn("vid", F.xxhash64("vec")).withColumn("n", rank).filter(F.col("n") <= cfg.k + 1)
+    return least.groupBy("field", "vid").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("key")).alias("keys"))
 
 
-def fitted_centres(held: DataFrame, cfg: KnnConfig) -> dict[str, np.ndarray]:
-    """Centres of the cells of each field, fitted on a sample by hash of at most cfg.sample_rows vectors."""
+@dataclass(frozen=True)
+class Cells:
+    """The centres of one field, and into how many blocks each cell's vectors are cut."""
+
+    points: np.ndarray
+    blocks: np.ndarray
+
+
+def fitted_cells(held: DataFrame, cfg: KnnConfig) -> dict[str, Cells]:
+    """Cells of each field, fitted on a sample by hash of about cfg.sample_rows vectors.
+
+    A cell that the sample shows to hold far more than its share is cut into blocks, so that no task
+    gets a group of unbounded size.
+    """
     out = {}
-    for field, n in sorted((r["field"], r["count"]) for r in held.groupBy("field").count().collect()):
-        cells = max(1, min(cfg.max_cells, n // cfg.cell_rows))
+    for name, n in sorted((r["field"], r["count"]) for r in held.groupBy("field").count().collect()):
+        number = max(1, min(cfg.max_cells, n // cfg.cell_rows))
         share = min(1.0, cfg.sample_rows / n)
-        chosen = held.filter((F.col("field") == field) & (F.pmod(F.xxhash64("vid", F.lit(cfg.seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+        chosen = held.filter((F.col("field") == name) & (F.pmod(F.xxhash64("vid", F.lit(cfg.seed)), F.lit(1 << 20)) <= int(share * (1 << 20))))
         table = chosen.select("vec").limit(2 * cfg.sample_rows).toArrow()
-        sample = table.column(0).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1), np.float32)
-        out[field] = centres(np.ascontiguousarray(sample), cells, cfg.seed)
+        if not table.num_rows:
+            continue
+        sample = np.ascontiguousarray(table.column(0).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1))
+        points = centres(sample, number, cfg.seed)
+        size = np.bincount(np.argmax(sample @ points.T, axis=1), minlength=len(points)) * (n / len(sample))
+        out[name] = Cells(points, np.ceil(np.maximum(size, 1) / cfg.block_rows).astype(np.int64))
     return out
 
 
-def _coded(held: DataFrame, centre_of: dict[str, np.ndarray], cfg: KnnConfig) -> DataFrame:
-    """(field, cell, vid, role, bits, length, dot): each vector in its own cell (role 0), and as a query in
-    the cfg.probes nearest (role 1); bits, residual length and product with the centre are those of that cell."""
-    sent = held.sparkSession.sparkContext.broadcast(centre_of)
+#: The bits of a group's number that hold the block.
+BLOCK_BITS = 20
+
+
+def _coded(held: DataFrame, cells: dict[str, Cells], cfg: KnnConfig) -> DataFrame:
+    """(field, group, vid, code): each vector in its own cell, and as a query in the cfg.probes nearest.
+
+    code: the role (0 stored, 1 query), the length of the residual to that cell's centre and the product
+    with the centre as 32-bit floats, and the packed bits.
+    """
+    sent = held.sparkSession.sparkContext.broadcast(cells)
+
+    def rows_of(name: str, ids: np.ndarray, group: np.ndarray, role: int, length: np.ndarray, dot: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        packed = np.concatenate([np.full((len(ids), 1), role, np.uint8), np.stack([length, dot], 1).astype(np.float32).view(np.uint8), bits.view(np.uint8)], axis=1)
+        code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(ids), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(group), pa.array(ids), code], ["field", "group", "vid", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = batch.column(0).to_pylist()
+            fields = np.array(batch.column(0).to_pylist(), object)
             vids = batch.column(1).to_numpy()
             vectors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for field in sorted(set(fields)):
-                own = np.array([x == field for x in fields])
-                mine, ids, points = vectors[own], vids[own], sent.value[field]
+            for name in sorted(set(fields)):
+                own = fields == name
+                mine, ids, cell_of = vectors[own], vids[own], sent.value[name]
                 turn = rotation(mine.shape[1], cfg.seed)
-                near = mine @ points.T
-                probes = min(cfg.probes, len(points))
+                near = mine @ cell_of.points.T
+                probes = min(cfg.probes, near.shape[1])
                 best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-                order = np.argsort(-np.take_along_axis(near, best, 1), axis=1)
-                best = np.take_along_axis(best, order, 1)
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1), 1)
                 for rank in range(probes):
-                    cell = best[:, rank]
-                    bits, length = codes(mine - points[cell], turn)
-                    dot = np.take_along_axis(near, best[:, rank : rank + 1], 1)[:, 0]
-                    for role in (0, 1) if rank == 0 else (1,):
-                        lists = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([field] * len(ids)), pa.array(cell.astype(np.int32)), pa.array(ids), pa.array(np.full(len(ids), role, np.int8)), lists, pa.array(length.astype(np.float32)), pa.array(dot.astype(np.float32))],
-                            ["field", "cell", "vid", "role", "bits", "length", "dot"],
-                        )
+                    cell = best[:, rank].astype(np.int64)
+                    bits, length = codes(mine - cell_of.points[cell], turn)
+                    dot = np.take_along_axis(near, cell[:, None], 1)[:, 0]
+                    blocks = cell_of.blocks[cell]
+                    if rank == 0:
+                        yield rows_of(name, ids, cell << BLOCK_BITS | ids % blocks, 0, length, dot, bits)
+                    repeat = np.repeat(np.arange(len(ids)), blocks)
+                    block = np.arange(len(repeat)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    yield rows_of(name, ids[repeat], cell[repeat] << BLOCK_BITS | block, 1, length[repeat], dot[repeat], bits[repeat])
 
-    return held.select("field", "vid", "vec").mapInArrow(run, "field string, cell int, vid bigint, role tinyint, bits array<bigint>, length float, dot float")
+    return held.select("field", "vid", "vec").mapInArrow(run, "field string, group bigint, vid bigint, code binary")
 
 
 def candidates(coded: DataFrame, dim: int, cfg: KnnConfig) -> DataFrame:
-    """Distinct (field, vid_a, vid_b) whose estimated cosine may reach cfg.min_cosine.
-
-    A cell with very many vectors or queries is cut into blocks that meet each other, so no task gets
-    a group of unbounded size.
-    """
-    sizes = coded.groupBy("field", "cell").agg(F.ceil(F.count_if(F.col("role") == 0) / cfg.block_rows).alias("stores"), F.ceil(F.count_if(F.col("role") == 1) / (4 * cfg.block_rows)).alias("asks"))
-    # at most one row per cell and field, that is max_cells rows of about 40 bytes
-    placed = coded.join(F.broadcast(sizes.filter("stores > 1 or asks > 1")), ["field", "cell"], "left").withColumns({"stores": F.coalesce("stores", F.lit(1)), "asks": F.coalesce("asks", F.lit(1))})
-    number = F.xxhash64("vid")
-    mine = F.when(F.col("role") == 0, F.pmod(number, F.greatest("stores", F.lit(1)))).otherwise(F.pmod(number, F.greatest("asks", F.lit(1))))
-    others = F.when(F.col("role") == 0, F.greatest("asks", F.lit(1))).otherwise(F.greatest("stores", F.lit(1)))
-    blocks = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), others.cast("bigint") - 1)))
-    pair = F.when(F.col("role") == 0, F.struct(F.col("mine").alias("s"), F.col("other").alias("a"))).otherwise(F.struct(F.col("other").alias("s"), F.col("mine").alias("a")))
-    grouped = blocks.withColumn("block", pair).select("field", "cell", "block", "vid", "role", "bits", "length", "dot").groupBy("field", "cell", "block")
+    """Distinct (field, vid_a, vid_b) whose estimated cosine may reach cfg.min_cosine."""
 
     def run(table: pa.Table) -> pa.Table:
-        role = table.column("role").to_numpy()
-        field = table.column("field")[0].as_py()
-        vid, length, dot = (table.column(c).to_numpy() for c in ("vid", "length", "dot"))
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(len(role), -1).view(np.uint64)
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        vid = table.column("vid").to_numpy()
+        role = code[:, 0]
+        length, dot = np.ascontiguousarray(code[:, 1:9]).view(np.float32).T
+        bits = np.ascontiguousarray(code[:, 9:]).view(np.uint64)
         s, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         upper_of = estimates(np.arange(dim + 1), dim, cfg.bound)
-        for part in np.array_split(q, max(1, len(q) * max(1, len(s)) // 4_000_000)):
-            if not len(s) or not len(part):
-                continue
+        for part in np.array_split(q, len(q) * len(s) // 4_000_000 + 1):
             differ = np.zeros((len(part), len(s)), np.uint16)
             for w in range(bits.shape[1]):
                 differ += np.bitwise_count(bits[part, w][:, None] ^ bits[s, w][None, :])
-            # product = residuals' product + what both have along the centre - the centre's own length
-            base = dot[part][:, None] + dot[s][None, :] - np.float32(1)
-            reach = upper_of[differ] * (length[part][:, None] * length[s][None, :]) + base >= cfg.min_cosine - 1e-4
+            # product = that of the residuals + what both have along the centre - the centre's own length
+            reach = upper_of[differ] * (length[part][:, None] * length[s][None, :]) + (dot[part][:, None] + dot[s][None, :]) >= cfg.min_cosine + 1 - 1e-4
             a, b = np.nonzero(reach)
             a, b = vid[part[a]], vid[s[b]]
-            keep = a != b
-            left.append(np.minimum(a, b)[keep])
-            right.append(np.maximum(a, b)[keep])
+            left.append(np.minimum(a, b)[a != b])
+            right.append(np.maximum(a, b)[a != b])
         left, right = np.concatenate(left), np.concatenate(right)
-        return pa.table({"field": pa.array([field] * len(left), pa.string()), "vid_a": left, "vid_b": right})
+        name = table.column("field")[0].as_py()
+        return pa.table({"field": pa.array([name] * len(left), pa.string()), "vid_a": left, "vid_b": right})
+
+    return coded.groupBy("field", "group").applyInArrow(run, "field string, vid_a bigint, vid_b bigint").distinct()
 
-    return grouped.applyInArrow(run, "field string, vid_a bigint, vid_b bigint").distinct()
 
+def fetched(held: DataFrame, pairs: DataFrame, cfg: KnnConfig) -> DataFrame:
+    """(field, vid, vec) of the vectors in the pairs, and few others: a bitmap of fixed size keeps the rest from the shuffle."""
+    slot = F.explode(F.array(*[F.pmod(x, F.lit(cfg.slots)).cast("int") for x in ("vid_a", "vid_b")]))
+    table = pairs.select(slot.alias("slot")).distinct().toArrow()  # at most cfg.slots rows
+    bits = np.zeros(cfg.slots, bool)
+    bits[table.column(0).to_numpy()] = True
+    sent = held.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-def _dot(a: str, b: str):
-    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x) / F.sqrt(_square(a) * _square(b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy() % cfg.slots
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return held.select("field", "vid", "vec").mapInArrow(run, "field string, vid bigint, vec array<float>")
 
 
-def _square(a: str):
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+def exact(pairs: DataFrame, held: DataFrame, cfg: KnnConfig) -> DataFrame:
+    """(field, vid_a, vid_b, cosine) of the pairs that reach cfg.min_cosine, from the vectors themselves."""
+    vectors = fetched(held, pairs, cfg)
+    a = vectors.select("field", F.col("vid").alias("vid_a"), F.col("vec").alias("vec_a"))
+    b = vectors.select("field", F.col("vid").alias("vid_b"), F.col("vec").alias("vec_b"))
+    joined = pairs.join(a, ["field", "vid_a"]).join(b, ["field", "vid_b"]).select("field", "vid_a", "vid_b", "vec_a", "vec_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1) for k in (3, 4))
+            cosine = np.round((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)), 6)
+            kept = pa.array(cosine >= cfg.min_cosine)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(kept) for k in range(3)), pa.array(cosine).filter(kept)], ["field", "vid_a", "vid_b", "cosine"])
 
-def exact(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(field, vid_a, vid_b, cosine) computed from the vectors themselves."""
-    a = held.select("field", F.col("vid").alias("vid_a"), F.col("vec").alias("vec_a"))
-    b = held.select("field", F.col("vid").alias("vid_b"), F.col("vec").alias("vec_b"))
-    return pairs.join(a, ["field", "vid_a"]).join(b, ["field", "vid_b"]).select("field", "vid_a", "vid_b", F.round(_dot("vec_a", "vec_b"), 6).alias("cosine"))
+    return joined.mapInArrow(run, "field string, vid_a bigint, vid_b bigint, cosine double")
 
 
 def similar_in_cells(vectors: DataFrame, cfg: KnnConfig = KnnConfig()) -> DataFrame:
@@ -238,11 +267,11 @@ def similar_in_cells(vectors: DataFrame, cfg: KnnConfig = KnnConfig()) -> DataFr
     key counts once; an empty table gives no rows. Pairs whose vectors share none of the visited
     cells are missed (the README has the measured recall); nothing else is left out.
     """
-    held = cut(entries(vectors, cfg))
-    centre_of = fitted_centres(held, cfg)
-    dim = next((c.shape[1] for c in centre_of.values() if len(c)), 1)
-    pairs = candidates(_coded(held, centre_of, cfg), dim, cfg)
-    near = cut(exact(pairs, held).filter(F.col("cosine") >= cfg.min_cosine))
+    held = written(entries(vectors, cfg), "vectors")
+    cells = fitted_cells(held, cfg)
+    dim = next((c.points.shape[1] for c in cells.values()), 1)
+    pairs = cut(candidates(_coded(held, cells, cfg), dim, cfg))
+    near = cut(exact(pairs, held, cfg))
     both = near.unionByName(near.select("field", F.col("vid_a").alias("vid_b"), F.col("vid_b").alias("vid_a"), "cosine"))
     keys = held.select("field", F.col("vid").alias("vid_b"), "keys")
     offered = both.join(keys, ["field", "vid_b"]).select("field", F.col("vid_a").alias("vid"), "keys", "cosine")
