@@ -28,7 +28,7 @@ from korpusline.functions.session import cut, spread, written
 class KnnConfig:
     """k: neighbours; min_cosine: cosine that linked vectors have at least; cell_rows: vectors of a cell;
     probes: cells a query visits; sample_rows: vectors the centres are fitted on, at most (every row is
-    indexed); max_cells: bound of the broadcast centres; bound: standard errors by which an estimate may
+    indexed); max_cells: bound of the broadcast centres; rotations: one-bit codes of a vector; bound: standard errors by which an estimate may
     be off in similar_in_cells, scan_bound: in knn_scan; block_rows: rows of one block of work; slots: bits
     of the bitmap of vectors to fetch."""
 
@@ -38,17 +38,22 @@ class KnnConfig:
     probes: int = 5
     sample_rows: int = 20_000
     max_cells: int = 20_000
-    bound: float = 3.5
+    rotations: int = 2
+    bound: float = 3.0
     scan_bound: float = 1.3
     block_rows: int = 8192
     slots: int = 1 << 23
     seed: int = 11
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+def rotation(dim: int, seed: int, count: int = 1) -> np.ndarray:
+    """Random orthogonal matrices side by side; each gives one bit per dimension."""
+    rng = np.random.default_rng(seed)
+    parts = []
+    for _ in range(count):
+        q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
+        parts.append(q * np.sign(np.diag(r)))
+    return np.concatenate(parts, axis=1).astype(np.float32)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -83,7 +88,7 @@ def estimates(differ: np.ndarray, dim: int, bound: float) -> np.ndarray:
     Two random rotated vectors at angle a differ in each bit with probability a / pi; the bound takes
     `bound` standard errors off the angle.
     """
-    share = np.arange(dim + 1) / dim
+    share = np.arange(dim + 1) / dim  # dim: bits of a code
     error = np.sqrt(np.maximum(share * (1 - share), 0.25 / dim) / dim)
     return np.cos(np.pi * np.clip(share - bound * error, 0, 1)).astype(np.float32)[differ]
 
@@ -178,7 +183,7 @@ def _coded(held: DataFrame, cells: dict[str, Cells], cfg: KnnConfig) -> DataFram
             for name in sorted(set(fields)):
                 own = fields == name
                 mine, ids, cell_of = vectors[own], vids[own], sent.value[name]
-                turn = rotation(mine.shape[1], cfg.seed)
+                turn = rotation(mine.shape[1], cfg.seed, cfg.rotations)
                 near = mine @ cell_of.points.T
                 probes = min(cfg.probes, near.shape[1])
                 best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
@@ -270,7 +275,7 @@ def similar_in_cells(vectors: DataFrame, cfg: KnnConfig = KnnConfig()) -> DataFr
     held = written(entries(vectors, cfg), "vectors")
     cells = fitted_cells(held, cfg)
     dim = next((c.points.shape[1] for c in cells.values()), 1)
-    pairs = cut(candidates(_coded(held, cells, cfg), dim, cfg))
+    pairs = cut(candidates(_coded(held, cells, cfg), dim * cfg.rotations, cfg))
     near = cut(exact(pairs, held, cfg))
     both = near.unionByName(near.select("field", F.col("vid_a").alias("vid_b"), F.col("vid_b").alias("vid_a"), "cosine"))
     keys = held.select("field", F.col("vid").alias("vid_b"), "keys")

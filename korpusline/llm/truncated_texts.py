@@ -26,7 +26,7 @@ from korpusline.llm.words import CACHE_ENTRIES
 
 @dataclass(frozen=True)
 class CutConfig:
-    """known: occurrences that make a word known; least: occurrences that a context needs to be believed;
+    """known: occurrences that make a word known; least: weight of the prior in a share, in occurrences;
     inside: share of ends after the last tokens under which the text ends inside a sentence;
     open_end: the same share where the length is a limit of its source; limit_docs and limit_share: texts of
     equal length, and their share of the source, that make a length a limit; line_tokens: tokens of a
@@ -34,7 +34,7 @@ class CutConfig:
     it hands them on."""
 
     known: int = 2
-    least: int = 8
+    least: int = 4
     inside: float = 0.12
     open_end: float = 0.8
     limit_docs: int = 3
@@ -70,15 +70,21 @@ class Masks(dict):
         return value
 
 
+#: Stands for the end of a sentence; a line end stands for itself.
+FULL = "\x02"
+ENDS = ("\n", FULL)
+
+
 def tokens_of(text: str, masks: Masks) -> tuple[list[str], list[str]]:
-    """(tokens, masks); a sentence end and a line end are both the token of a line end; a word after one is kept in lower case."""
-    tokens = TOKEN.findall(STOP.sub("\n", text))
+    """(tokens, masks), with sentence ends and line ends as tokens; a word after one is kept in lower case."""
+    tokens = TOKEN.findall(STOP.sub(FULL, text))
     classes = [masks[x] for x in tokens]
-    at = -1
-    for _ in range(tokens.count("\n")):
-        at = tokens.index("\n", at + 1)
-        if at + 1 < len(tokens) and classes[at + 1] in ("Aa", "AA"):
-            classes[at + 1] = tokens[at + 1].lower()
+    for end in ENDS:
+        at = -1
+        for _ in range(tokens.count(end)):
+            at = tokens.index(end, at + 1)
+            if at + 1 < len(tokens) and classes[at + 1] in ("Aa", "AA"):
+                classes[at + 1] = tokens[at + 1].lower()
     if tokens and classes[0] in ("Aa", "AA"):
         classes[0] = tokens[0].lower()
     return tokens, classes
@@ -116,11 +122,11 @@ def corpus_counts(documents: DataFrame, cfg: CutConfig) -> DataFrame:
             ends: Counter = Counter()
             dots: Counter = Counter()
             for (a, b, c), n in triples.items():
-                if b == "\n":
+                if b in ENDS:
                     continue
-                for key in (f"2{a} {b}", f"1{b}"):
+                for key in (f"2{a} {b}".replace(FULL, "\n"), f"1{b}"):
                     total[key] += n
-                    if c == "\n":
+                    if c in ENDS:
                         ends[key] += n
                     elif c == ".":
                         dots[key] += n
@@ -142,7 +148,7 @@ def corpus_counts(documents: DataFrame, cfg: CutConfig) -> DataFrame:
                 start = 0
                 for _ in range(tokens.count("\n")):
                     end = tokens.index("\n", start)
-                    if 0 < end - start <= cfg.line_tokens:
+                    if 0 < end - start <= cfg.line_tokens and FULL not in tokens[start:end]:
                         shapes[line_shape(classes[start:end])] += 1
                     start = end + 1
             if len(words) + len(triples) > cfg.keys:
@@ -180,17 +186,17 @@ def text_ends(documents: DataFrame, cfg: CutConfig) -> DataFrame:
                 tail = bare[-400:] if len(bare) > 400 else bare
                 cut = ENDED.sub("", tail) if dotted else tail
                 tokens, classes = tokens_of(cut.rstrip(), masks)
-                if not tokens or tokens[-1] == "\n":
+                if not tokens or tokens[-1] in ENDS:
                     continue
-                line = len(tokens) - 1 - tokens[::-1].index("\n") if "\n" in tokens else -1
+                line = max((n for n, x in enumerate(tokens) if x in ENDS), default=-1)
                 own = classes[line + 1 :]
-                whole_line = cut.rstrip().rfind("\n") >= 0 or len(bare) <= 400
+                whole_line = tokens[line] == "\n" if line >= 0 else len(bare) <= 400
                 last = LAST_WORD.search(cut.rstrip())
                 rows.append(
                     (
                         doc,
                         "broken" if broken else "dotted" if dotted else "open",
-                        "2" + " ".join((["\n", *classes])[-2:]),
+                        "2" + " ".join((["\n", *classes])[-2:]).replace(FULL, "\n"),
                         "1" + classes[-1],
                         "w" + last[0].lower() if last else None,
                         "p" + last[0].lower() if last else None,
@@ -210,8 +216,10 @@ def limits(documents: DataFrame, cfg: CutConfig) -> DataFrame:
     return counted.withColumn("docs", docs).filter((F.col("count") >= cfg.limit_docs) & (F.col("count") >= cfg.limit_share * F.col("docs"))).select(F.col("source").alias("of"), "unit", "size")
 
 
-def share(evidence: str, part: str) -> Column:
-    return F.col(f"{evidence}.{part}") / F.col(f"{evidence}.total")
+def smoothed(evidence: str, prior: Column, cfg: CutConfig) -> Column:
+    """Share of ends after the evidence, with the prior as cfg.least occurrences."""
+    total, ends = (F.coalesce(F.col(f"{evidence}.{part}"), F.lit(0)) for part in ("total", "ends"))
+    return (ends + cfg.least * prior) / (total + cfg.least)
 
 
 def truncated_texts(documents: DataFrame, cfg: CutConfig = CutConfig()) -> DataFrame:
@@ -226,7 +234,7 @@ def truncated_texts(documents: DataFrame, cfg: CutConfig = CutConfig()) -> DataF
     known = counts.unionByName(trie(counts, cfg), allowMissingColumns=True).select("key", F.struct("total", "ends", "dots").alias("seen"))
     ends = text_ends(source, cfg)
     asked = ends.select("doc_id", "state", F.explode(F.array_compact(F.array("two", "one", "word", "prefix", "shape"))).alias("key"))
-    found = asked.join(known, "key", "left").groupBy("doc_id", "state").agg(*[F.max(F.when(F.startswith("key", F.lit(k)), F.col("seen"))).alias(n) for k, n in (("2", "two"), ("1", "one"), ("w", "word"), ("p", "prefix"), ("s", "shape"))], F.max(F.startswith("key", F.lit("w"))).alias("lettered"))
+    found = asked.join(known, "key", "left").groupBy("doc_id", "state").agg(*[F.max(F.when(F.startswith("key", F.lit(k)), F.col("seen"))).alias(n) for k, n in (("2", "two"), ("1", "one"), ("w", "word"), ("p", "prefix"), ("s", "shape"))], F.max(F.startswith("key", F.lit("w"))).alias("lettered"), F.max(F.col("key").rlike(r"^1[\p{Ll}]")).alias("lower"))
     limit = limits(source, cfg)
     sized = source.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     at_limit = (
@@ -235,7 +243,10 @@ def truncated_texts(documents: DataFrame, cfg: CutConfig = CutConfig()) -> DataF
         .distinct()
     )
     rows = found.join(at_limit, "doc_id", "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
-    ending = F.when(F.col("two.total") >= cfg.least, share("two", "ends")).when(F.col("one.total") >= cfg.least, share("one", "ends")).otherwise(0.5)
+    # shares of few occurrences lean on those of the shorter context, and at last on what is usual for words, names and numbers
+    usual = F.when(F.col("lower"), 0.08).otherwise(0.4)
+    shorter = smoothed("one", usual, cfg)
+    ending = smoothed("two", shorter, cfg)
     abbreviated = F.when(F.col("one.dots") + F.col("one.ends") >= cfg.least, F.col("one.dots") / (F.col("one.dots") + F.col("one.ends"))).otherwise(0.0)
     prefix = F.col("lettered") & (F.coalesce("word.total", F.lit(0)) < cfg.known) & (F.coalesce("prefix.total", F.lit(0)) >= cfg.known)
     line = F.coalesce("shape.total", F.lit(0)) >= cfg.known
