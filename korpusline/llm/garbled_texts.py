@@ -217,7 +217,7 @@ class Model:
                     out.append((value, name, text, WHOLE if shows or letters >= 5 else 1.0))
             elif letters >= 3 and value >= self.cfg.natural and value - own >= (0.2 * self.cfg.gain if MISPLACED.search(token) and not self.odd(text) else self.cfg.gain):
                 changed = sum(c in cipher.table for c in token if c.isalpha() or ord(c) > 127) / max(1, sum(c.isalpha() or ord(c) > 127 for c in token))
-                out.append((value, name, text, WHOLE if changed > 0.6 and letters >= 5 else 1.0))
+                out.append((value, name, text, WHOLE if changed > 0.6 and max(map(len, WORD.findall(text)), default=0) >= 5 else 1.0))
         return [x[1:] for x in sorted(out, reverse=True)]
 
     def verdict(self, source: str, token: str) -> tuple[str, str] | None:
