@@ -113,7 +113,7 @@ def _chunks_of(rows: pd.DataFrame, cfg: ChunkConfig) -> list[dict]:
             pages = [int(r.page) for r in parts if not pd.isna(r.page)]
             orders = [int(r.elem_order) for r in parts if not pd.isna(r.elem_order)]
             item = {
-                "text": text, "path": list(state["path"] or []), "from": min(orders, default=0), "to": max(orders, default=0),
+                "text": text, "path": list(state["path"] if state["path"] is not None else []), "from": min(orders, default=0), "to": max(orders, default=0),
                 "p0": min(pages, default=None), "p1": max(pages, default=None), "types": list(dict.fromkeys(r.element_type for r in parts)), "media": list(dict.fromkeys(media)),
             }
             if _size(text) < cfg.min_tokens and done and _size(done[-1]["text"] + "\n" + text) <= cfg.max_tokens:

@@ -46,6 +46,10 @@ def top_k(queries: DataFrame, indexed: DataFrame, k: int, id_column: str = "id",
     return best(scored, k, F.desc("score"), F.col(id_column))
 
 
+def _starts(prefix: str) -> Column:
+    return F.exists("heading_path", lambda h: F.startswith(h, F.lit(prefix)))
+
+
 def filters(categories=None, doc_ids=None, doc_paths=None, heading_prefixes=None, min_score=None, joined: bool = False, unknown: str | None = None) -> Column:
     """Post-filters; an empty list filters nothing, null fields never match.
 
@@ -59,7 +63,7 @@ def filters(categories=None, doc_ids=None, doc_paths=None, heading_prefixes=None
             out = out & F.coalesce(column.isin(*values), F.lit(False))
     if heading_prefixes:
         whole = tx.squeeze(F.array_join("heading_path", " > "))
-        some = [whole.startswith(" ".join(p.split())) if joined else F.exists("heading_path", lambda h, p=p: F.startswith(h, F.lit(p))) for p in heading_prefixes]
+        some = [whole.startswith(" ".join(p.split())) if joined else _starts(p) for p in heading_prefixes]
         match = some[0]
         for x in some[1:]:
             match = match | x
