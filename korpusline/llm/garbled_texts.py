@@ -30,11 +30,12 @@ from korpusline.functions.session import cut, spread
 @dataclass(frozen=True)
 class GarbleConfig:
     """natural: mean log-probability of a letter from which a word reads naturally; gain: by how much the
-    translated form must be better; symbols: symbols of a cipher, at most (the most frequent); support:
+    translated form must be better; sure: how far above natural a wholly translated word ends the trials; symbols: symbols of a cipher, at most (the most frequent); support:
     occurrences from which a learned letter replaces that of the prior; rounds of the maximisation."""
 
     natural: float = -3.3
     gain: float = 1.0
+    sure: float = 0.3
     symbols: int = 300
     support: int = 30
     rounds: int = 25
@@ -61,6 +62,8 @@ DAMAGE = re.compile(r"�|[\x80-\x9f]|\?{4,}|[^\W\d_]\?[^\W\d_]|(?<![\w?])\?{2,}
 
 #: Signs where no writing has them: glued to letters, or a closing quotation mark before a letter.
 MISPLACED = re.compile(r"(?<=[^\W\d_])[€©®µ‘“„](?=[^\W\d_]|\W|\Z)|[€©®](?=[^\W\d_])|(?:(?<=\s)|\A)[»”’](?=[^\W\d_])")
+#: Signs inside words where writing has none.
+INNER = re.compile(r"(?<=[^\W\d_])[^\w\s\-–—/.,:;()«»\"'’…&@+=|~^■>*](?=[^\W\d_])")
 #: Evidence from which a text counts as garbled; what a wholly garbled word or multi-byte sign gives.
 WHOLE = 3.0
 #: A letter that leads a multi-byte symbol, beside a sign.
@@ -163,15 +166,21 @@ class Model:
             self.by_source[source].append((name, cipher))
         self.seen: dict[tuple[str, str], list[tuple[str, str, float]]] = {}
         self.spoilt: dict[tuple[str, str, str], bool] = {}
+        self.scored: dict[str, float] = {}
 
     def score(self, text: str) -> float:
-        """Mean log-probability of a letter of the token's words; signs inside words count as letters of no language."""
+        """Mean log-probability of a letter of the token's words."""
         total = n = 0.0
-        for word in re.findall(r"[^\W\d_]+", text):
-            own = codes(word)
-            cased = not (word.islower() or word.isupper() or word[0].isupper() and word[1:].islower())
-            total += sum(self.step[a][b] for a, b in zip(own, own[1:])) - 4.0 * cased
-            n += len(own) - 1
+        for word in WORD.findall(text):
+            found = self.scored.get(word)
+            if found is None:
+                if len(self.scored) > 400_000:
+                    self.scored.clear()
+                own = codes(word)
+                cased = not (word.islower() or word.isupper() or word[0].isupper() and word[1:].islower())
+                found = self.scored[word] = sum(self.step[a][b] for a, b in zip(own, own[1:])) - 4.0 * cased
+            total += found
+            n += len(word) + 1
         return total / n if n else 0.0
 
     def odd(self, token: str) -> int:
@@ -181,7 +190,7 @@ class Model:
 
     def penalty(self, token: str) -> float:
         """score less what oddity costs: strange characters among or beside letters, and signs inside words."""
-        inner = len(re.findall(r"(?<=[^\W\d_])[^\w\s\-–—/.,:;()«»\"'’…&@+=|~^■>*](?=[^\W\d_])", token))
+        inner = len(INNER.findall(token))
         return self.score(token) - 3.0 * (self.odd(token) + inner) / max(4, len(token))
 
     def readings(self, source: str, token: str) -> list[tuple[str, str, float]]:
@@ -218,7 +227,9 @@ class Model:
             elif letters >= 3 and value >= self.cfg.natural and value - own >= (0.2 * self.cfg.gain if MISPLACED.search(token) and not self.odd(text) else self.cfg.gain):
                 changed = sum(c in cipher.table for c in token if c.isalpha() or ord(c) > 127) / max(1, sum(c.isalpha() or ord(c) > 127 for c in token))
                 out.append((value, name, text, WHOLE if changed > 0.6 and max(map(len, WORD.findall(text)), default=0) >= 5 else 1.0))
-        return [x[1:] for x in sorted(out, reverse=True)]
+            if out and out[-1][3] == WHOLE and out[-1][0] >= self.cfg.natural + self.cfg.sure and out[-1][1] == name:
+                break  # later ciphers are rarer, or less usual
+        return [x[1:] for x in sorted(out, key=lambda x: -round(x[0], 6))]
 
     def verdict(self, source: str, token: str) -> tuple[str, str] | None:
         """(cipher, translated token) of a token that looks wrong and that a cipher explains."""
@@ -236,11 +247,17 @@ class Model:
             found = self.spoilt[key] = text != token and self.penalty(text) < self.penalty(token) - 0.5
         return found
 
-    def row(self, source: str, tokens: list[str]) -> set[str]:
+    def row(self, source: str, tokens: list[str], first: bool = False) -> set[str]:
         """The ciphers that a text shows: a run of tokens whose evidence for the cipher, less that against it, is enough.
 
         A foreign name that some cipher happens to explain stands among words that this cipher spoils.
+        first: the first cipher with enough evidence will do.
         """
+        if first:
+            for token in tokens:
+                found = self.readings(source, token)
+                if found and found[0][2] >= WHOLE:
+                    return {found[0][0]}
         gains: dict[str, dict[int, float]] = defaultdict(dict)
         for at, token in enumerate(tokens):
             for name, _, weight in self.readings(source, token):
@@ -413,8 +430,9 @@ def learn(elements: DataFrame, cfg: GarbleConfig) -> Model:
     sources = {s for s, _ in pairs} | {r.source for r in tokens.select("source").distinct().collect()}
     # a cipher that one source shows is a candidate in the others too, with its prior's table until it is learned there
     used = {name for _, name in pairs}
-    for source in sources:
-        for name in used:
+    support = {name: sum(sum(own.values()) for (_, n), own in pairs.items() if n == name) for name in used}
+    for source in sorted(sources):
+        for name in sorted(used, key=lambda n: (-support[n], n)):
             own = pairs.get((source, name), {})
             if name == UNKNOWN:
                 if sum(own.values()) < 100 * cfg.support:
@@ -447,7 +465,7 @@ def judged(elements: DataFrame, cfg: GarbleConfig, restore: bool) -> DataFrame:
                     if DAMAGE.search(text):
                         rows.append((key, source, text if restore else None, "damage", False))
                     continue
-                names = own.row(source, SPLIT.split(text))
+                names = own.row(source, SPLIT.split(text), not restore)
                 lost = bool(DAMAGE.search(text))
                 if not names and not lost:
                     continue
