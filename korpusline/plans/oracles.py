@@ -1 +1,189 @@
-SQL: dict[str, str] = {}
+"""The registered queries in DuckDB's SQL, over the same tables."""
+
+from __future__ import annotations
+
+
+def norm(x: str) -> str:
+    return f"trim(regexp_replace(translate(lower({x}), 'ё', 'е'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+def toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({norm(x)}, ''), '[^a-zA-Zа-яА-Я0-9]+'), lambda t: t <> '')"
+
+
+def words(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '([\\p{{L}}\\p{{N}}_]+)', 1)"
+
+
+def key(category: str = "category", doc_id: str = "doc_id", doc_path: str = "doc_path") -> str:
+    return f"coalesce(nullif({category}, ''), 'UNK') || '::' || coalesce(nullif({doc_id}, ''), nullif({doc_path}, ''), 'doc')"
+
+
+def sents(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce({x}, ''), '([.!?…])\\s+', '\\1' || chr(1), 'g'), '[\\n' || chr(1) || ']+'), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def count(x: str) -> str:
+    return f"greatest(1, length({x}) // 4)"
+
+
+def path(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce({x}, ''), '[/_\\-.()\\\\]+'), lambda p: trim(regexp_replace(p, '[\\s\\p{{Z}}]+', ' ', 'g'))), lambda p: p <> '' AND NOT regexp_matches(p, '^\\d+$')), ' ')"
+
+
+def vec(tokens: str) -> str:
+    """Raw counts of a token list's places."""
+    return f"list_transform(range(64), lambda k: len(list_filter(list_transform({tokens}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64), lambda b: b = k))::DOUBLE)"
+
+
+def unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / (sqrt(list_sum(list_transform({v}, lambda y: y * y))) + 1e-12))"
+
+
+def dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+
+
+NUMBER = r"^\s*(\d+(?:\.\d+)*)"
+SECTION_WORD = r"(?i)^\s*(?:раздел|глава|приложение)\s+(\d+)"
+
+
+def section(x: str) -> str:
+    return f"coalesce(nullif(regexp_extract({x}, '{NUMBER}', 1), ''), nullif(regexp_extract({x}, '{SECTION_WORD}', 1), ''))"
+
+
+def parts(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN 0 ELSE len(string_split({x}, '.')) END)"
+
+
+ELEMENTS = "(SELECT DISTINCT ON (id) * FROM elements)"
+CHUNKS = "(SELECT DISTINCT ON (id) * FROM chunks)"
+FOLDERS = r"list_filter(string_split(coalesce(replace(category, '\', '/'), ''), '/'), lambda x: x <> '')"
+
+INDEXED = f"""q AS (SELECT item_id AS query_id, {unit('v')} AS query_vec FROM (SELECT item_id, {vec('t')} AS v FROM (SELECT item_id, {toks('text')} AS t FROM eval_items))),
+c AS (SELECT * EXCLUDE (v), {unit('v')} AS vec FROM (SELECT *, {vec('t')} AS v FROM (SELECT id, {key()} AS doc_key, chunk_index, from_order, to_order, text, heading_path, page_from, page_to, {toks('text')} AS t FROM {CHUNKS} WHERE text IS NOT NULL))),
+near AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round({dot('query_vec', 'vec')}, 9) AS score FROM q, c)) WHERE rank <= {{k}})"""
+
+NEAR = INDEXED.replace("{k}", "50")
+
+HITS = f"(SELECT category AS query_id, string_split(category, '/')[-1] AS query, {key()} AS doc_key, id, category, doc_path, chunk_index, text, heading_path, page_from, page_to, (('0x' || substr(md5(id), 1, 6))::BIGINT % 1000) / 1000 AS score FROM {CHUNKS} WHERE category IS NOT NULL AND text IS NOT NULL)"
+
+SECTION_ID = f"""CASE WHEN heading_path IS NULL OR len(heading_path) = 0 THEN 'root' ELSE coalesce(list_filter(list_transform(heading_path, lambda h: regexp_extract(h, '{NUMBER}', 1)), lambda n: n <> '')[1], replace(substr(heading_path[1], 1, 20), ' ', '_')) END"""
+LEVEL = f"coalesce(list_max(list_transform(heading_path, lambda h: {parts(section('h'))})), 0)"
+PREVIEW = "coalesce(array_to_string(heading_path[1:2], ' > '), '')"
+
+HIERARCHY = f"SELECT query_id, doc_key, round(round(sum(CASE WHEN coalesce(len(heading_path), 0) > 0 THEN 0.8::DOUBLE / (1 + 0.1::DOUBLE * len(heading_path)) ELSE 0 END) / greatest(0.8::DOUBLE * count(*), 1.0), 9), 6) AS hierarchy FROM {HITS} GROUP BY ALL"
+
+PREPARED = f"(SELECT *, {key()} AS doc_key, coalesce(len(headings_path), 0) > 0 AS has_path, coalesce({section('coalesce(text, $$$$)')}, 'section_' || substr(id, 1, 8)) AS section FROM {ELEMENTS})"
+IMPORTANCE = f"SELECT doc_key, section, count(*) AS elements, round(0.3::DOUBLE * count(*) + 0.4::DOUBLE * least(coalesce(sum(length(text)), 0) / 1000, 1.0) + 0.3::DOUBLE * count(*) FILTER (element_type IN ('table', 'formula', 'image')), 6) AS importance FROM (SELECT {key()} AS doc_key, coalesce({section('coalesce(text, $$$$)')}, 'general') AS section, element_type, text FROM {ELEMENTS}) GROUP BY ALL"
+FOLDER_NODES = f"(SELECT DISTINCT 'folder::' || array_to_string(p[1:n], '/') AS id, p[n] AS name, (n - 1)::INTEGER AS level, round(1 / n, 6) AS importance, CASE WHEN n > 1 THEN 'folder::' || array_to_string(p[1:n - 1], '/') END AS parent FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT DISTINCT {FOLDERS} AS p FROM elements)))"
+DOC_NODES = f"(SELECT 'document::' || doc_key AS id, min(category) AS category, count(*) AS element_count FROM (SELECT {key()} AS doc_key, category FROM {ELEMENTS}) GROUP BY doc_key)"
+SECTION_NODES = f"""(SELECT 'section::' || s.doc_key || '::' || s.section AS id, s.doc_key, s.section, heading, level, element_count, coalesce(importance, 0.5) AS importance FROM (
+SELECT doc_key, section, count(*) AS element_count, arg_min(struct_pack(h := substr(text, 1, 100), l := list_max(list_transform(headings_path, lambda h: {parts(section('h'))}))), struct_pack(a := coalesce(page, 0), b := coalesce(elem_order, 0), c := id)) AS x, x.h AS heading, x.l AS level FROM {PREPARED} WHERE has_path GROUP BY doc_key, section) s LEFT JOIN ({IMPORTANCE}) i USING (doc_key, section))"""
+REFS = f"""(SELECT DISTINCT a.id AS src, b.id AS dst FROM (SELECT doc_key, section, unnest(list_filter(regexp_extract_all(text, '(?i)(?:раздел|глава|пункт)[а-я]*\\s+(\\d+(?:\\.\\d+)*)', 1), lambda x: x <> own)) AS target FROM (SELECT *, regexp_extract(text, '{NUMBER}', 1) AS own FROM {PREPARED}) WHERE own <> '') r JOIN {SECTION_NODES} a ON a.doc_key = r.doc_key AND a.section = r.section JOIN {SECTION_NODES} b ON b.doc_key = r.doc_key AND b.section = r.target)"""
+EDGES = f"""(SELECT parent AS src, id AS dst, 'refines' AS rel, 1.0::DOUBLE AS weight FROM {FOLDER_NODES} WHERE parent IS NOT NULL
+UNION ALL SELECT 'folder::' || array_to_string({FOLDERS}, '/'), id, 'contains', 1.0 FROM {DOC_NODES} WHERE coalesce(category, '') <> ''
+UNION ALL SELECT 'document::' || doc_key, id, 'has_section', importance FROM {SECTION_NODES}
+UNION ALL SELECT 'section::' || doc_key || '::' || section, 'element::' || id, 'contains_element', 1.0 FROM {PREPARED} WHERE has_path
+UNION ALL SELECT src, dst, 'references', 0.8 FROM {REFS})"""
+
+
+def pagerank(rounds: int = 20) -> str:
+    """CTEs r0 … r20 over the folder and document graph."""
+    out = f"""nodes AS (SELECT id FROM {FOLDER_NODES} UNION SELECT id FROM {DOC_NODES}),
+edges AS MATERIALIZED (SELECT * FROM {EDGES} WHERE rel IN ('refines', 'contains')),
+outs AS (SELECT src, sum(weight) AS w FROM edges GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+p AS MATERIALIZED (SELECT e.src, e.dst, e.weight / o.w AS p FROM edges e JOIN outs o USING (src)),
+r0 AS MATERIALIZED (SELECT id, id IN (SELECT src FROM outs) AS linked, 1 / n AS rank FROM nodes, n)"""
+    for k in range(rounds):
+        out += f""",
+r{k + 1} AS MATERIALIZED (SELECT r.id, r.linked, 0.15 / n.n + 0.85 * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE NOT linked) / n.n) AS rank
+FROM r{k} r CROSS JOIN n LEFT JOIN (SELECT p.dst AS id, sum(q.rank * p.p) AS flow FROM p JOIN r{k} q ON q.id = p.src GROUP BY p.dst) f USING (id))"""
+    return out
+
+
+NAV = "concat_ws(' ', path_text, heading_text)"
+BM25 = f"""d AS (SELECT doc_key, {toks(NAV)} AS t FROM doc_fields_meta),
+post AS (SELECT token, doc_key, len, count(*) AS tf FROM (SELECT doc_key, len(t) AS len, unnest(t) AS token FROM d) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d WHERE len(t) > 0),
+raw AS (SELECT token, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY token), size),
+idf AS (SELECT token, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+terms AS (SELECT item_id AS query_id, unnest({toks('text')}) AS token FROM eval_items),
+b AS (SELECT query_id, doc_key, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS bm25 FROM terms JOIN idf USING (token) JOIN post USING (token), size GROUP BY ALL)"""
+
+DOMAIN = (
+    "CASE WHEN regexp_matches(t, 'договор|контракт|соглашение|ответственность|юридический|претензия') THEN 'legal' WHEN regexp_matches(t, 'логистика|доставка|перевозка|транспорт|станция|вагон|отгрузка') THEN 'logistics' "
+    "WHEN regexp_matches(t, 'закупка|поставка|снабжение|тендер|заказ') THEN 'procurement' WHEN regexp_matches(t, 'производство|цемент|бетон|щебень|песок|гост') THEN 'production' "
+    "WHEN regexp_matches(t, 'финансы|оплата|счет|счёт|накладная|стоимость|цена') THEN 'finance' WHEN regexp_matches(t, 'кадры|сотрудник|персонал|отпуск') THEN 'hr' END"
+)
+
+
+def matches(pattern: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all(text, '{pattern}', 1), lambda x: trim(x)))"
+
+
+SQL: dict[str, str] = {
+    "src_lines": r"SELECT doc_id, (i - 1)::INTEGER AS n, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL))",
+    "src_db_rows": "SELECT 'parts' AS category, 'postgres' AS doc_path, p_partkey::VARCHAR AS doc_id, 'pg' AS source_type, 'row' AS element_type, concat_ws(' | ', p_partkey, p_name, p_brand, p_type) AS text FROM part",
+    "src_db_title": r"SELECT 'parts' AS category, 'postgres' AS doc_path, p_partkey::VARCHAR AS doc_id, 'pg' AS source_type, 'row' AS element_type, concat_ws(chr(10), p_name, p_type) AS text FROM part",
+    "src_named_rows": "SELECT o_orderkey, concat_ws('; ', 'order: ' || o_orderkey, 'status: ' || o_orderstatus, 'priority: ' || o_orderpriority) AS text FROM orders",
+    "src_union_formats": r"SELECT 'lines' AS source, sum(len(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: trim(x)), lambda x: x <> '')))::BIGINT AS n FROM documents UNION ALL SELECT 'row', count(*) FROM part",
+    "src_charset": "SELECT doc_id, md5(text) AS text_md5, 'utf-8' AS encoding FROM documents WHERE length(text) > 0",
+    "file_counts": r"SELECT ext, count(*) AS files FROM (SELECT DISTINCT doc_path, lower(regexp_extract(doc_path, '\.([^./\\]+)$', 1)) AS ext FROM doc_fields_meta) WHERE ext IN ('pdf', 'docx', 'doc', 'pptx', 'xlsx', 'xls', 'csv', 'txt', 'html', 'htm', 'md') GROUP BY ext",
+    "path_text": f"SELECT row_no, {path('doc_path')} AS path_words FROM doc_fields_meta",
+    "tokens_norm": f"SELECT token, count(*) AS n FROM (SELECT unnest({toks('text')}) AS token FROM documents) GROUP BY token",
+    "words_unicode": f"SELECT doc_id, len({words('text')})::INTEGER AS words, len(list_distinct({words('text')}))::INTEGER AS different FROM documents",
+    "token_len": f"SELECT doc_id, {count('text')}::INTEGER AS tokens FROM documents WHERE text IS NOT NULL",
+    "normalised_text": f"SELECT doc_id, md5({norm('text')}) AS text_md5 FROM documents WHERE text IS NOT NULL",
+    "headings_flag": rf"""SELECT id, length(t) > 3 AND (regexp_matches(t, '(?i)^\s*(?:(?:раздел|глава|приложение)\s+\d+|\d+(?:\.\d+){{0,3}})\s*[).]?\s+\S') OR (length(t) < 120 AND t = upper(t) AND regexp_matches(t, '[А-ЯA-Z]{{3,}}'))) AS heads,
+        (CASE WHEN own = '' THEN 0 ELSE len(string_split(own, '.')) - 1 END)::INTEGER AS depth, {section('text')} AS section FROM (SELECT id, text, trim(text) AS t, regexp_extract(text, '{NUMBER}', 1) AS own FROM {ELEMENTS} WHERE text IS NOT NULL)""",
+    "section_ids": f"SELECT id, {SECTION_ID} AS section, {LEVEL}::INTEGER AS level, {PREVIEW} AS preview FROM {CHUNKS}",
+    "references": f"SELECT id, (i - 1)::INTEGER AS n, l[i] AS target FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, list_filter(regexp_extract_all(text, '(?i)(?:раздел|глава|пункт)[а-я]*\\s+(\\d+(?:\\.\\d+)*)', 1), lambda x: x <> own) AS l FROM (SELECT id, text, regexp_extract(text, '{NUMBER}', 1) AS own FROM {ELEMENTS} WHERE text IS NOT NULL) WHERE own <> ''))",
+    "sentences": f"SELECT doc_id, (i - 1)::INTEGER AS pos, l[i] AS sentence, {count('l[i]')}::INTEGER AS tokens FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {sents('text')} AS l FROM documents))",
+    "text_cuts": "SELECT doc_id, md5(substr(text, 1, 1024)) AS cut_md5, md5(substr(text, 1, 500)) AS preview_md5 FROM documents WHERE text IS NOT NULL",
+    "doc_keys": f"SELECT row_no, {key()} AS doc_key, substr({key()}, strpos({key()}, '::') + 2) AS document FROM doc_fields_meta",
+    "citations": f"SELECT id, concat_ws(' | ', nullif(category, ''), nullif(doc_path, ''), CASE WHEN page_from IS NULL THEN NULL WHEN page_to IS NULL OR page_to = page_from THEN 'p. ' || page_from ELSE 'pp. ' || page_from || '–' || page_to END) AS citation FROM {CHUNKS}",
+    "word_hit_ratio": f"SELECT id, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: contains(lower(text), x)))::DOUBLE / len(w) END, 6) AS ratio FROM (SELECT id, text, list_filter(regexp_split_to_array(lower({PREVIEW}), '\\s+'), lambda x: x <> '') AS w FROM {CHUNKS} WHERE text IS NOT NULL)",
+    "elements_grouped": f"SELECT {key()} AS doc_key, count(*) AS elements, min(page) AS first_page, max(page) AS last_page, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM {ELEMENTS} GROUP BY 1",
+    "heading_texts": f"SELECT doc_key, string_agg(heading, ' ' ORDER BY place) AS heading_text FROM (SELECT doc_key, heading, min(place) AS place FROM (SELECT doc_key, trim(regexp_replace(headings_path[i], '[\\s\\p{{Z}}]+', ' ', 'g')) AS heading, struct_pack(a := coalesce(page, 0), b := coalesce(elem_order, 0), c := id, d := i) AS place FROM (SELECT *, {key()} AS doc_key, unnest(range(1, len(headings_path) + 1)) AS i FROM {ELEMENTS})) WHERE heading <> '' GROUP BY ALL) GROUP BY doc_key",
+    "lexicon_df": f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({toks(NAV)})) AS token FROM doc_fields_meta) GROUP BY token",
+    "segments": f"""WITH RECURSIVE s AS (SELECT doc_id, (i - 1)::INTEGER AS pos, {count('l[i]')} AS tokens FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {sents('text')} AS l FROM documents))),
+        w AS (SELECT doc_id, pos, tokens AS total, 0 AS segment FROM s WHERE pos = 0 UNION ALL SELECT s.doc_id, s.pos, CASE WHEN w.total + s.tokens > 120 THEN s.tokens ELSE w.total + s.tokens END, w.segment + CASE WHEN w.total + s.tokens > 120 THEN 1 ELSE 0 END FROM w JOIN s ON s.doc_id = w.doc_id AND s.pos = w.pos + 1)
+        SELECT doc_id, pos, segment FROM w""",
+    "hash_encode": f"SELECT doc_id, (i - 1)::INTEGER AS place, round(v[i], 6) AS value FROM (SELECT doc_id, v, unnest(range(1, 65)) AS i FROM (SELECT doc_id, {unit('v')} AS v FROM (SELECT doc_id, {vec('t')} AS v FROM (SELECT doc_id, {toks('text')} AS t FROM documents)))) WHERE v[i] <> 0",
+    "adjacent_cuts": f"""WITH s AS (SELECT doc_id, (i - 1)::INTEGER AS pos, {toks('l[i]')} AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {sents('text')} AS l FROM documents))),
+        v AS (SELECT doc_id, pos, {unit('v')} AS v FROM (SELECT doc_id, pos, {vec('t')} AS v FROM s)), p AS (SELECT doc_id, pos, v, lag(v) OVER (PARTITION BY doc_id ORDER BY pos) AS u FROM v)
+        SELECT doc_id, pos, CASE WHEN u IS NOT NULL THEN round({dot('v', 'u')}, 6) END AS similarity FROM p""",
+    "knn_topk": f"SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({dot('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
+    "knn_filtered": f"SELECT query_id, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY before) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS before FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, round({dot('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE before <= 50 AND label IN (1, 3, 5) AND score >= 0.05) WHERE rank <= 10",
+    "search_raw": f"WITH {NEAR} SELECT query_id, rank::INTEGER AS rank, id, doc_key, round(score, 6) AS score FROM near JOIN c USING (id) WHERE rank <= 10",
+    "search_documents": f"WITH {NEAR} SELECT query_id, doc_key, round(max(score), 6) AS score, count(*) AS hits, min(least(page_from, page_to)) AS page_first, max(greatest(page_from, page_to)) AS page_last FROM near JOIN c USING (id) WHERE rank <= 10 GROUP BY query_id, doc_key",
+    "heading_prefix": rf"SELECT id, 'any' AS kind FROM {CHUNKS} WHERE len(list_filter(heading_path, lambda h: starts_with(h, '1.') OR starts_with(h, 'Раздел'))) > 0 UNION ALL SELECT id, 'joined' FROM {CHUNKS} WHERE starts_with(trim(regexp_replace(array_to_string(heading_path, ' > '), '[\s\p{{Z}}]+', ' ', 'g')), 'Логистика > Акты') OR starts_with(trim(regexp_replace(array_to_string(heading_path, ' > '), '[\s\p{{Z}}]+', ' ', 'g')), 'ПТО')",
+    "category_filter": f"SELECT id, category FROM {CHUNKS} WHERE coalesce(nullif(category, ''), 'UNK') IN ('UNK', 'ПТО/Переписка')",
+    "chunk_positions": f"SELECT id, doc_key, (row_number() OVER (PARTITION BY doc_key ORDER BY coalesce(from_order, 0), coalesce(to_order, 0), coalesce(chunk_index, 0), id) - 1)::BIGINT AS pos FROM (SELECT *, {key()} AS doc_key FROM {CHUNKS} WHERE text IS NOT NULL)",
+    "bm25": f"WITH {BM25} SELECT * FROM b",
+    "bm25_minmax": f"WITH {BM25} SELECT query_id, doc_key, round(CASE WHEN high - low < 1e-8 THEN 0.0 ELSE (bm25 - low) / (high - low) END, 4) AS scaled FROM (SELECT *, min(bm25) OVER (PARTITION BY query_id) AS low, max(bm25) OVER (PARTITION BY query_id) AS high FROM b)",
+    "hierarchy_scores": HIERARCHY,
+    "page_coherence": f"SELECT query_id, doc_key, round(coalesce(avg(CASE WHEN gap <= 2 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 0.0), 6) AS coherence FROM (SELECT query_id, doc_key, page_from - lag(page_from) OVER (PARTITION BY query_id, doc_key ORDER BY page_from) AS gap FROM {HITS} WHERE page_from IS NOT NULL) GROUP BY ALL",
+    "context_coverage": f"SELECT query_id, kind, value, count(*) AS items FROM (SELECT query_id, unnest([struct_pack(k := 'category', v := category), struct_pack(k := 'section', v := {SECTION_ID}), struct_pack(k := 'level', v := ({LEVEL})::VARCHAR)]) AS x, x.k AS kind, coalesce(x.v, 'UNK') AS value FROM {HITS}) GROUP BY ALL",
+    "context_quality": f"SELECT query_id, count(DISTINCT doc_key) AS documents, count(DISTINCT {LEVEL}) AS levels, round(count(DISTINCT category) / count(*) FILTER (category <> ''), 6) AS category_diversity, round(avg(score), 6) AS mean_score, count(*) AS items FROM {HITS} GROUP BY query_id",
+    "ent_domain": f"SELECT doc_id, {DOMAIN} AS domain FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)",
+    "ent_standards": f"SELECT doc_id, unnest({matches('(?i)((?:ГОСТ|ТУ)[[:space:]]*[0-9.-]+)')}) AS value FROM documents WHERE text IS NOT NULL",
+    "ent_incoterms": "SELECT doc_id, unnest(list_filter(['EXW', 'FCA', 'CPT', 'CIP', 'DAP', 'DPU', 'DDP', 'FAS', 'FOB', 'CFR', 'CIF'], lambda t: contains(upper(text), t))) AS term FROM documents WHERE text IS NOT NULL",
+    "ent_dates": f"SELECT doc_id, unnest(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END) AS value FROM (SELECT doc_id, {matches('(?i)(до[[:space:]]+[0-9]{1,2}[[:space:]]+[а-я]+[[:space:]]+[0-9]{4})')} AS a, {matches('([0-9]{4}-[0-9]{2}-[0-9]{2})')} AS b, {matches('([0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4})')} AS c FROM documents WHERE text IS NOT NULL)",
+    "ent_identifiers": f"SELECT doc_id, unnest({matches('(?i)((?:№|договор|контракт)[[:space:]]*[0-9A-Za-zА-Яа-я/-]*[0-9][0-9A-Za-zА-Яа-я/-]*)')}) AS value FROM documents WHERE text IS NOT NULL",
+    "ent_organisations": f"SELECT doc_id, unnest({matches('((?:ООО|ПАО|ЗАО|АО)[[:space:]]+(?:«[^»]+»|[А-ЯЁA-Z][\\p{L}-]+))')}) AS value FROM documents WHERE text IS NOT NULL",
+    "ent_stations": "SELECT doc_id, entry AS station, CASE WHEN strpos(lower(text), 'станци') > 0 AND strpos(lower(text), 'станци') < strpos(lower(text), lower(entry)) THEN 'destination' ELSE 'origin' END AS place FROM documents, (SELECT DISTINCT entry FROM dictionaries WHERE dict_name = 'stations') WHERE contains(lower(text), lower(entry))",
+    "section_importance": IMPORTANCE,
+    "section_top": f"SELECT doc_key, section, importance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY importance DESC, section) AS rank FROM ({IMPORTANCE})) WHERE rank <= 5",
+    "graph_folders": f"SELECT id, name, level, importance FROM {FOLDER_NODES}",
+    "graph_documents": f"SELECT * FROM {DOC_NODES}",
+    "graph_edges": f"SELECT * FROM {EDGES}",
+    "graph_references": f"SELECT * FROM {REFS}",
+    "graph_khop": f"WITH e AS MATERIALIZED (SELECT src, dst FROM {EDGES}), s AS (SELECT id FROM {FOLDER_NODES}) SELECT start, id, min(distance)::INTEGER AS distance FROM (SELECT s.id AS start, e.dst AS id, 1 AS distance FROM s JOIN e ON e.src = s.id UNION ALL SELECT s.id, f.dst, 2 FROM s JOIN e ON e.src = s.id JOIN e f ON f.src = e.dst) WHERE start <> id GROUP BY start, id",
+    "graph_tree": f"WITH e AS MATERIALIZED (SELECT src, dst FROM {EDGES} WHERE rel <> 'references'), d AS (SELECT id FROM {DOC_NODES}), a AS (SELECT d.id AS root, e.dst AS id, d.id AS parent FROM d JOIN e ON e.src = d.id) SELECT id AS root, id, NULL::VARCHAR AS parent, 0 AS depth FROM d UNION ALL SELECT root, id, parent, 1 FROM a UNION ALL SELECT a.root, e.dst, a.id, 2 FROM a JOIN e ON e.src = a.id",
+    "graph_pagerank": f"WITH {pagerank()} SELECT id, round(rank, 9) AS rank FROM r20",
+    "graph_importance": f"WITH {pagerank()}, base AS (SELECT id, importance FROM {FOLDER_NODES} UNION ALL SELECT id, NULL FROM {DOC_NODES}) SELECT id, round(CASE WHEN n > 10 THEN 0.7::DOUBLE * coalesce(importance, 0.5) + 0.3::DOUBLE * round(rank, 9) ELSE coalesce(importance, 0.5) END, 6) AS importance FROM base JOIN r20 USING (id), n",
+    "relevant_sections": f"WITH s AS (SELECT id, importance, unnest(list_distinct({words('heading')})) AS word FROM {SECTION_NODES}), q AS (SELECT item_id AS query_id, unnest(list_distinct({words('text')})) AS word FROM eval_items) SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(count(*) * importance, 6) AS score FROM q JOIN s USING (word) GROUP BY query_id, id, importance)) WHERE rank <= 5",
+    "stream_latest": f"SELECT id, category, source_type, length(text)::INTEGER AS chars FROM {ELEMENTS} WHERE id IS NOT NULL",
+}
