@@ -100,7 +100,7 @@ def token_count(c: str | Column) -> Column:
 def sentences(c: str | Column) -> Column:
     """Sentences: a text is cut after . ! ? … before white space, and at line ends; trimmed, none empty."""
     marked = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"([.!?…])\s+", "$1" + SENTENCE_MARK)
-    return F.filter(F.transform(F.split(marked, "[\n" + SENTENCE_MARK + "]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, "[\n" + SENTENCE_MARK + "]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def doc_key(category: str | Column = "category", doc_id: str | Column = "doc_id", doc_path: str | Column = "doc_path") -> Column:
@@ -128,7 +128,7 @@ def citation(category: str | Column, path: str | Column, page_from: str | Column
 def smart_truncate(c: str | Column, budget: int) -> Column:
     """The text where it fits the token budget; else its first sentences that fit; else its first characters."""
     c = col(c)
-    parts = F.filter(F.transform(F.split(c, r"[.!?]+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
     fold = F.aggregate(
         parts,

@@ -32,7 +32,7 @@ def pack(placed: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFrame:
     zero = F.struct(F.lit(cfg.token_budget).alias("left"), F.array().cast(kept).alias("out"))
 
     def shortened(text: Column, left: Column) -> Column:
-        parts = F.filter(F.transform(F.split(text, r"[.!?]+"), F.trim), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(text, r"[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
         fold = F.aggregate(
             parts,
             F.struct(F.lit("").alias("t"), F.lit(False).alias("full")),
@@ -74,7 +74,7 @@ def quality(rows: DataFrame) -> DataFrame:
     """(query_id, documents, levels, category_diversity, mean_score, items)."""
     with_category = F.count_if(F.coalesce(F.col("category"), F.lit("")) != "")
     diversity = F.when(with_category == 0, 0.0).otherwise(F.count_distinct("category") / with_category)
-    return rows.groupBy("query_id").agg(F.count_distinct("doc_key").alias("documents"), F.count_distinct("level").alias("levels"), F.round(diversity, 6).alias("category_diversity"), F.round(F.avg("score"), 6).alias("mean_score"), F.count(F.lit(1)).alias("items"))
+    return rows.groupBy("query_id").agg(F.count_distinct("doc_key").alias("documents"), F.count_distinct("level").alias("levels"), F.round(diversity, 6).alias("category_diversity"), F.round(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("items"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

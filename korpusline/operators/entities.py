@@ -32,7 +32,7 @@ CONFIDENCE = {"domain": 0.9, "object": 0.85, "quantity": 0.95, "location": 0.8,
 
 def all_of(text: str | Column, pattern: str) -> Column:
     """Distinct matches in order of occurrence."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), 1), lambda x: F.trim(x)))
 
 
 def domain(text: str | Column) -> Column:

@@ -66,7 +66,7 @@ near AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION
 
 NEAR = INDEXED.replace("{k}", "50")
 
-HITS = f"(SELECT category AS query_id, string_split(category, '/')[-1] AS query, {key()} AS doc_key, id, category, doc_path, chunk_index, text, heading_path, page_from, page_to, (('0x' || substr(md5(id), 1, 6))::BIGINT % 1000) / 1000 AS score FROM {CHUNKS} WHERE category IS NOT NULL AND text IS NOT NULL)"
+HITS = f"(SELECT category AS query_id, string_split(category, '/')[-1] AS query, {key()} AS doc_key, id, category, doc_path, chunk_index, text, heading_path, page_from, page_to, (('0x' || substr(md5(id), 1, 6))::BIGINT % 1000003) / 1000003 AS score FROM {CHUNKS} WHERE category IS NOT NULL AND text IS NOT NULL)"
 
 SECTION_ID = f"""CASE WHEN heading_path IS NULL OR len(heading_path) = 0 THEN 'root' ELSE coalesce(list_filter(list_transform(heading_path, lambda h: regexp_extract(h, '{NUMBER}', 1)), lambda n: n <> '')[1], replace(substr(heading_path[1], 1, 20), ' ', '_')) END"""
 LEVEL = f"coalesce(list_max(list_transform(heading_path, lambda h: {parts(section('h'))})), 0)"
@@ -79,7 +79,7 @@ IMPORTANCE = f"SELECT doc_key, section, count(*) AS elements, round(0.3::DOUBLE
 FOLDER_NODES = f"(SELECT DISTINCT 'folder::' || array_to_string(p[1:n], '/') AS id, p[n] AS name, (n - 1)::INTEGER AS level, round(1 / n, 6) AS importance, CASE WHEN n > 1 THEN 'folder::' || array_to_string(p[1:n - 1], '/') END AS parent FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT DISTINCT {FOLDERS} AS p FROM elements)))"
 DOC_NODES = f"(SELECT 'document::' || doc_key AS id, min(category) AS category, count(*) AS element_count FROM (SELECT {key()} AS doc_key, category FROM {ELEMENTS}) GROUP BY doc_key)"
 SECTION_NODES = f"""(SELECT 'section::' || s.doc_key || '::' || s.section AS id, s.doc_key, s.section, heading, level, element_count, coalesce(importance, 0.5) AS importance FROM (
-SELECT doc_key, section, count(*) AS element_count, arg_min(struct_pack(h := substr(text, 1, 100), l := list_max(list_transform(headings_path, lambda h: {parts(section('h'))}))), struct_pack(a := coalesce(page, 0), b := coalesce(elem_order, 0), c := id)) AS x, x.h AS heading, x.l AS level FROM {PREPARED} WHERE has_path GROUP BY doc_key, section) s LEFT JOIN ({IMPORTANCE}) i USING (doc_key, section))"""
+SELECT doc_key, section, count(*) AS element_count, arg_min(struct_pack(h := substr(text, 1, 100), l := list_max(list_transform(headings_path, lambda h: {parts(section('h'))}))), struct_pack(a := coalesce(page, 0), b := coalesce(elem_order, 0), c := id)) AS x, struct_extract(x, 'h') AS heading, struct_extract(x, 'l') AS level FROM {PREPARED} WHERE has_path GROUP BY doc_key, section) s LEFT JOIN ({IMPORTANCE}) i USING (doc_key, section))"""
 REFS = f"""(SELECT DISTINCT a.id AS src, b.id AS dst FROM (SELECT doc_key, section, unnest(list_filter(regexp_extract_all(text, '(?i)(?:раздел|глава|пункт)[а-я]*\\s+(\\d+(?:\\.\\d+)*)', 1), lambda x: x <> own)) AS target FROM (SELECT *, regexp_extract(text, '{NUMBER}', 1) AS own FROM {PREPARED}) WHERE own <> '') r JOIN {SECTION_NODES} a ON a.doc_key = r.doc_key AND a.section = r.section JOIN {SECTION_NODES} b ON b.doc_key = r.doc_key AND b.section = r.target)"""
 EDGES = f"""(SELECT parent AS src, id AS dst, 'refines' AS rel, 1.0::DOUBLE AS weight FROM {FOLDER_NODES} WHERE parent IS NOT NULL
 UNION ALL SELECT 'folder::' || array_to_string({FOLDERS}, '/'), id, 'contains', 1.0 FROM {DOC_NODES} WHERE coalesce(category, '') <> ''
@@ -165,8 +165,8 @@ SQL: dict[str, str] = {
     "bm25_minmax": f"WITH {BM25} SELECT query_id, doc_key, round(CASE WHEN high - low < 1e-8 THEN 0.0 ELSE (bm25 - low) / (high - low) END, 4) AS scaled FROM (SELECT *, min(bm25) OVER (PARTITION BY query_id) AS low, max(bm25) OVER (PARTITION BY query_id) AS high FROM b)",
     "hierarchy_scores": HIERARCHY,
     "page_coherence": f"SELECT query_id, doc_key, round(coalesce(avg(CASE WHEN gap <= 2 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 0.0), 6) AS coherence FROM (SELECT query_id, doc_key, page_from - lag(page_from) OVER (PARTITION BY query_id, doc_key ORDER BY page_from) AS gap FROM {HITS} WHERE page_from IS NOT NULL) GROUP BY ALL",
-    "context_coverage": f"SELECT query_id, kind, value, count(*) AS items FROM (SELECT query_id, unnest([struct_pack(k := 'category', v := category), struct_pack(k := 'section', v := {SECTION_ID}), struct_pack(k := 'level', v := ({LEVEL})::VARCHAR)]) AS x, x.k AS kind, coalesce(x.v, 'UNK') AS value FROM {HITS}) GROUP BY ALL",
-    "context_quality": f"SELECT query_id, count(DISTINCT doc_key) AS documents, count(DISTINCT {LEVEL}) AS levels, round(count(DISTINCT category) / count(*) FILTER (category <> ''), 6) AS category_diversity, round(avg(score), 6) AS mean_score, count(*) AS items FROM {HITS} GROUP BY query_id",
+    "context_coverage": f"SELECT query_id, x.k AS kind, coalesce(x.v, 'UNK') AS value, count(*) AS items FROM (SELECT query_id, unnest([struct_pack(k := 'category', v := category), struct_pack(k := 'section', v := {SECTION_ID}), struct_pack(k := 'level', v := ({LEVEL})::VARCHAR)]) AS x FROM {HITS}) GROUP BY ALL",
+    "context_quality": f"SELECT query_id, count(DISTINCT doc_key) AS documents, count(DISTINCT {LEVEL}) AS levels, round(count(DISTINCT category) / count(*) FILTER (category <> ''), 6) AS category_diversity, round(avg(score), 4) AS mean_score, count(*) AS items FROM {HITS} GROUP BY query_id",
     "ent_domain": f"SELECT doc_id, {DOMAIN} AS domain FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)",
     "ent_standards": f"SELECT doc_id, unnest({matches('(?i)((?:ГОСТ|ТУ)[[:space:]]*[0-9.-]+)')}) AS value FROM documents WHERE text IS NOT NULL",
     "ent_incoterms": "SELECT doc_id, unnest(list_filter(['EXW', 'FCA', 'CPT', 'CIP', 'DAP', 'DPU', 'DDP', 'FAS', 'FOB', 'CFR', 'CIF'], lambda t: contains(upper(text), t))) AS term FROM documents WHERE text IS NOT NULL",

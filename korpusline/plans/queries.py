@@ -39,7 +39,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as the hits of one query per category, with a score of their own: work for the operators after search."""
     rows = table(spark, d, "chunks").drop("indexed_at").filter("category is not null and text is not null").dropDuplicates(["id"])
-    return rows.select(F.col("category").alias("query_id"), F.element_at(F.split("category", "/"), -1).alias("query"), tx.doc_key().alias("doc_key"), "id", "category", "doc_path", "chunk_index", "text", "heading_path", "page_from", "page_to", (F.pmod(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("bigint"), F.lit(1000)) / 1000).alias("score"))
+    return rows.select(F.col("category").alias("query_id"), F.element_at(F.split("category", "/"), -1).alias("query"), tx.doc_key().alias("doc_key"), "id", "category", "doc_path", "chunk_index", "text", "heading_path", "page_from", "page_to", (F.pmod(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("bigint"), F.lit(1000003)) / 1000003).alias("score"))
 
 
 # sources

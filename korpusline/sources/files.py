@@ -56,7 +56,7 @@ def file_counts(paths: DataFrame) -> DataFrame:
 
 def lines(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, n, line): the non-blank lines, trimmed, numbered from 0 without gaps; a null text has none."""
-    own = F.filter(F.transform(F.split(tx.col(text), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    own = F.filter(F.transform(F.split(tx.col(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select(F.col(key).alias("key"), F.posexplode(own).alias("n", "line"))
 
 
@@ -71,7 +71,7 @@ def delimiter(sample: str | Column) -> Column:
 def csv_rows(files: DataFrame) -> DataFrame:
     """(path, n, text) of CSV files (path, text): `header: value; …` where the widths agree, else the values."""
     each = files.select("path", delimiter("text").alias("sep"), F.split("text", r"\r?\n").alias("all"))
-    cells = lambda line, sep: F.transform(F.split(line, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))), F.trim)
+    cells = lambda line, sep: F.transform(F.split(line, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))), lambda x: F.trim(x))
     rows = each.select("path", "sep", cells(F.col("all")[0], F.col("sep")).alias("head"), F.posexplode("all").alias("n", "line")).filter((F.col("n") > 0) & (F.trim("line") != ""))
     own = rows.withColumn("cells", cells(F.col("line"), F.col("sep")))
     named = F.array_join(F.zip_with("head", "cells", lambda h, v: F.concat(h, F.lit(": "), v)), "; ")

@@ -22,7 +22,7 @@ def element_stream(spark: SparkSession, path: str, files_per_trigger: int = 64)
     stream = spark.readStream.schema(known).option("maxFilesPerTrigger", files_per_trigger)
     if folder != path:
         stream = stream.option("pathGlobFilter", path.rsplit("/", 1)[1])
-    return stream.parquet(folder)
+    return stream.parquet(folder).withColumn("parsed_at", F.col("parsed_at").cast("timestamp"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
