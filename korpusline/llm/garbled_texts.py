@@ -54,7 +54,6 @@ LETTERS = RUSSIAN + LATIN + GERMAN
 INDEX = {c: n + 1 for n, c in enumerate(LETTERS)}
 #: Row 0 is the edge of a word; the last row is any other letter.
 SIZE = len(LETTERS) + 2
-SPLIT = re.compile(r"[ \t\r\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 SHAPE = re.compile(rf"(?:[{RUSSIAN}]+|[{LATIN}{GERMAN}]+)\Z")
 #: Damage that no writing has: replacement characters, control characters, letters lost to question marks.
@@ -135,6 +134,11 @@ class Cipher:
         return out + list(word[at:])
 
 
+def tokens_of(text: str) -> list[str]:
+    """The runs between blanks, tabs and line ends; a no-break space is part of a token, as it may be part of a symbol."""
+    return [t for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t]
+
+
 def codes(word: str) -> list[int]:
     return [0, *(INDEX.get(c, SIZE - 1) for c in word.lower()), 0]
 
@@ -167,6 +171,7 @@ class Model:
         self.seen: dict[tuple[str, str], list[tuple[str, str, float]]] = {}
         self.spoilt: dict[tuple[str, str, str], bool] = {}
         self.scored: dict[str, float] = {}
+        self.clean: dict[str, set[str]] = defaultdict(set)
 
     def score(self, text: str) -> float:
         """Mean log-probability of a letter of the token's words."""
@@ -253,14 +258,20 @@ class Model:
         A foreign name that some cipher happens to explain stands among words that this cipher spoils.
         first: the first cipher with enough evidence will do.
         """
-        if first:
-            for token in tokens:
-                found = self.readings(source, token)
-                if found and found[0][2] >= WHOLE:
-                    return {found[0][0]}
+        clean = self.clean[source]
+        suspects = [at for at, token in enumerate(tokens) if token not in clean]
+        if not suspects:
+            return set()
         gains: dict[str, dict[int, float]] = defaultdict(dict)
-        for at, token in enumerate(tokens):
-            for name, _, weight in self.readings(source, token):
+        for at in suspects:
+            found = self.readings(source, tokens[at])
+            if not found:
+                if len(clean) > 1_000_000:
+                    clean.clear()
+                clean.add(tokens[at])
+            elif first and found[0][2] >= WHOLE:
+                return {found[0][0]}
+            for name, _, weight in found:
                 gains[name][at] = weight
         out: dict[str, float] = {}
         for name, own in gains.items():
@@ -303,7 +314,7 @@ def token_counts(elements: DataFrame, cfg: GarbleConfig) -> DataFrame:
 
         for batch in batches:
             for source, text in zip(batch.source, batch.text):
-                counts[source].update(SPLIT.split(text))
+                counts[source].update(tokens_of(text))
             if sum(map(len, counts.values())) > 1_000_000:
                 yield flush()
         yield flush()
@@ -465,7 +476,7 @@ def judged(elements: DataFrame, cfg: GarbleConfig, restore: bool) -> DataFrame:
                     if DAMAGE.search(text):
                         rows.append((key, source, text if restore else None, "damage", False))
                     continue
-                names = own.row(source, SPLIT.split(text), not restore)
+                names = own.row(source, tokens_of(text), not restore)
                 lost = bool(DAMAGE.search(text))
                 if not names and not lost:
                     continue
