@@ -297,6 +297,29 @@ class Model:
         return {max(equal, key=lambda name: self.penalty(self.ciphers[source, name].apply(text)))} if equal else set()
 
 
+    def restored(self, source: str, text: str, names: set[str]) -> str:
+        """The text with its garbled tokens translated.
+
+        A cipher that spoils no token is applied to the whole text; else to the tokens that show it, and
+        to short ones between two such.
+        """
+        for name in sorted(names):
+            parts = re.split(r"([ \t\r\n]+)", text)
+            own = parts[::2]
+            if not any(self.worse(source, name, t) for t in own if not t.isascii()):
+                text = self.ciphers[source, name].apply(text)
+                continue
+            fixed = [next((x for n, x, _ in self.readings(source, t) if n == name), None) for t in own]
+            for at, t in enumerate(own):
+                sides = fixed[max(0, at - 1) : at] + fixed[at + 1 : at + 2]
+                if fixed[at] is not None:
+                    parts[2 * at] = fixed[at]
+                elif len(t) <= 6 and not t.isascii() and sides and None not in sides:
+                    parts[2 * at] = self.ciphers[source, name].apply(t)
+            text = "".join(parts)
+        return text
+
+
 def source_name(cfg: GarbleConfig):
     return F.coalesce("source_type", F.lit(cfg.other_source))
 
@@ -480,21 +503,7 @@ def judged(elements: DataFrame, cfg: GarbleConfig, restore: bool) -> DataFrame:
                 lost = bool(DAMAGE.search(text))
                 if not names and not lost:
                     continue
-                fixed = None
-                if restore:
-
-                    def translated(m: re.Match) -> str:
-                        for name, token, _ in own.readings(source, m[0]):
-                            if name in names:
-                                return token
-                        return m[0]
-
-                    fixed = re.sub(r"[^ \t\r\n]+", translated, text)
-                    # the short and unsure tokens of a wholly garbled text are translated with the rest
-                    for name in sorted(names):
-                        whole = own.ciphers[source, name].apply(text)
-                        if own.penalty(whole) >= own.penalty(fixed):
-                            fixed = whole
+                fixed = own.restored(source, text, names) if restore else None
                 rows.append((key, source, fixed, ", ".join(sorted(names)) or "damage", not DAMAGE.search(fixed) if restore else not lost))
             yield pd.DataFrame(rows, columns=["id", "source_type", "restored", "cipher", "whole"])
 
