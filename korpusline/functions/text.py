@@ -149,8 +149,10 @@ def cut_tokens(c: str | Column, tokens_: int = 256) -> Column:
 def word_hit_ratio(query: str | Column, content: str | Column) -> Column:
     """Share of the query's blank-separated words that occur in the content, as substrings."""
     asked = F.filter(F.split(F.lower(col(query)), r"\s+"), lambda w: w != "")
-    hits = F.filter(asked, lambda w: F.contains(F.lower(F.coalesce(col(content), F.lit(""))), w))
-    return F.when(F.size(asked) == 0, 0.0).otherwise(F.size(hits) / F.size(asked))
+    # bound, so that both sides are lower-cased once and not for every word
+    bound = F.array(F.struct(asked.alias("words"), F.lower(F.coalesce(col(content), F.lit(""))).alias("low")))
+    hits = F.transform(bound, lambda s: F.size(F.filter(s["words"], lambda w: F.contains(s["low"], w))))[0]
+    return F.when(F.size(asked) == 0, 0.0).otherwise(hits / F.size(asked))
 
 
 def row_text(columns: dict[str, str | Column]) -> Column:

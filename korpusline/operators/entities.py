@@ -86,10 +86,12 @@ def stations(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     names = dictionary.select(F.col("entry").alias("station")).distinct()
     if names.limit(10_001).count() <= 10_000:
         names = F.broadcast(names)
-    low = F.lower("query")
-    found = queries.crossJoin(names).filter(F.contains(low, F.lower("station")))
-    before = F.instr(low, STATION_WORD)
-    return found.select("query_id", "station", F.when((before > 0) & (before < F.expr("instr(lower(query), lower(station))")), "destination").otherwise("origin").alias("place"))
+    # lower-cased once per text and once per name, before they meet
+    names = names.withColumn("low_name", F.lower("station"))
+    texts = queries.withColumn("low", F.lower("query")).withColumn("before", F.instr("low", STATION_WORD))
+    found = texts.crossJoin(names).filter(F.contains(F.col("low"), F.col("low_name")))
+    behind = (F.col("before") > 0) & (F.col("before") < F.expr("instr(low, low_name)"))
+    return found.select("query_id", "station", F.when(behind, "destination").otherwise("origin").alias("place"))
 
 
 def extract(queries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from korpusline.config import GraphConfig
 from korpusline.functions import text as tx
+from korpusline.functions.session import cut
 from korpusline.operators import entities as en
 from korpusline.operators import graph as gr
 
@@ -68,6 +69,7 @@ def search(queries: DataFrame, node: DataFrame, edge: DataFrame, index: DataFram
     info = node.select("id", "type", "importance").join(ranks, "id", "left").join(contents, "id", "left")
     full = pairs.join(queries.select("query_id", "query"), "query_id").join(info, "id").join(entity_match(queries, index), ["query_id", "id"], "left")
     scored = full.select("query_id", "id", "type", node_score().alias("graph_score"), "content").filter("graph_score > 0").withColumn("hops", F.lit(0))
+    scored = cut(scored)  # read again for the expansion
     if expand:
         lead = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("graph_score"), "id"))).filter(F.col("n") <= cfg.expand_from)
         near = gr.neighbourhood(lead.select("id").distinct(), edge, cfg.max_distance)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from korpusline.config import ContextConfig, GraphConfig, RerankConfig
 from korpusline.functions import text as tx
 from korpusline.functions import vectors as vc
-from korpusline.functions.session import table
+from korpusline.functions.session import cut, table
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import charset, files, markup, tables
 from korpusline.streaming import ingest
@@ -557,9 +557,12 @@ def entity_index(spark, d):
 
 
 def _graph_hits(spark, d):
-    node, edge = _graph_tables(spark, d)
-    core, links = _core(spark, d)
-    return graph_search.search(_questions(spark, d), node, edge.filter("rel <> 'contains_element'"), _entity_index(spark, d), graph.pagerank(core, links), _contents(spark, d))
+    # each is used several times below; written once instead of planned and computed again
+    node, edge = map(cut, _graph_tables(spark, d))
+    index, contents = cut(_entity_index(spark, d)), cut(_contents(spark, d))
+    core, links = node.filter("type in ('folder', 'document')"), edge.filter("rel in ('refines', 'contains')")
+    ranks = cut(graph.pagerank(core, links))
+    return graph_search.search(_questions(spark, d), node, edge.filter("rel <> 'contains_element'"), index, ranks, contents)
 
 
 @query
