@@ -22,7 +22,7 @@ STANDARD = r"(?iu)((?:ГОСТ|ТУ)\s*[\d\-.]+)"
 DAY_DATE = r"(\d{1,2}\.\d{1,2}\.\d{4})"
 ISO_DATE = r"(\d{4}-\d{2}-\d{2})"
 DEADLINE = r"(?iu)(до\s+\d{1,2}\s+[а-я]+\s+\d{4})"
-QUANTITY = r"(?iu)(\d+(?:[.,]\d+)?)\s*(тонн|т|кг|м3|куб\.м|шт|штук)(?![а-яa-z])"
+QUANTITY = r"(?iu)(\d+(?:[.,]\d+)?)\s*(тонн|т|кг|м3|куб\.м|шт|штук)(?:[^а-яёa-z]|$)"
 IDENTIFIER = r"(?iu)((?:№|договор|контракт)\s*[\dA-Za-zА-Яа-я\-/]*\d[\dA-Za-zА-Яа-я\-/]*)"
 ORGANISATION = r"((?:ООО|ПАО|ЗАО|АО)\s+(?:«[^»]+»|\"[^\"]+\"|[А-ЯЁA-Z][\p{L}\-]+))"
 STATION_WORD = "станци"

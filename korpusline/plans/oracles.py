@@ -122,6 +122,8 @@ def matches(pattern: str) -> str:
     return f"list_distinct(list_transform(regexp_extract_all(text, '{pattern}', 1), lambda x: trim(x)))"
 
 
+QUANTITY = r"(?i)(\d+(?:[.,]\d+)?)\s*(тонн|т|кг|м3|куб\.м|шт|штук)(?:[^а-яёa-z]|$)"
+
 SQL: dict[str, str] = {
     "src_lines": r"SELECT doc_id, (i - 1)::INTEGER AS n, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL))",
     "src_db_rows": "SELECT 'parts' AS category, 'postgres' AS doc_path, p_partkey::VARCHAR AS doc_id, 'pg' AS source_type, 'row' AS element_type, concat_ws(' | ', p_partkey, p_name, p_brand, p_type) AS text FROM part",
@@ -186,4 +188,16 @@ SQL: dict[str, str] = {
     "graph_importance": f"WITH {pagerank()}, base AS (SELECT id, importance FROM {FOLDER_NODES} UNION ALL SELECT id, NULL FROM {DOC_NODES}) SELECT id, round(CASE WHEN n > 10 THEN 0.7::DOUBLE * coalesce(importance, 0.5) + 0.3::DOUBLE * round(rank, 9) ELSE coalesce(importance, 0.5) END, 6) AS importance FROM base JOIN r20 USING (id), n",
     "relevant_sections": f"WITH s AS (SELECT id, importance, unnest(list_distinct({words('heading')})) AS word FROM {SECTION_NODES}), q AS (SELECT item_id AS query_id, unnest(list_distinct({words('text')})) AS word FROM eval_items) SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(count(*) * importance, 6) AS score FROM q JOIN s USING (word) GROUP BY query_id, id, importance)) WHERE rank <= 5",
     "stream_latest": f"SELECT id, category, source_type, length(text)::INTEGER AS chars FROM {ELEMENTS} WHERE id IS NOT NULL",
+    "path_parts": r"SELECT row_no, ext, regexp_replace(name, '\.[^.]*$', '') AS stem, regexp_replace(p, '/?[^/]*$', '') AS folder, ext IN ('pdf', 'docx', 'doc', 'pptx', 'xlsx', 'xls', 'csv', 'txt', 'html', 'htm', 'md') AND NOT contains(p, '.ipynb_checkpoints') AND NOT starts_with(name, '~$') AND NOT starts_with(name, '.') AS is_read FROM (SELECT row_no, lower(regexp_extract(doc_path, '\.([^./\\]+)$', 1)) AS ext, replace(doc_path, '\', '/') AS p, string_split(replace(doc_path, '\', '/'), '/')[-1] AS name FROM doc_fields_meta)",
+    "ent_quantity": rf"SELECT doc_id, value, coalesce(map {{'т': 'тонн', 'кг': 'килограмм', 'шт': 'штук', 'куб.м': 'м3'}}[unit], unit) AS unit FROM (SELECT doc_id, replace(regexp_extract(text, '{QUANTITY}', 1), ',', '.')::DOUBLE AS value, lower(regexp_extract(text, '{QUANTITY}', 2)) AS unit FROM documents WHERE regexp_matches(text, '{QUANTITY}'))",
+    "graph_nodes": f"SELECT id, 'folder' AS type, level, importance, NULL::BIGINT AS element_count, NULL::INTEGER AS text_length, NULL::BOOLEAN AS has_media FROM {FOLDER_NODES} UNION ALL SELECT id, 'document', NULL, NULL, element_count, NULL, NULL FROM {DOC_NODES} UNION ALL SELECT id, 'section', level, importance, element_count, NULL, NULL FROM {SECTION_NODES} UNION ALL SELECT 'element::' || id, element_type, NULL, NULL, NULL, coalesce(length(text), 0), media_path IS NOT NULL FROM {PREPARED} WHERE has_path",
+    "graph_analysis": f"SELECT 'nodes' AS kind, type AS value, count(*) AS n FROM (SELECT 'folder' AS type FROM {FOLDER_NODES} UNION ALL SELECT 'document' FROM {DOC_NODES} UNION ALL SELECT 'section' FROM {SECTION_NODES} UNION ALL SELECT element_type FROM {PREPARED} WHERE has_path) GROUP BY type UNION ALL SELECT 'edges', rel, count(*) FROM {EDGES} GROUP BY rel UNION ALL SELECT 'depth', 'section', coalesce(max(level), 0)::BIGINT FROM {SECTION_NODES}",
+    "context_summary": f"SELECT query_id, category || ': ' || CASE WHEN len(s) > 0 THEN array_to_string(s, ', ') ELSE 'общая информация' END AS summary FROM (SELECT query_id, category, list_sort(list_distinct(list_filter(list({SECTION_ID}), lambda x: x <> 'root'))) AS s FROM {HITS} GROUP BY query_id, category)",
+    "idf_gate": f"""WITH d AS (SELECT doc_key, {toks(NAV)} AS t FROM doc_fields_meta), n AS (SELECT count(*) AS n FROM d), lex AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM d) GROUP BY token),
+        rare AS (SELECT query_id, list(token) AS rare FROM (SELECT DISTINCT item_id AS query_id, unnest({toks('text')}) AS token FROM eval_items) JOIN lex USING (token), n WHERE df <= (1 - 0.85::DOUBLE) * n GROUP BY query_id),
+        q AS (SELECT item_id AS query_id, rare FROM eval_items LEFT JOIN rare ON rare.query_id = item_id)
+        SELECT * FROM (SELECT query_id, doc_key, round(CASE WHEN len(t) = 0 THEN 0.7 WHEN rare IS NULL THEN 1.0 ELSE 1 - (1 - len(list_intersect(rare, t))::DOUBLE / len(rare)) * 0.3::DOUBLE END, 6) AS gate FROM q, d) WHERE gate < 1""",
+    "doc_fields": f"""WITH h AS (SELECT doc_key, string_agg(heading, ' ' ORDER BY place) AS heading_text FROM (SELECT doc_key, heading, min(place) AS place FROM (SELECT doc_key, trim(regexp_replace(headings_path[i], '[\\s\\p{{Z}}]+', ' ', 'g')) AS heading, struct_pack(a := coalesce(page, 0), b := coalesce(elem_order, 0), c := id, d := i) AS place FROM (SELECT *, {key()} AS doc_key, unnest(range(1, len(headings_path) + 1)) AS i FROM {ELEMENTS})) WHERE heading <> '' GROUP BY ALL) GROUP BY doc_key),
+        d AS (SELECT doc_key, coalesce(heading_text, '') AS heading_text, {path('p')} AS path_text FROM (SELECT {key()} AS doc_key, min(doc_path) AS p FROM elements GROUP BY 1) LEFT JOIN h USING (doc_key))
+        SELECT doc_key, heading_text, path_text, len({toks(NAV)})::INTEGER AS tokens FROM d""",
 }
