@@ -57,7 +57,14 @@ SIZE = len(LETTERS) + 2
 WORD = re.compile(r"[^\W\d_]+")
 SHAPE = re.compile(rf"(?:[{RUSSIAN}]+|[{LATIN}{GERMAN}]+)\Z")
 #: Damage that no writing has: replacement characters, control characters, letters lost to question marks.
-DAMAGE = re.compile(r"�|[\x80-\x9f]|\?{4,}|[^\W\d_]\?[^\W\d_]|(?<![\w?])\?{2,}(?=[\s.,;:]+\?{2,})|(?<!\S)\?{3}(?=[ .,;])")
+CONTROLS = re.compile(r"[\x80-\x9f�]")
+QUESTIONS = re.compile(r"\?{4,}|[^\W\d_a-zA-Z]\?[^\W\d_]|[^\W\d_]\?[^\W\d_a-zA-Z]|(?<![\w?])\?{2,}(?=[\s.,;:]+\?{2,})|(?<!\S)\?{3}(?=[ .,;])")
+#: What may be letters under some single-byte cipher.
+RUNS = re.compile(r"[^\x00-@\[-`{-\x7f]+")
+
+
+def damaged(text: str) -> bool:
+    return bool(CONTROLS.search(text) or "?" in text and QUESTIONS.search(text))
 
 #: Signs where no writing has them: glued to letters, or a closing quotation mark before a letter.
 MISPLACED = re.compile(r"(?<=[^\W\d_])[€©®µ‘“„](?=[^\W\d_]|\W|\Z)|[€©®](?=[^\W\d_])|(?:(?<=\s)|\A)[»”’](?=[^\W\d_])")
@@ -214,8 +221,9 @@ class Model:
             return []
         out = []
         chars = set(token)
+        longest = max(map(len, RUNS.findall(token)), default=0)
         for name, cipher in self.by_source.get(source, ()):
-            if not chars & cipher.heads:
+            if chars.isdisjoint(cipher.heads) or longest < 3 and not cipher.pattern:
                 continue
             text = cipher.apply(token)
             if text == token:
@@ -496,15 +504,15 @@ def judged(elements: DataFrame, cfg: GarbleConfig, restore: bool) -> DataFrame:
             rows = []
             for key, source, text in zip(batch.id, batch.source, batch.text):
                 if text.isascii():
-                    if DAMAGE.search(text):
+                    if damaged(text):
                         rows.append((key, source, text if restore else None, "damage", False))
                     continue
                 names = own.row(source, tokens_of(text), not restore)
-                lost = bool(DAMAGE.search(text))
+                lost = damaged(text)
                 if not names and not lost:
                     continue
                 fixed = own.restored(source, text, names) if restore else None
-                rows.append((key, source, fixed, ", ".join(sorted(names)) or "damage", not DAMAGE.search(fixed) if restore else not lost))
+                rows.append((key, source, fixed, ", ".join(sorted(names)) or "damage", not damaged(fixed) if restore else not lost))
             yield pd.DataFrame(rows, columns=["id", "source_type", "restored", "cipher", "whole"])
 
     rows = source.filter(F.length("text") > 0).select("id", source_name(cfg).alias("source"), "text")

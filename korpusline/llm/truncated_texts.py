@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusline.functions.session import spread
+from korpusline.functions.session import cut, spread
 from korpusline.llm.words import CACHE_ENTRIES
 
 
@@ -31,7 +31,7 @@ class CutConfig:
     open_end: the same share where the length is a limit of its source; limit_docs and limit_share: texts of
     equal length, and their share of the source, that make a length a limit; line_tokens: tokens of a
     line shape, at most (longer lines are no headings or signatures); keys: counts a task holds before
-    it hands them on."""
+    it hands them on; broadcast_limits: rows of limits up to which they are broadcast."""
 
     known: int = 2
     least: int = 4
@@ -41,6 +41,7 @@ class CutConfig:
     limit_share: float = 0.08
     line_tokens: int = 14
     keys: int = 1_500_000
+    broadcast_limits: int = 100_000
 
 
 #: A full stop that ends a sentence: before a line end, the end of the text, or a capital letter or digit.
@@ -235,10 +236,12 @@ def truncated_texts(documents: DataFrame, cfg: CutConfig = CutConfig()) -> DataF
     ends = text_ends(source, cfg)
     asked = ends.select("doc_id", "state", F.explode(F.array_compact(F.array("two", "one", "word", "prefix", "shape"))).alias("key"))
     found = asked.join(known, "key", "left").groupBy("doc_id", "state").agg(*[F.max(F.when(F.startswith("key", F.lit(k)), F.col("seen"))).alias(n) for k, n in (("2", "two"), ("1", "one"), ("w", "word"), ("p", "prefix"), ("s", "shape"))], F.max(F.startswith("key", F.lit("w"))).alias("lettered"), F.max(F.col("key").rlike(r"^1[\p{Ll}]")).alias("lower"))
-    limit = limits(source, cfg)
+    limit = cut(limits(source, cfg))
+    if limit.limit(cfg.broadcast_limits + 1).count() <= cfg.broadcast_limits:
+        limit = F.broadcast(limit)
     sized = source.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     at_limit = (
-        sized.join(F.broadcast(limit), F.expr("source <=> of and size = if(unit = 'chars', chars, bytes)"), "left_semi")
+        sized.join(limit, F.expr("source <=> of and size = if(unit = 'chars', chars, bytes)"), "left_semi")
         .select("doc_id", F.lit(True).alias("limited"))
         .distinct()
     )
