@@ -58,7 +58,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SHAPE = re.compile(rf"(?:[{RUSSIAN}]+|[{LATIN}{GERMAN}]+)\Z")
 #: Damage that no writing has: replacement characters, control characters, letters lost to question marks.
 CONTROLS = re.compile(r"[\x80-\x9f�]")
-QUESTIONS = re.compile(r"\?{4,}|[^\W\d_a-zA-Z]\?[^\W\d_]|[^\W\d_]\?[^\W\d_a-zA-Z]|(?<![\w?])\?{2,}(?=[\s.,;:]+\?{2,})|(?<!\S)\?{3}(?=[ .,;])")
+QUESTIONS = re.compile(r"\?{4,}|[^\W\d_]\?[^\W\d_](?!\S*[=/])|(?<![\w?])\?{2,}(?=[\s.,;:]+\?{2,})|(?<!\S)\?{3}(?=[ .,;])")
 #: What may be letters under some single-byte cipher.
 RUNS = re.compile(r"[^\x00-@\[-`{-\x7f]+")
 
