@@ -48,7 +48,8 @@ class CutConfig:
 STOP = re.compile(r"[.!?…]+[\"»”’)\]]*(?=\s*\n|\s*\Z|\s+[\"«“(•\-–—]*\s*[A-ZÄÖÜА-ЯЁЂ-Џ\d])")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|\n|_+")
 #: What a cut may leave behind, and what does not count at an end.
-BLANK_END = re.compile(r"[\s​‌‍⁠﻿]+\Z")
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(r"\s", c)) + "​‌‍⁠﻿"
+DOTS = ".…�"
 REMAINS = re.compile(r"(?:\.{2,}|…|�)[\s.…�]*\Z")
 ENDED = re.compile(r"[.!?][\"»”’)\]]*\Z")
 LAST_WORD = re.compile(r"[^\W\d_]+\Z")
@@ -99,8 +100,10 @@ def line_shape(classes: list[str]) -> str:
 
 def stripped(text: str) -> tuple[str, bool]:
     """(the text without blanks and remains of a cut at its end, whether there were remains)."""
-    body = BLANK_END.sub("", text)
-    bare = BLANK_END.sub("", REMAINS.sub("", body))
+    body = text.rstrip(BLANKS)
+    tail = len(body.rstrip(BLANKS + DOTS))
+    found = REMAINS.search(body, tail)
+    bare = body[: found.start()].rstrip(BLANKS) if found else body
     return bare, bare != body
 
 
@@ -109,7 +112,7 @@ def corpus_counts(documents: DataFrame, cfg: CutConfig) -> DataFrame:
 
     Keys: `2` two last tokens, `1` last token: how often they occur, how often a sentence or line ends
     there, how often a full stop follows that ends nothing. `w` a word, `s` the shape of a complete line.
-    What stands at the very end of a text is not counted.
+    What stands at the very end of a text is not counted: its last token, without what a cut may have left behind.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +146,7 @@ def corpus_counts(documents: DataFrame, cfg: CutConfig) -> DataFrame:
 
         for batch in batches:
             for text in batch.text:
-                tokens, classes = tokens_of(text, masks)
+                tokens, classes = tokens_of(stripped(text)[0], masks)
                 words.update(tokens[:-1])
                 triples.update(zip(["\n", *classes], classes, classes[1:]))
                 start = 0

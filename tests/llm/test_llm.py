@@ -254,3 +254,11 @@ def test_truncated_texts(spark):
     shares = {r.source: r.share for r in truncated_texts.truncation_by_source(df).collect()}
     assert all(0.05 < shares[f"src{k}"] < 0.2 for k in range(3))
     assert truncated_texts.truncated_texts(df.filter("false")).count() == 0
+
+
+def test_remains_of_a_cut_do_not_count_as_known(spark):
+    whole = "Die Stückzahl im Lager wurde gestern gezählt und gebucht. Der Rest bleibt im Lager."
+    ends = ["Der Rest wurde am 2023-02-17 gezä...", "Der Rest wurde am 2023-02-17 gezä...", "Der Rest wurde am 2023-02-17 gezä…", "Der Rest wurde am 2023-02-17 gezä\n"]
+    rows = [(n, whole, "a") for n in range(6)] + [(100 + n, whole + " " + end, "a") for n, end in enumerate(ends)]
+    got = truncated_texts.truncated_texts(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {r.doc_id: r.reason for r in got.collect()} == {100 + n: "word" for n in range(4)}
