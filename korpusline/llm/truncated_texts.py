@@ -28,17 +28,22 @@ from korpusline.llm.words import CACHE_ENTRIES
 class CutConfig:
     """known: occurrences that make a word known; least: weight of the prior in a share, in occurrences;
     inside: share of ends after the last tokens under which the text ends inside a sentence;
-    open_end: the same share where the length is a limit of its source; limit_docs and limit_share: texts of
-    equal length, and their share of the source, that make a length a limit; line_tokens: tokens of a
-    line shape, at most (longer lines are no headings or signatures); keys: counts a task holds before
-    it hands them on; broadcast_limits: rows of limits up to which they are broadcast."""
+    open_end: the same share where the length is a limit of its source; limit_docs: different texts
+    of equal length that make a length a limit, where they are limit_ratio times what lengths up to
+    limit_near away have, and chance gives so many once in exp(limit_odds) lengths; limit_tight: the
+    nearest lengths, for which limit_ratio holds too; line_tokens: tokens of a line shape, at most (longer
+    lines are no headings or signatures); keys: counts a task holds before it hands them on;
+    broadcast_limits: rows of limits up to which they are broadcast."""
 
     known: int = 2
     least: int = 4
     inside: float = 0.12
     open_end: float = 0.8
     limit_docs: int = 3
-    limit_share: float = 0.08
+    limit_ratio: float = 16.0
+    limit_odds: float = 14.0
+    limit_near: int = 64
+    limit_tight: int = 8
     line_tokens: int = 14
     keys: int = 1_500_000
     broadcast_limits: int = 100_000
@@ -212,12 +217,48 @@ def text_ends(documents: DataFrame, cfg: CutConfig) -> DataFrame:
     return documents.filter("length(text) > 0").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, state string, two string, one string, word string, prefix string, shape string")
 
 
+#: Bytes of a character that a byte limit may cut off, or that stand for it as a replacement character.
+PART = 3
+
+
 def limits(documents: DataFrame, cfg: CutConfig) -> DataFrame:
-    """(source, unit, size): lengths, in characters or bytes, that many texts of a source share."""
-    sizes = documents.filter("length(text) > 0").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))).alias("x"))
-    counted = sizes.groupBy("source", "x.unit", "x.size").count()
-    docs = F.sum("count").over(Window.partitionBy("source", "unit"))
-    return counted.withColumn("docs", docs).filter((F.col("count") >= cfg.limit_docs) & (F.col("count") >= cfg.limit_share * F.col("docs"))).select(F.col("source").alias("of"), "unit", "size")
+    """(of, unit, size, short): lengths of a source, in characters or bytes, whose count stands out from their neighbours'.
+
+    The share of the source does not matter. Copies of a text count once. A byte limit leaves texts up to
+    three bytes shorter, where it would split a character: they count with it, and their lengths are listed
+    with the bytes they are short. Bytes are counted for texts where they differ from the characters.
+    """
+    texts = documents.filter("length(text) > 0").select("source", F.xxhash64("text").alias("hash"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).distinct()
+    sizes = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.when(F.col("bytes") > F.col("chars"), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size"))))).alias("x"))
+    counted = sizes.filter("x is not null").groupBy("source", "x.unit", "x.size").count()
+    order = Window.partitionBy("source", "unit").orderBy("size")
+    in_bytes = F.col("unit") == "bytes"
+
+    def within(below: int, above: int) -> Column:
+        return F.sum("count").over(order.rangeBetween(-below, above))
+
+    def density(reach: int, rest: int) -> Column:
+        # texts a length, from lengths up to reach away; those around a byte limit have the texts it cut
+        def part(own: int) -> Column:
+            width = reach + F.least(F.lit(reach), F.col("size") - 1) - own - F.least(F.lit(own), F.col("size") - 1)
+            return (within(reach, reach) - within(own, own) + rest) / width
+
+        return F.when(in_bytes, part(PART)).otherwise(part(0))
+
+    def stands_out(found: Column, lengths: int) -> Column:
+        near, tight = F.col("near") * lengths, F.col("tight") * lengths
+        odds = found * F.log(found / near) - (found - near)
+        return (found >= cfg.limit_docs) & (found >= cfg.limit_ratio * F.greatest(near, tight)) & (odds >= cfg.limit_odds)
+
+    above = F.coalesce(F.max("count").over(order.rangeBetween(1, PART)), F.lit(0))
+    measured = counted.select("source", "unit", "size", "count", above.alias("above"), within(PART, 0).alias("pooled"), density(cfg.limit_near, 1).alias("near"), density(cfg.limit_tight + PART, 0).alias("tight"))
+    # a length of a limit has its part of the pooled texts: one that merely follows the limit has not
+    own = F.col("count") * 2 * (PART + 1) >= F.col("pooled")
+    found = measured.filter(stands_out(F.col("count"), 1) | in_bytes & own & stands_out(F.col("pooled"), PART + 1))
+    # a length that is itself short of a greater count has none below it
+    reach = F.when(in_bytes & (F.col("above") < F.col("count")), PART).otherwise(0)
+    shorter = found.select(F.col("source").alias("of"), "unit", "size", F.explode(F.sequence(F.lit(0), reach)).alias("short"))
+    return shorter.groupBy("of", "unit", (F.col("size") - F.col("short")).alias("size")).agg(F.min("short").alias("short"))
 
 
 def smoothed(evidence: str, prior: Column, cfg: CutConfig) -> Column:
@@ -242,9 +283,11 @@ def truncated_texts(documents: DataFrame, cfg: CutConfig = CutConfig()) -> DataF
     limit = cut(limits(source, cfg))
     if limit.limit(cfg.broadcast_limits + 1).count() <= cfg.broadcast_limits:
         limit = F.broadcast(limit)
-    sized = source.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    # only a character of four bytes leaves three
+    widest = F.when(F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]"), PART).otherwise(PART - 1)
+    sized = source.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), widest.alias("widest"))
     at_limit = (
-        sized.join(limit, F.expr("source <=> of and size = if(unit = 'chars', chars, bytes)"), "left_semi")
+        sized.join(limit, F.expr("source <=> of and size = if(unit = 'chars', chars, bytes) and short <= widest"), "left_semi")
         .select("doc_id", F.lit(True).alias("limited"))
         .distinct()
     )

@@ -262,3 +262,30 @@ def test_remains_of_a_cut_do_not_count_as_known(spark):
     rows = [(n, whole, "a") for n in range(6)] + [(100 + n, whole + " " + end, "a") for n, end in enumerate(ends)]
     got = truncated_texts.truncated_texts(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert {r.doc_id: r.reason for r in got.collect()} == {100 + n: "word" for n in range(4)}
+
+
+def test_limits_stand_out_from_neighbours_whatever_their_share(spark):
+    rng = random.Random(5)
+    sizes = [rng.randrange(100, 3000) for _ in range(900)]
+    rows = [("chars", "ab"[n % 2] + f"{n:05}" * (size // 5) + "x" * (size % 5)) for n, size in enumerate(sizes + [4000] * 12)]
+    rows += [("bytes", f"{n:05} " + "ы" * ((size - 6) // 2) + "." * (size % 2)) for n, size in enumerate(sizes + [4096] * 9 + [4095] * 7)]
+    rows += [("copies", "ы" * size) for size in sizes + [5000] * 40] + [("close", f"{n:05}" + "x" * (50 + n % 3)) for n in range(300)]
+    df = spark.createDataFrame(rows, "source string, text string")
+    got = {(r["of"], r.unit, r["size"]) for r in truncated_texts.limits(df, truncated_texts.CutConfig()).collect()}
+    assert ("chars", "chars", 4001) in got and {("bytes", "bytes", 4095), ("bytes", "bytes", 4096)} <= got
+    assert not {x for x in got if x[0] in ("copies", "close") or x[0] == x[1] and x[2] < 3900}
+
+
+def test_open_ends_at_a_rare_limit_are_found(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in range(400):
+        text = " ".join(f"Die Länge {rng.randrange(10**6)} wurde geprüft." for _ in range(rng.randrange(3, 50)))
+        rows.append((n, text + "\nLänge bis 17 mm" + ("\nLänge von 9 mm bis oben.\n" if n % 2 else "\nRest."), "mail"))
+    for n in range(400, 412):
+        body = f"Nummer {n}. " + "".join(f"Die Länge {rng.randrange(10**6)} wurde geprüft. " for _ in range(90))
+        end = "Länge bis 17 mm"
+        rows.append((n, body[: 3000 - len(end) - 2].rstrip(" ").ljust(3000 - len(end) - 2, "a") + ". " + end, "mail"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.reason for r in truncated_texts.truncated_texts(df).collect()}
+    assert {n for n, reason in got.items() if reason == "limit"} == set(range(400, 412))
