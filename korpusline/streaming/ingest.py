@@ -30,9 +30,12 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location).isDirectory()
 
 
-def first_seen(stream: DataFrame, late: str = WATERMARK) -> DataFrame:
-    """Each id once: a repeat within the watermark is dropped, state older than it is forgotten."""
-    return stream.withWatermark("parsed_at", late).dropDuplicatesWithinWatermark(["id"])
+def first_seen(stream: DataFrame) -> DataFrame:
+    """Each id once, however late its first row comes: without a watermark no row is dropped for its age.
+
+    The state holds one key per id; a run with availableNow ends with the files that have arrived.
+    """
+    return stream.dropDuplicates(["id"])
 
 
 def counts_by_window(stream: DataFrame, width: str = "1 day", late: str = WATERMARK) -> DataFrame:
@@ -48,7 +51,7 @@ def run_now(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def latest_elements(spark: SparkSession, path: str) -> DataFrame:
+def latest_elements(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """(id, category, source_type, chars) of the folder's elements, each id once."""
-    rows = first_seen(element_stream(spark, path).filter("id is not null").select("id", "category", "source_type", F.length("text").alias("chars"), "parsed_at"))
-    return run_now(rows, "elements").drop("parsed_at")
+    rows = first_seen(element_stream(spark, path, files_per_trigger).filter("id is not null").select("id", "category", "source_type", F.length("text").alias("chars")))
+    return run_now(rows, "elements")

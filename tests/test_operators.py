@@ -12,6 +12,7 @@ from korpusline.config import ContextConfig
 from korpusline.functions import scan
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import charset, files, markup, office, sinks
+from korpusline.streaming import ingest
 
 ELEMENT = dict.fromkeys([x.strip().split(" ")[0] for x in schema.ELEMENTS.split(", ")])
 
@@ -225,3 +226,13 @@ def test_upsert_without_a_store(spark):
             raise ConnectionError
 
     assert sinks.upsert(spark.range(3), Down) is False
+
+
+def test_stream_keeps_rows_older_than_the_watermark(spark, tmp_path):
+    parts = [[("a", "2024-02-14"), ("b", "2024-01-01")], [("c", "2024-01-01"), ("a", "2024-02-15")], [("d", "2024-01-02"), ("c", "2024-02-16"), (None, "2024-01-02")]]
+    for n, part in enumerate(parts):
+        rows = spark.createDataFrame([(key, "x", "pdf", "text", day) for key, day in part], "id string, category string, source_type string, text string, day string")
+        rows.withColumn("parsed_at", F.to_timestamp("day")).drop("day").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows.parquet"))
+        assert len(list((tmp_path / "rows.parquet").glob("*.parquet"))) == n + 1
+    got = ingest.latest_elements(spark, str(tmp_path / "rows.parquet"), 1).collect()
+    assert sorted(tuple(r) for r in got) == [(key, "x", "pdf", 4) for key in "abcd"]
