@@ -215,23 +215,29 @@ def similar_pairs(rows: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(key, root): connected components of (key_a, key_b) by label spreading with pointer jumping.
+def components(links: DataFrame) -> DataFrame:
+    """(key, root): connected components of (key_a, key_b), by alternating large and small stars.
 
-    Each round is one aggregation over the links and one join; the number of rounds grows with the
-    logarithm of a component's diameter. Only a changed-rows count reaches the driver.
+    A large star ties the greater neighbours of a key to the least key it knows, a small star its lesser
+    ones; both keep what is connected so. The loop ends when every key has one edge, to a key that has
+    none: the rounds grow with the logarithm of a component's size, whatever its diameter. Only whether
+    there are other keys reaches the driver.
     """
-    edges = cut(links.select("key_a", "key_b").union(links.select("key_b", "key_a")).toDF("key", "other").distinct())
-    labels = edges.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("root"))
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("near"))
-        hopped = labels.join(near, "key").select("key", "root", F.least("root", "near").alias("step"))
-        jumped = hopped.join(labels.select(F.col("key").alias("step"), F.col("root").alias("jump")), "step", "left").select("key", F.col("root").alias("old"), F.least("step", F.coalesce("jump", "step")).alias("root"))
-        done = cut(jumped)
-        labels = done.select("key", "root")
-        if done.filter("old <> root").isEmpty():
+    links = cut(links.select("key_a", "key_b").distinct())
+    edges = cut(links.filter("key_a <> key_b").select(F.greatest("key_a", "key_b").alias("key"), F.least("key_a", "key_b").alias("other")).distinct())
+    while True:
+        both = edges.union(edges.select("other", "key"))
+        least = both.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("least"))
+        large = both.filter("other > key").join(least, "key").select(F.col("other").alias("key"), F.col("least").alias("other")).distinct()
+        least = large.groupBy("key").agg(F.min("other").alias("least"))
+        small = large.join(least, "key").filter("other > least").select("other", "least").union(least)
+        edges = cut(small.toDF("key", "other").distinct())
+        several = edges.groupBy("key").count().filter("count > 1").select("key")
+        inner = edges.select("key").join(edges.select(F.col("other").alias("key")), "key", "left_semi")
+        if several.union(inner).isEmpty():
             break
-    return labels
+    keys = links.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    return keys.join(edges, "key", "left").select("key", F.coalesce("other", "key").alias("root"))
 
 
 def near_duplicate_groups(rows: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:

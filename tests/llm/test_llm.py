@@ -289,3 +289,14 @@ def test_open_ends_at_a_rare_limit_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r.reason for r in truncated_texts.truncated_texts(df).collect()}
     assert {n for n, reason in got.items() if reason == "limit"} == set(range(400, 412))
+
+
+def test_long_chains_are_one_group(spark):
+    rng = random.Random(12)
+    keys = rng.sample(range(-(10**12), 10**12), 1101)
+    chain, rest = keys[:1001], keys[1001:]
+    links = list(zip(chain, chain[1:])) + list(zip(rest[::2], rest[1::2]))
+    df = spark.createDataFrame([(min(x), max(x)) for x in links], "key_a bigint, key_b bigint")
+    got = [(r.key, r.root) for r in near_duplicates.components(df).collect()]
+    want = [(k, min(chain)) for k in chain] + [(k, min(pair)) for pair in zip(rest[::2], rest[1::2]) for k in pair]
+    assert sorted(got) == sorted(want)
