@@ -140,6 +140,25 @@ def test_neighbours_equal_brute_force(spark):
     assert similar_vectors.neighbour_pairs(own.filter("false")).count() == 0
 
 
+def test_neighbours_with_far_more_cells_than_probes(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(400, 64))
+    vectors = np.concatenate([base, base[rng.integers(0, 400, 400)] + 0.2 * rng.normal(size=(400, 64))])
+    df = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(vectors)], "row_no bigint, vec array<float>")
+    own = similar_vectors.unit_vectors(df, "row_no", "vec").withColumn("field", F.lit("f"))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 6)
+    want = set()
+    for a in range(len(unit)):
+        order = [b for b in np.lexsort((np.arange(len(unit)), -cosine[a])) if b != a][:5]
+        want |= {(min(a, b), max(a, b)) for b in order if cosine[a, b] >= 0.9}
+    cfg = similar_vectors.KnnConfig(cell_rows=10)
+    assert len(unit) // cfg.cell_rows >= 10 * cfg.probes
+    got = {(r.row_a, r.row_b) for r in similar_vectors.neighbour_pairs(own, cfg).collect()}
+    print("recall", len(got & want), len(want), len(got - want))
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
 # 5
 
 
