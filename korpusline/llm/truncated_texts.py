@@ -177,7 +177,7 @@ def trie(counts: DataFrame, cfg: CutConfig) -> DataFrame:
 
 
 def text_ends(documents: DataFrame, cfg: CutConfig) -> DataFrame:
-    """One row per text that may have been cut: what to look up about its end."""
+    """One row per text that may have been cut: what to look up about its end. The whole last line is read."""
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,15 +192,14 @@ def text_ends(documents: DataFrame, cfg: CutConfig) -> DataFrame:
                     continue
                 broken = "�" in text[len(bare) :]
                 dotted = bool(ENDED.search(bare)) and not remains
-                tail = bare[-400:] if len(bare) > 400 else bare
-                cut = ENDED.sub("", tail) if dotted else tail
-                tokens, classes = tokens_of(cut.rstrip(), masks)
+                line = bare[bare.rfind("\n") + 1 :]
+                end = (ENDED.sub("", line) if dotted else line).rstrip()
+                tokens, classes = tokens_of(end, masks)
                 if not tokens or tokens[-1] in ENDS:
                     continue
-                line = max((n for n, x in enumerate(tokens) if x in ENDS), default=-1)
-                own = classes[line + 1 :]
-                whole_line = tokens[line] == "\n" if line >= 0 else len(bare) <= 400
-                last = LAST_WORD.search(cut.rstrip())
+                full = max((n for n, x in enumerate(tokens) if x == FULL), default=-1)
+                own = classes[full + 1 :]
+                last = LAST_WORD.search(end)
                 rows.append(
                     (
                         doc,
@@ -209,7 +208,7 @@ def text_ends(documents: DataFrame, cfg: CutConfig) -> DataFrame:
                         "1" + classes[-1],
                         "w" + last[0].lower() if last else None,
                         "p" + last[0].lower() if last else None,
-                        "s" + line_shape(own) if whole_line and 0 < len(own) <= cfg.line_tokens else None,
+                        "s" + line_shape(own) if full < 0 and len(own) <= cfg.line_tokens else None,
                     )
                 )
             yield pd.DataFrame(rows, columns=["doc_id", "state", "two", "one", "word", "prefix", "shape"])
@@ -275,7 +274,7 @@ def truncated_texts(documents: DataFrame, cfg: CutConfig = CutConfig()) -> DataF
     behind, `word` cut (the trie), `sentence` cut, or `limit` (open end at a limit of the source).
     """
     source = spread(documents.select("doc_id", "text", "source"))
-    counts = corpus_counts(source, cfg)
+    counts = cut(corpus_counts(source, cfg))  # read for the shares and for the trie
     known = counts.unionByName(trie(counts, cfg), allowMissingColumns=True).select("key", F.struct("total", "ends", "dots").alias("seen"))
     ends = text_ends(source, cfg)
     asked = ends.select("doc_id", "state", F.explode(F.array_compact(F.array("two", "one", "word", "prefix", "shape"))).alias("key"))
