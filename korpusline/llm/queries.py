@@ -72,7 +72,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_passages.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_passages.similar_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korpusline.llm import corpus_encoding, garbled_texts, leaked_passages, near_duplicates, scanned_pages, similar_vectors, split_oversized, truncated_texts
+from korpusline.llm import bitmaps, corpus_encoding, garbled_texts, leaked_passages, near_duplicates, scanned_pages, similar_vectors, split_oversized, truncated_texts
 from korpusline.llm.words import words
 
 NOUNS = "бетон щебень песок цемент вагон насос фильтр дренаж договор акт склад график".split()
@@ -229,8 +229,8 @@ def test_leaks_equal_brute_force(spark):
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if grams(t) & grams(x)}
     d = spark.createDataFrame([(k, t, 1) for k, t in docs.items()] + [(0, docs[0], 1)], "doc_id bigint, text string, item_id int")
     i = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
-    for per in (4000, 7):
-        got = {(r.doc_id, r.item_id) for r in leaked_passages.leaked_passages(d, i, leaked_passages.LeakConfig(items_per_block=per)).collect()}
+    for radius in (3, 1):
+        got = {(r.doc_id, r.item_id) for r in leaked_passages.leaked_passages(d, i, leaked_passages.LeakConfig(radius=radius)).collect()}
         assert got == want
     assert leaked_passages.leaked_passages(d.filter("false"), i).count() == 0
     assert leaked_passages.leaked_passages(d, i.filter("false")).count() == 0
@@ -238,11 +238,58 @@ def test_leaks_equal_brute_force(spark):
 
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(1)
-    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    for bit in range(64):
-        near = prints ^ np.uint64(1 << bit)
-        shared = [a == b for a, b in zip(leaked_passages.block_keys(prints, 2), leaked_passages.block_keys(near, 2))]
-        assert np.all(shared[0] | shared[1])
+    prints = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    for blocks in (4, 5, 7):
+        masks = leaked_passages.block_masks(blocks, 3)
+        for _ in range(50):
+            near = prints.copy()
+            for bit in rng.choice(64, 3, replace=False):
+                near ^= np.uint64(1 << int(bit))
+            assert np.all(((prints ^ near)[:, None] & masks == 0).any(axis=1))
+
+
+def test_fingerprints_are_majorities():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    for size, got in leaked_passages.simhashes(hashes, (13, 32, 100)).items():
+        want = [sum(int(bits[a : a + size, j].sum() * 2 > size) << j for j in range(64)) for a in range(300 - size + 1)]
+        assert got.tolist() == want
+
+
+def test_edited_passages_within_the_radius_are_found_and_verified(spark):
+    rng = random.Random(13)
+    vocabulary = [f"слово{n}" for n in range(400)]
+    cfg = leaked_passages.LeakConfig(threshold=0.7)
+    items, docs = {}, {}
+    for n in range(300):
+        own = [rng.choice(vocabulary) for _ in range(13)]
+        items[n] = " ".join(own)
+        docs[n] = " ".join([*own[:12], rng.choice(vocabulary)])  # 8 of 10 shingles in common, if the word is another
+    hashes = leaked_passages.WordHashes()
+
+    def fingerprint(text):
+        return int(leaked_passages.simhashes(hashes.of(text.split()), (13,))[13][0])
+
+    i = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    similar = leaked_passages.Similarity(leaked_passages.word_weights(i, cfg), cfg)
+    want = {n for n in items if (fingerprint(items[n]) ^ fingerprint(docs[n])).bit_count() <= cfg.radius and similar.of(items[n], docs[n]) >= cfg.threshold}
+    rows = leaked_passages.similar_passages(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), i, cfg).collect()
+    assert {r.doc_id for r in rows if r.doc_id == r.item_id} == want and len(want) >= 10
+    assert {r.doc_id for r in rows if r.windows} == {n for n in items if items[n] == docs[n]}
+
+
+def test_hot_windows_and_bitmap_bounds(spark):
+    rng = random.Random(14)
+    passage = " ".join(sentence(rng) for _ in range(4))
+    d = spark.createDataFrame([(n, passage if n % 3 == 0 else sentence(rng)) for n in range(300)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(n, passage if n < 5 else sentence(rng) * 2) for n in range(20)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_passages.leaked_passages(d, i).collect()}
+    assert {(n, k) for n in range(0, 300, 3) for k in range(5)} <= got
+    assert bitmaps.bits_for(0) == bitmaps.LEAST and bitmaps.bits_for(10**12) == bitmaps.MOST
+    packed = bitmaps.of_keys(spark.range(1000).select(F.xxhash64("id").alias("k")))
+    known = np.array([r.k for r in spark.range(1000).select(F.xxhash64("id").alias("k")).collect()])
+    assert bitmaps.has(packed, known).all() and bitmaps.has(packed, np.arange(10**5)).mean() < 0.01
 
 
 # 8
