@@ -17,10 +17,10 @@ def order_block(order: Column, tie: Column, block: int = BLOCK) -> Column:
     return F.when(order.isNull(), F.pmod(F.xxhash64(tie), F.lit(256)) - 256).otherwise(F.floor(order / block))
 
 
-def running_last(rows: DataFrame, keys: list[str], order: str, tie: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Adds the last non-null `value` up to and with each row."""
+def running_last(rows: DataFrame, keys: list[str], order: str, tie: str, value: str, out: str, block: int = BLOCK, inclusive: bool = True) -> DataFrame:
+    """Adds the last non-null `value` up to each row, and with it where inclusive."""
     blocked = rows.withColumn("_block", order_block(F.col(order), F.col(tie), block))
-    inside = Window.partitionBy(*keys, "_block").orderBy(F.col(order).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy(F.col(order).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     own = blocked.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
     position = F.struct(F.coalesce(F.col(order), F.lit(-1)).alias("o"), F.col(tie).alias("t"))
     ends = blocked.filter(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(F.max_by(value, position).alias("_end"))
@@ -39,3 +39,13 @@ def running_count(rows: DataFrame, keys: list[str], order: str, tie: str, out: s
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*keys, "_block", "_before")
     return own.join(carried, [*keys, "_block"]).withColumn(out, F.col("_before") + F.col("_own") - 1).drop("_own", "_before", "_block")
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: str, tie: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Adds the sum of `value` up to and with each row."""
+    blocked = rows.withColumn("_block", order_block(F.col(order), F.col(tie), block))
+    inside = Window.partitionBy(*keys, "_block").orderBy(F.col(order).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    own = blocked.withColumn("_own", F.sum(value).over(inside))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*keys, "_block", "_before")
+    return own.join(carried, [*keys, "_block"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_own", "_before", "_block")
