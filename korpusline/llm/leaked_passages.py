@@ -133,7 +133,7 @@ def window_starts(length: int, cfg: LeakConfig) -> Iterator[tuple[int, int]]:
 
 
 def _item_windows(items: DataFrame, cfg: LeakConfig) -> DataFrame:
-    """(item_id, part, size, start, print, passage): part numbers the readings of an item's texts."""
+    """(id, item_id, part, size, start, print, passage): part numbers the readings of an item's texts, id is a hash of these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -147,7 +147,8 @@ def _item_windows(items: DataFrame, cfg: LeakConfig) -> DataFrame:
 
     kind = items.schema["item_id"].dataType.simpleString()
     texts = items.select("item_id", F.xxhash64("text").alias("part"), "text").filter("text is not null").distinct()
-    return spread(texts).mapInPandas(run, f"item_id {kind}, part string, size int, start int, print bigint, passage string")
+    found = spread(texts).mapInPandas(run, f"item_id {kind}, part string, size int, start int, print bigint, passage string")
+    return found.withColumn("id", F.xxhash64("item_id", "part", "size", "start"))
 
 
 def word_slot(word: str, slots: int, hashes: WordHashes) -> int:
@@ -201,7 +202,7 @@ def _index(windows: DataFrame, cfg: LeakConfig) -> Index:
     count = windows.count()
     sizes = tuple(sorted(r["size"] for r in windows.select("size").distinct().collect()))  # at most one more than cfg.sizes
     masks = block_masks(blocks_for(count, cfg), cfg.radius)
-    bits = bitmaps.bits_for(2 * count * len(masks), 64)
+    bits = bitmaps.bits_for(2 * count * len(masks), 32)
     index = Index(masks, sizes, np.zeros(bits // 8, np.uint8))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +217,7 @@ def _index(windows: DataFrame, cfg: LeakConfig) -> Index:
 
 
 def _keyed(windows: DataFrame, index: Index) -> DataFrame:
-    """The item windows once per block key."""
+    """(key, id, print): the item windows once per block key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -226,9 +227,9 @@ def _keyed(windows: DataFrame, index: Index) -> DataFrame:
                 for size in np.unique(batch["size"]):
                     own = batch["size"].to_numpy() == size
                     key[own] = index.keys(prints[own], int(size), table)
-                yield batch.assign(key=key)
+                yield pd.DataFrame({"key": key, "id": batch["id"], "print": batch["print"]})
 
-    return windows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema) + ", key bigint")
+    return windows.select("id", "size", "print").mapInPandas(run, "key bigint, id bigint, print bigint")
 
 
 def _document_windows(documents: DataFrame, sent, cfg: LeakConfig) -> DataFrame:
@@ -279,7 +280,7 @@ def _verified(pairs: DataFrame, masks: np.ndarray, sent, cfg: LeakConfig) -> Dat
         for batch in batches:
             differ = batch.own.to_numpy().view(np.uint64) ^ batch["print"].to_numpy().view(np.uint64)
             first = np.argmax((differ[:, None] & masks[None, :]) == 0, axis=1) if len(batch) else np.zeros(0, int)
-            near = batch[(np.bitwise_count(differ) <= cfg.radius) & (first == batch.tab.to_numpy())]
+            near = batch[first == batch.tab.to_numpy()]
             value = np.array([similarity.of(a, b) for a, b in zip(near.said, near.passage)])
             same = (near.said == near.passage).to_numpy() & (near["size"] == cfg.window).to_numpy()
             out = near[["doc_id", "reading", "item_id", "part"]].assign(start=near.start.where(same).astype("Int32"), similarity=value)
@@ -310,7 +311,9 @@ def similar_passages(documents: DataFrame, items: DataFrame, cfg: LeakConfig = L
     windows = cut(_item_windows(items, cfg))
     index = _index(windows, cfg)
     hits = _document_windows(documents, context.broadcast(index), cfg)
-    pairs = hits.join(_keyed(windows, index), "key")
+    # merge joins: the tables of items have no bound that would allow a broadcast
+    near = hits.join(_keyed(windows, index).hint("merge"), "key").filter(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= cfg.radius)
+    pairs = near.drop("print").join(windows.hint("merge"), "id")
     found = _verified(pairs, index.masks, context.broadcast(word_weights(items, cfg)), cfg)
     each = found.groupBy("doc_id", "reading", "item_id", "part").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.max("similarity").alias("similarity"))
     return each.groupBy("doc_id", "item_id").agg(F.max(F.size("starts")).alias("windows"), F.max(covered(F.col("starts"), cfg.window)).alias("shared_words"), F.round(F.max("similarity"), 6).alias("similarity"))

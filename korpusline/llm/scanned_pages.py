@@ -1,12 +1,13 @@
 """Problem 5: noise in the text of scanned pages.
 
-Method as dealt: vectors of the words from skip-gram contexts, links from rare words to frequent
-ones over plausible glyph edits, corrections accepted in context, then removal of page furniture and
-reflow. The vectors are sums of hashed context vectors (a random projection of the skip-gram counts):
-such sums add up over tasks, so all pages count and no parameter server or sample is needed.
-
-Word counts, links, vectors and repeated lines are tables joined by Spark. What is broadcast is a
-bitmap of fixed size that tells which words are worth emitting; it never decides a result.
+Method as dealt: skip-gram vectors of the words, learned by Spark's Word2Vec over all pages; links from
+rare words to frequent neighbours over plausible glyph edits; each occurrence corrected where its
+context is like those of the frequent word; then removal of page furniture and reflow.
+
+The vocabulary of a large collection has no bound, so words are hashed into cfg.slots places before
+the vectors are learned: the model has a fixed size and every word has a vector. Word counts, links,
+contexts and repeated lines are tables joined by Spark. What is broadcast is the model and a bitmap
+that tells which words are worth emitting; the bitmap never decides a result.
 """
 
 from __future__ import annotations
@@ -18,36 +19,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.feature import Word2Vec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korpusline.functions.scan import running_last, running_sum
 from korpusline.functions.session import cut, spread
+from korpusline.llm import bitmaps
 from korpusline.llm.words import WordHashes
 
 
 @dataclass(frozen=True)
 class ScanConfig:
     """letters: length of a word that is corrected, at least; frequent: occurrences of a neighbour, at least;
-    ratio: how many times as frequent as the misread word; similar: cosine of the context vectors, at least
-    (for edits between letters of one script; others show by themselves); dim: vector length; edge_lines:
-    lines at the top and the bottom where furniture stands; pages: pages of a file that repeat a line;
-    files: files that repeat a line shape; slots: bits of the broadcast bitmap."""
+    ratio: how many times as frequent as the misread word (for edits between letters of one script; others
+    show by themselves); similar: cosine of the contexts of both words, at least; here: cosine of the context of
+    one occurrence with those of the frequent word, at least; slots, dim: places and length of the learned vectors;
+    rounds: rounds of learning; edge_lines: lines at the top and the bottom where furniture stands; pages: pages of a file that repeat a line;
+    files: files that repeat a line shape."""
 
     letters: int = 3
     frequent: int = 5
     ratio: int = 25
-    similar: float = 0.12
-    dim: int = 64
+    similar: float = 0.25
+    here: float = 0.15
+    slots: int = 1 << 14
+    dim: int = 32
+    rounds: int = 1
     edge_lines: int = 3
     pages: int = 2
     files: int = 3
-    slots: int = 1 << 22
+    seed: int = 5
 
 
 # Pairs (right, read) of glyphs that recognition mistakes for each other.
 GLYPHS = [
     ("о", "o"), ("о", "0"), ("а", "a"), ("е", "e"), ("р", "p"), ("с", "c"), ("к", "k"), ("у", "y"), ("х", "x"), ("т", "t"), ("м", "m"), ("н", "h"), ("в", "b"),
-    ("т", "г"), ("и", "н"), ("л", "п"), ("д", "л"), ("п", "л"), ("й", "и"), ("щ", "ш"), ("ш", "щ"), ("ц", "u"), ("н", "и"), ("г", "т"), ("ц", "ц"), ("е", "с"),
+    ("т", "г"), ("и", "н"), ("л", "п"), ("д", "л"), ("п", "л"), ("й", "и"), ("щ", "ш"), ("ш", "щ"), ("ц", "u"), ("н", "и"), ("г", "т"), ("е", "с"),
     ("б", "6"), ("ч", "4"), ("з", "3"), ("м", "rn"), ("ы", "ьі"), ("ы", "ьi"), ("ы", "bi"), ("ж", ">к"), ("ж", "жк"), ("ю", "іо"), ("ю", "io"), ("ш", "ін"), ("ф", "ср"),
     ("e", "c"), ("c", "e"), ("n", "ri"), ("m", "rn"), ("h", "li"), ("i", "l"), ("l", "i"), ("l", "1"), ("i", "1"), ("o", "0"), ("b", "6"), ("s", "5"), ("d", "cl"), ("w", "vv"), ("g", "q"), ("u", "ii"), ("ü", "u"), ("ö", "o"), ("ä", "a"), ("ß", "b"),
 ]
@@ -62,8 +71,11 @@ INSIDE = re.compile(r"[^\W\d_][~^■¬|\\*_`>]+[^\W\d_]")
 LOWER_DIGIT = re.compile(r"[^\W\d_]{2}[0-9](?=[^\W\d_]|\b)|[0-9][^\W\d_]{3}|^[^\W\d_][0-9][^\W\d_]{2}")
 BROKEN = re.compile(r"([^\W\d_])[-‐‑¬\xad–—][ \t]*\r?\n[ \t]*(?=[a-zäöüßа-яёѐ-џ])")
 
-#: A line that is a page number in a form that nothing else has.
-PAGE_LINE = re.compile(r"^\W*(?:\[\s*\d{1,4}\s*\]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}\s*/\s*\d{1,4}|(?:стр(?:аница|анипа|аннца|\.)?|с\.|лист|писг|лисг|пист|page|seite|blatt|sheet|р\.)\s*\d{1,4}(?:\s*(?:из|of|von|/)\s*\d{1,4})?)\W*$", re.I)
+#: A line that is a page number in a form that nothing else has: in brackets, between dashes, of so many, or after a word for a page.
+PAGE_LINE = re.compile(r"^\W*(?:\[\s*\d{1,4}\s*\]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}\s*/\s*\d{1,4}|([^\W\d]+\.?)\s*\d{1,4}(?:\s*(?:из|of|von|/)\s*\d{1,4})?)\W*$", re.I)
+# Words for a page, and their abbreviations.
+PAGE_WORDS = ("страница", "лист", "page", "seite", "blatt", "sheet")
+PAGE_SHORT = ("стр", "стр.", "с.", "р.")
 BARE_NUMBER = re.compile(r"^\s*(\d{1,4})\s*$")
 SENTENCE_END = re.compile(r"[.!?:;…][\"»”)]*\s*$")
 
@@ -78,6 +90,22 @@ def shape(line: str) -> str:
     return unfold(re.sub(r"\d+", "#", re.sub(r"\b[A-ZА-ЯЁ]{1,3}\b", "@", line)).replace("#", "9"))
 
 
+UNFOLDED_WORDS = tuple(unfold(w) for w in PAGE_WORDS)
+
+
+def is_page_word(word: str) -> bool:
+    """A word for a page, with its look-alike glyphs made equal; in long words one more letter may be misread."""
+    if word.lower() in PAGE_SHORT:
+        return True
+    own = unfold(word)
+    return any(len(own) == len(known) and sum(a != b for a, b in zip(own, known)) <= (len(known) > 6) for known in UNFOLDED_WORDS)
+
+
+def is_page_line(line: str) -> bool:
+    m = PAGE_LINE.match(line)
+    return bool(m) and (m[1] is None or is_page_word(m[1]))
+
+
 def is_scan(metadata: str = "metadata") -> Column:
     return F.col(metadata)["ocr"].isNotNull()
 
@@ -161,26 +189,22 @@ def glyph_links(counts: DataFrame, cfg: ScanConfig) -> DataFrame:
     return linked.groupBy("word", "plain").agg(F.max_by("right", F.struct("n", "right")).alias("right"))
 
 
-def bitmap(words: DataFrame, cfg: ScanConfig) -> np.ndarray:
-    """A bitmap of cfg.slots bits (never more rows than that reach the driver) with the slots of these words set."""
-    table = words.select(F.pmod(F.xxhash64("word"), F.lit(cfg.slots)).cast("int").alias("slot")).distinct().toArrow()
-    out = np.zeros(cfg.slots, bool)
-    out[table.column(0).to_numpy()] = True
-    return np.packbits(out)
+def words_of(text: str) -> list[str]:
+    """The words of a page, with those broken at line ends joined."""
+    return PIECE.findall(BROKEN.sub(r"\1", text).lower())
 
 
 class Watched(dict):
-    """word -> whether its slot is set; the hash is that of the driver's bitmap."""
+    """word -> whether its bit is set; the hash is that of the SQL function xxhash64."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, packed: np.ndarray):
         super().__init__()
-        self.bits = bits
+        self.packed = packed
 
     def __missing__(self, word: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        slot = spark_xxhash64(word) % (8 * len(self.bits))
-        value = self[word] = bool(self.bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+        value = self[word] = bool(bitmaps.has(self.packed, np.array([spark_xxhash64(word)]))[0])
         return value
 
 
@@ -192,65 +216,102 @@ def spark_xxhash64(word: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def context_vectors(pages: DataFrame, wanted: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(word, n, vec): sums of the hashed vectors of the two words on either side, over all scanned pages.
+def skip_gram(pages: DataFrame, cfg: ScanConfig) -> np.ndarray:
+    """Skip-gram vectors of the hashed words, learned over all pages by Spark's Word2Vec: one row a slot, zeros for slots without a word.
+
+    Every partition learns on its own pages and Spark averages the parts; what reaches the driver is the
+    model, cfg.slots * cfg.dim numbers whatever the data.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"words": [[str(hashes[w] & (cfg.slots - 1)) for w in words_of(text)] for text in batch.text]})
+
+    out = np.zeros((cfg.slots, cfg.dim), np.float32)
+    tokens = pages.select("text").mapInPandas(run, "words array<string>").filter(F.size("words") > 0)
+    if tokens.isEmpty():
+        return out
+    parts = max(pages.rdd.getNumPartitions(), pages.sparkSession.sparkContext.defaultParallelism)
+    model = Word2Vec(vectorSize=cfg.dim, windowSize=2, minCount=1, maxIter=cfg.rounds, numPartitions=parts, seed=cfg.seed, inputCol="words", outputCol="vec").fit(tokens)
+    for r in model.getVectors().collect():
+        out[int(r.word)] = r.vector.toArray()
+    return out
+
+
+def contexts(tokens: list[str], vectors: np.ndarray, hashes: WordHashes) -> np.ndarray:
+    """The context of every token: the vectors of the two words on either side, the nearer ones double. Pages are set apart by blank tokens."""
+    own = vectors[(hashes.of(tokens) & np.uint64(len(vectors) - 1)).astype(np.int64)]
+    own[[n for n, w in enumerate(tokens) if w == "\n"]] = 0
+    around = np.zeros_like(own)
+    for k, weight in ((1, 1.0), (2, 0.5)):
+        around[k:] += np.float32(weight) * own[:-k]
+        around[:-k] += np.float32(weight) * own[k:]
+    return around
+
+
+def context_means(pages: DataFrame, wanted: DataFrame, vectors, cfg: ScanConfig) -> DataFrame:
+    """(word, n, vec): sums of the contexts of the wanted words (and few others), over all scanned pages.
 
     The empty word stands for all words together, and gives the context that is usual for any.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(bitmap(wanted, cfg))
+    sent = pages.sparkSession.sparkContext.broadcast(bitmaps.of_keys(wanted.select(F.xxhash64("word").alias("key"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, watched = WordHashes(), Watched(sent.value)
         for batch in batches:
             tokens: list[str] = []
             for text in batch.text:
-                tokens += ["\n", "\n", *PIECE.findall(BROKEN.sub(r"\1", text).lower())]
+                tokens += ["\n", "\n", *words_of(text)]
             tokens += ["\n", "\n"]
+            around = contexts(tokens, vectors.value, hashes)
+            word = np.array([w != "\n" for w in tokens])
+            yield pd.DataFrame({"word": [""], "n": [int(word.sum())], "vec": [around[word].sum(axis=0)]})
             at = np.array([n for n, w in enumerate(tokens) if w != "\n" and watched[w]], np.int64)
-            word = np.array([w != "\n" for w in tokens], np.float32)
-            values = hashes.of(tokens)
-            side = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)[:, : cfg.dim] * 2 - 1
-
-            def around(n: np.ndarray) -> np.ndarray:
-                return side[n - 1].astype(np.float32) + side[n + 1] + 0.5 * (side[n - 2].astype(np.float32) + side[n + 2])
-
-            # of how many words' contexts each token is part
-            part = np.zeros(len(tokens), np.float32)
-            for k, weight in ((1, 1.0), (2, 0.5)):
-                part[k:] += weight * word[:-k]
-                part[:-k] += weight * word[k:]
-            yield pd.DataFrame({"word": [""], "n": [int(word.sum())], "vec": [part @ side.astype(np.float32)]})
             if not len(at):
                 continue
-            total = around(at)
             number: dict[str, int] = {}
             owner = np.array([number.setdefault(tokens[n], len(number)) for n in at])
             order = np.argsort(owner, kind="stable")
-            sums = np.add.reduceat(total[order], np.searchsorted(owner[order], np.arange(len(number))), axis=0)
+            sums = np.add.reduceat(around[at][order], np.searchsorted(owner[order], np.arange(len(number))), axis=0)
             yield pd.DataFrame({"word": list(number), "n": np.bincount(owner), "vec": list(sums)})
 
     parts = pages.select("text").mapInPandas(run, "word string, n bigint, vec array<float>")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("vec")[k].cast("double")) for k in range(cfg.dim)]).alias("vec"))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[(F.sum(F.col("vec")[k].cast("double")) / F.sum("n")).cast("float") for k in range(cfg.dim)]).alias("vec"))
+
 
+def alike(rows: DataFrame, a: str, b: str, least: float, usual: np.ndarray) -> DataFrame:
+    """The rows of which the vectors a and b, less the usual context, have a cosine of at least `least`."""
+    at = [rows.columns.index(a), rows.columns.index(b)]
 
-def _cosine(a: str, b: str) -> Column:
-    def dot(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - usual for k in at)
+                yield batch.filter(pa.array((x * y).sum(axis=1) >= least * np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+@dataclass(frozen=True)
+class Reader:
+    """What is learned: links (word, right, vec: the context of `right`) that the contexts of both words bear out, the model, and the usual context."""
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b) + F.lit(1e-12))
+    links: DataFrame
+    vectors: object
+    usual: np.ndarray
 
 
-def accepted_links(elements: DataFrame, pages: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(word, right): links whose edit shows by itself or whose contexts agree."""
+def learn(elements: DataFrame, pages: DataFrame, cfg: ScanConfig) -> Reader:
+    """Links from all word counts, the skip-gram model from all pages, and the links that stand the test of context."""
     links = cut(glyph_links(word_counts(elements), cfg))
-    wanted = links.filter("plain").select(F.explode(F.array("word", "right")).alias("word")).distinct()
-    vectors = cut(context_vectors(pages, wanted, cfg))
-    # one row: the usual context, taken off so that words common everywhere do not make all contexts alike
-    mean = vectors.filter("word = ''").select(F.transform("vec", lambda x: x / F.col("n")).alias("mean"))
-    centred = vectors.crossJoin(F.broadcast(mean)).select("word", F.zip_with(F.transform("vec", lambda x: x / F.col("n")), "mean", lambda x, m: x - m).alias("vec"))
-    doubtful = links.filter("plain").join(centred.select("word", F.col("vec").alias("vec_w")), "word").join(centred.select(F.col("word").alias("right"), F.col("vec").alias("vec_r")), "right")
-    agreed = doubtful.filter(_cosine("vec_w", "vec_r") >= cfg.similar).select("word", "right")
-    return links.filter("not plain").select("word", "right").unionByName(agreed)
+    vectors = pages.sparkSession.sparkContext.broadcast(skip_gram(pages, cfg))
+    wanted = links.select(F.explode(F.array("word", "right")).alias("word")).distinct()
+    means = cut(context_means(pages, wanted, vectors, cfg))
+    first = means.filter("word = ''").select("vec").first()
+    usual = np.array(first.vec if first else [0.0] * cfg.dim, np.float32)
+    own = links.join(means.select("word", F.col("vec").alias("own")), "word").join(means.select(F.col("word").alias("right"), "vec"), "right")
+    return Reader(cut(alike(own.select("word", "right", "own", "vec"), "own", "vec", cfg.similar, usual).drop("own")), vectors, usual)
 
 
 def page_lines(text: str) -> list[str]:
@@ -267,7 +328,7 @@ def edge_lines(text: str, count: int) -> list[tuple[int, str, bool]]:
 def page_number_lines(text: str, page: int | None) -> set[int]:
     """Lines that hold a page number: in a form of their own anywhere, as a bare number at the very top or bottom."""
     lines = page_lines(text)
-    out = {n for n, x in enumerate(lines) if PAGE_LINE.match(x)}
+    out = {n for n, x in enumerate(lines) if is_page_line(x)}
     filled = [n for n, x in enumerate(lines) if x.strip()]
     for k in {*filled[:1], *filled[-1:]}:
         if (m := BARE_NUMBER.match(lines[k])) and len(filled) > 1:
@@ -284,7 +345,7 @@ def edges(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
         for batch in batches:
             rows = []
             for key, file, text in zip(batch.id, batch.file, batch.text):
-                rows += [(key, file, n, unfold(x), shape(x)) for n, x, _ in edge_lines(text, cfg.edge_lines) if not PAGE_LINE.match(x) and len(x.strip()) > 3]
+                rows += [(key, file, n, unfold(x), shape(x)) for n, x, _ in edge_lines(text, cfg.edge_lines) if not is_page_line(x) and len(x.strip()) > 3]
             yield pd.DataFrame(rows, columns=["id", "file", "line", "same", "alike"])
 
     return pages.select("id", "file", "text").mapInPandas(run, "id string, file string, line int, same string, alike string")
@@ -293,7 +354,7 @@ def edges(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
 def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     """(id, line): running headers and footers, that is edge lines that several pages of a file repeat, and
     edge lines of a shape that several files use so."""
-    lines = edges(pages, cfg)
+    lines = cut(edges(pages, cfg))
     repeated = lines.groupBy("file", "same").agg(F.count(F.lit(1)).alias("n"), F.min("alike").alias("alike")).filter(F.col("n") >= cfg.pages)
     shapes = repeated.groupBy("alike").agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") >= cfg.files)
     own = lines.join(repeated.select("file", "same"), ["file", "same"], "left_semi").select("id", "line")
@@ -301,28 +362,51 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     return own.unionByName(shared).distinct()
 
 
-def page_traces(pages: DataFrame, links: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(id, word, trace): traces of noise in one page; `word` is filled for words to look up among the links."""
-    sent = pages.sparkSession.sparkContext.broadcast(bitmap(links, cfg))
+def page_traces(pages: DataFrame, reader: Reader, cfg: ScanConfig) -> DataFrame:
+    """(id, trace, at, word, around): traces of noise in one page; for words to look up among the links
+    `at` counts the words of the page and `around` is the context there."""
+    sent = pages.sparkSession.sparkContext.broadcast(bitmaps.of_keys(reader.links.select(F.xxhash64("word").alias("key"))))
+    vectors = reader.vectors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        watched = Watched(sent.value)
+        hashes, watched = WordHashes(), Watched(sent.value)
         for batch in batches:
             rows = []
+            tokens: list[str] = []
+            places: list[tuple] = []
             for key, page, text in zip(batch.id, batch.page, batch.text):
                 if BROKEN.search(text):
-                    rows.append((key, None, "hyphen"))
+                    rows.append((key, "hyphen", None, None, None))
                 if page_number_lines(text, None if pd.isna(page) else int(page)):
-                    rows.append((key, None, "page number"))
-                for word in set(PIECE.findall(BROKEN.sub(r"\1", text))):
-                    low = word.lower()
-                    if watched[low]:
-                        rows.append((key, low, "misread"))
-                    if sum(c.isalpha() for c in word) >= cfg.letters and (INSIDE.search(word) or CYRILLIC.search(word) and LATIN.search(word)):
-                        rows.append((key, None, "misread"))
-            yield pd.DataFrame(rows, columns=["id", "word", "trace"])
+                    rows.append((key, "page number", None, None, None))
+                own = PIECE.findall(BROKEN.sub(r"\1", text))
+                low = [w.lower() for w in own]
+                if any(shows_itself(w, cfg) for w in set(own)):
+                    rows.append((key, "misread", None, None, None))
+                tokens += ["\n", "\n"]
+                places += [(len(tokens) + n, key, n, w) for n, w in enumerate(low) if watched[w]]
+                tokens += low
+            tokens += ["\n", "\n"]
+            if places:
+                around = contexts(tokens, vectors.value, hashes)
+                rows += [(key, None, n, word, around[at]) for at, key, n, word in places]
+            yield pd.DataFrame(rows, columns=["id", "trace", "at", "word", "around"]).astype({"at": "Int32"})
+
+    return pages.select("id", "page", "text").mapInPandas(run, "id string, trace string, at int, word string, around array<float>")
+
+
+def shows_itself(word: str, cfg: ScanConfig) -> bool:
+    """A word of two scripts, or with a mark between letters, is misread whatever its context."""
+    return bool(INSIDE.search(word) or CYRILLIC.search(word) and LATIN.search(word)) and sum(c.isalpha() for c in word) >= cfg.letters
 
-    return pages.select("id", "page", "text").mapInPandas(run, "id string, word string, trace string")
+
+def corrected(traces: DataFrame, reader: Reader, cfg: ScanConfig) -> DataFrame:
+    """(id, at, right): the occurrences of linked words whose own context is like that of the right word."""
+    found = traces.filter("word is not null").select("id", "at", "word", "around").join(reader.links, "word").select("id", "at", "right", "around", "vec")
+    return alike(found, "around", "vec", cfg.here, reader.usual).select("id", "at", "right")
+
+
+SOURCE = ("id", "category", "doc_path", "doc_id", "page", "elem_order", "text", "metadata")
 
 
 def noisy_pages(elements: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
@@ -332,25 +416,28 @@ def noisy_pages(elements: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFram
     ignored. Null and blank texts are no cases, nor are elements without the `ocr` entry; a repeated id
     counts once; an empty table gives no rows.
     """
-    source = spread(elements.select("id", "category", "doc_path", "doc_id", "page", "elem_order", "text", "metadata"))
-    pages = scan_pages(source)
-    links = cut(accepted_links(source, pages, cfg))
-    traces = page_traces(pages, links, cfg)
-    sure = traces.filter("word is null").select("id", "trace")
-    read = traces.filter("word is not null").join(links.select("word"), "word", "left_semi").select("id", "trace")
+    source = spread(elements.select(*SOURCE))
+    pages = cut(scan_pages(source))
+    reader = learn(source, pages, cfg)
+    traces = cut(page_traces(pages, reader, cfg))
+    sure = traces.filter("trace is not null").select("id", "trace")
+    read = corrected(traces, reader, cfg).select("id", F.lit("misread").alias("trace"))
     lines = furniture(pages, cfg).select("id", F.lit("furniture").alias("trace"))
     return sure.unionByName(read).unionByName(lines).groupBy("id").agg(F.array_sort(F.collect_set("trace")).alias("traces"))
 
 
-def repair(text: str, right: dict[str, str], drop: set[int], page: int | None) -> tuple[list[str], bool]:
-    """(paragraphs, whether the first continues one of the page before)."""
+def body_of(text: str, drop: set[int], page: int | None) -> str:
+    """The text of a page without furniture, page numbers and broken words."""
     gone = drop | page_number_lines(text, page)
-    kept = [x for n, x in enumerate(page_lines(text)) if n not in gone]
-    body = BROKEN.sub(r"\1", "\n".join(kept).strip("\n"))
+    return BROKEN.sub(r"\1", "\n".join(x for n, x in enumerate(page_lines(text)) if n not in gone).strip("\n"))
+
+
+def repair(body: str, right: dict[int, str]) -> tuple[list[str], bool]:
+    """(paragraphs, whether the first continues one of the page before); right: the number of a word -> what it should be."""
+    count = iter(range(len(body) + 1))
 
     def fix(m: re.Match) -> str:
-        word = m[0]
-        found = right.get(word.lower())
+        word, found = m[0], right.get(next(count))
         if found is None:
             return word
         return found.upper() if word.isupper() else found[0].upper() + found[1:] if word[0].isupper() or word[0].isdigit() and found[0].upper() == word[0] else found
@@ -360,30 +447,52 @@ def repair(text: str, right: dict[str, str], drop: set[int], page: int | None) -
     return out, bool(out) and out[0][0].islower()
 
 
+def page_bodies(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """(id, file, page, place, text): the pages without furniture; place orders the pages of a file, those without a number by their elem_order first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text = [body_of(t, set(drop) if drop is not None else set(), None if pd.isna(page) else int(page)) for t, drop, page in zip(batch.text, batch["drop"], batch.page)]
+            yield batch.drop(columns="drop").assign(text=text).astype({"page": "Int32"})
+
+    place = F.when(F.col("page").isNull(), F.coalesce("elem_order", F.lit(0))).otherwise((F.col("page").cast("bigint") + 1) * PLACES + F.coalesce("elem_order", F.lit(0))).cast("bigint")
+    lines = furniture(pages, cfg).groupBy("id").agg(F.collect_set("line").alias("drop"))
+    full = pages.join(lines, "id", "left").select("id", "file", "page", place.alias("place"), "text", "drop")
+    return full.mapInPandas(run, "id string, file string, page int, place bigint, text string")
+
+
+#: Order numbers of one page, and pages of one block of the scan over a file.
+PLACES, PAGE_BLOCK = 10_000_000, 4096
+
+
 def repaired_paragraphs(elements: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """(file, paragraph, page_from, page_to, text): the pages of each file as continuous paragraphs, in page order.
 
     Pages without a number follow their elem_order before the numbered ones. A paragraph that a page
     ends without a full stop, or that the next begins in lower case, is joined over the page break.
+    Paragraphs are numbered by a scan in two levels over one narrow row a page, so a file with a third of
+    all pages is no single task. Rows as in noisy_pages; pages without text give none.
     """
-    source = spread(elements.select("id", "category", "doc_path", "doc_id", "page", "elem_order", "text", "metadata"))
-    pages = scan_pages(source)
-    links = cut(accepted_links(source, pages, cfg))
-    words = page_traces(pages, links, cfg).filter("word is not null").join(links, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-    lines = furniture(pages, cfg).groupBy("id").agg(F.collect_set("line").alias("drop"))
-    full = pages.join(words, "id", "left").join(lines, "id", "left")
+    source = spread(elements.select(*SOURCE))
+    pages = cut(scan_pages(source))
+    reader = learn(source, pages, cfg)
+    bodies = cut(page_bodies(pages, cfg))
+    fixes = corrected(page_traces(bodies, reader, cfg), reader, cfg).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "right"))).alias("fixes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, file, page, order, text, fixes, drop in zip(batch.id, batch.file, batch.page, batch.elem_order, batch.text, batch.fixes, batch["drop"]):
-                number = None if pd.isna(page) else int(page)
-                found, carries = repair(text, dict(fixes) if fixes is not None else {}, set(drop) if drop is not None else set(), number)
-                rows += [(key, file, number, None if pd.isna(order) else int(order), n, p, bool(SENTENCE_END.search(p)), n == 0 and carries) for n, p in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["id", "file", "page", "ord", "n", "text", "ended", "carries"]).astype({"page": "Int32", "ord": "Int32"})
-
-    parts = full.mapInPandas(run, "id string, file string, page int, ord int, n int, text string, ended boolean, carries boolean")
-    order = Window.partitionBy("file").orderBy(F.col("page").asc_nulls_first(), F.col("ord").asc_nulls_first(), "id", "n")
-    begun = parts.withColumn("begins", F.when(F.col("carries") | ((F.col("n") == 0) & ~F.lag("ended", 1, True).over(order)), 0).otherwise(1)).withColumn("paragraph", F.sum("begins").over(order))
-    pieces = F.array_sort(F.collect_list(F.struct(F.coalesce("page", F.lit(-1)).alias("p"), F.coalesce("ord", F.lit(-1)).alias("o"), "id", "n", "text")))
-    return begun.groupBy("file", "paragraph").agg(F.min("page").alias("page_from"), F.max("page").alias("page_to"), F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("text"))
+            done = [repair(text, dict(right) if right is not None else {}) for text, right in zip(batch.text, batch.fixes)]
+            out = batch[["id", "file", "page", "place"]].assign(parts=[p for p, _ in done], carries=[c for _, c in done], ended=[bool(p) and bool(SENTENCE_END.search(p[-1])) for p, _ in done])
+            yield out[[bool(p) for p, _ in done]].astype({"page": "Int32"})
+
+    read = cut(bodies.join(fixes, "id", "left").mapInPandas(run, "id string, file string, page int, place bigint, parts array<string>, carries boolean, ended boolean"))
+    narrow = read.select("id", "file", "place", "carries", "ended", F.size("parts").alias("size"))
+    block = PLACES * PAGE_BLOCK
+    after = running_last(narrow, ["file"], "place", "id", "ended", "ended_before", block, inclusive=False)
+    joins = F.col("carries") | ~F.coalesce("ended_before", F.lit(True))
+    numbered = running_sum(after.withColumn("begun", F.col("size") - joins.cast("int")), ["file"], "place", "id", "begun", "upto", block)
+    # the number of a page's last paragraph is the sum up to it
+    placed = read.join(numbered.select("id", (F.col("upto") - F.col("size")).alias("before")), "id")
+    pieces = placed.select("file", "page", "place", "id", "before", F.posexplode("parts").alias("n", "text")).withColumn("paragraph", F.col("before") + F.col("n") + 1)
+    listed = F.array_sort(F.collect_list(F.struct("place", "id", "n", "text")))
+    return pieces.groupBy("file", "paragraph").agg(F.min("page").alias("page_from"), F.max("page").alias("page_to"), F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias("text"))
