@@ -3,13 +3,15 @@
 Method as dealt: each swap of code pages is a substitution cipher, learned per source. Language
 bigrams come from the well-formed words of the whole collection; for every source and cipher the
 counts of successive cipher symbols are added up by Spark, and expectation-maximisation finds the
-letters that the symbols stand for. The prior of a cipher is the table of a code-page pair (of
-which only the names are given); a further cipher per source starts without one. The learned
+letters that the symbols stand for. Pairs of code pages known by name only give the starting values of a
+cipher, and tell which words count for it; a cipher that no counts show has no table. Words that no such cipher explains count for a further cipher per source,
+learned without starting values, and kept where most of these words then read naturally. The
 tables are applied with translate(), and a word counts as garbled where the language model finds the
 translated form natural and the stored form not.
 
 What reaches the driver is bounded by alphabets, not by the data: bigrams of letters, and bigrams of
-symbols per source type and cipher. The learned tables go back as one small broadcast.
+at most cfg.symbols symbols per source type and cipher, the rarer ones counted as one. The learned
+tables go back as one small broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusline.functions.session import cut, spread
@@ -30,15 +33,22 @@ from korpusline.functions.session import cut, spread
 @dataclass(frozen=True)
 class GarbleConfig:
     """natural: mean log-probability of a letter from which a word reads naturally; gain: by how much the
-    translated form must be better; sure: how far above natural a wholly translated word ends the trials; symbols: symbols of a cipher, at most (the most frequent); support:
-    occurrences from which a learned letter replaces that of the prior; rounds of the maximisation."""
+    translated form must be better; symbols: symbols of a cipher that are told apart (rarer ones are one symbol, which is
+    not translated); support: occurrences from which a letter is learned against its starting value;
+    neighbours: different symbols beside it, at least, better: by how much it must explain them better, in log-likelihood an occurrence; rounds: of the maximisation; starts: beginnings without starting values; pairs: symbol pairs from which a cipher without starting values is learned;
+    words, believed: different words not learned from that it is tried on, at least, and the share of them that must then read naturally."""
 
     natural: float = -3.3
     gain: float = 1.0
-    sure: float = 0.3
     symbols: int = 300
     support: int = 30
+    neighbours: int = 8
+    better: float = 2.0
     rounds: int = 25
+    starts: int = 8
+    pairs: int = 200
+    words: int = 10
+    believed: float = 0.5
     other_source: str = "other"
 
 
@@ -70,6 +80,8 @@ def damaged(text: str) -> bool:
 MISPLACED = re.compile(r"(?<=[^\W\d_])[€©®µ‘“„](?=[^\W\d_]|\W|\Z)|[€©®](?=[^\W\d_])|(?:(?<=\s)|\A)[»”’](?=[^\W\d_])")
 #: Signs inside words where writing has none.
 INNER = re.compile(r"(?<=[^\W\d_])[^\w\s\-–—/.,:;()«»\"'’…&@+=|~^■>*](?=[^\W\d_])")
+#: Characters of none of the alphabets, and no ordinary signs.
+STRANGE = re.compile(rf"[^\x00-\x7f\xa0{RUSSIAN}{RUSSIAN.upper()}{GERMAN}{GERMAN.upper()}{re.escape(SIGNS)}]")
 #: Evidence from which a text counts as garbled; what a wholly garbled word or multi-byte sign gives.
 WHOLE = 3.0
 #: A letter that leads a multi-byte symbol, beside a sign.
@@ -197,8 +209,7 @@ class Model:
 
     def odd(self, token: str) -> int:
         """Characters of no alphabet here, and neither digits nor ordinary signs."""
-        strange = sum(1 for c in token if ord(c) > 127 and c.lower() not in INDEX and c not in SIGNS and c != "\xa0")
-        return strange + len(MISPLACED.findall(token))
+        return len(STRANGE.findall(token)) + len(MISPLACED.findall(token))
 
     def penalty(self, token: str) -> float:
         """score less what oddity costs: strange characters among or beside letters, and signs inside words."""
@@ -229,6 +240,9 @@ class Model:
             if text == token:
                 continue
             letters = sum(c.isalpha() for c in text)
+            # the score bounds what is left of it with the penalties
+            if letters < 3 and not cipher.pattern or letters and self.score(text) < self.cfg.natural - (0.7 if cipher.pattern else 0.0):
+                continue
             value = self.penalty(text) if letters else 0.0
             if cipher.pattern:
                 # symbols that show: with strange characters, or letters beside signs inside them
@@ -237,11 +251,9 @@ class Model:
                     out.append((value, name, text, WHOLE))
                 elif letters >= 3 and value >= self.cfg.natural and value - own >= self.cfg.gain and not self.odd(text):
                     out.append((value, name, text, WHOLE if shows or letters >= 5 else 1.0))
-            elif letters >= 3 and value >= self.cfg.natural and value - own >= (0.2 * self.cfg.gain if MISPLACED.search(token) and not self.odd(text) else self.cfg.gain):
+            elif value >= self.cfg.natural and value - own >= (0.2 * self.cfg.gain if MISPLACED.search(token) and not self.odd(text) else self.cfg.gain):
                 changed = sum(c in cipher.table for c in token if c.isalpha() or ord(c) > 127) / max(1, sum(c.isalpha() or ord(c) > 127 for c in token))
                 out.append((value, name, text, WHOLE if changed > 0.6 and max(map(len, WORD.findall(text)), default=0) >= 5 else 1.0))
-            if out and out[-1][3] == WHOLE and out[-1][0] >= self.cfg.natural + self.cfg.sure and out[-1][1] == name:
-                break  # later ciphers are rarer, or less usual
         return [x[1:] for x in sorted(out, key=lambda x: -round(x[0], 6))]
 
     def verdict(self, source: str, token: str) -> tuple[str, str] | None:
@@ -249,6 +261,10 @@ class Model:
         found = self.readings(source, token)
         return found[0][:2] if found else None
 
+    def unread(self, token: str) -> bool:
+        """Whether a token has letters, or what may stand for them, and reads far from naturally."""
+        return bool(FOREIGN.search(token)) and self.penalty(token) < self.cfg.natural - 1.5
+
     def worse(self, source: str, name: str, token: str) -> bool:
         """Whether the cipher spoils a token that reads naturally as it is."""
         key = (source, name, token)
@@ -372,14 +388,24 @@ def language_bigrams(tokens: DataFrame) -> dict[str, int]:
     return {r.pair: r.n for r in found.collect()}  # at most SIZE ** 2 rows
 
 
-UNKNOWN = "unknown"
+#: The cipher without starting values, and the same learned from half of its words.
+UNKNOWN, HALF = "unknown", "unknown half"
+#: Stands for all symbols over cfg.symbols.
+RARE = "\uffff"
+#: Runs of characters that a single-byte page may show for letters.
+FOREIGN = re.compile(r"[^\x00-\x7f]{4,}")
+
+
+def held_out(token: str) -> bool:
+    """Half of all words."""
+    return xxhash.xxh3_64_intdigest(token) & 1 == 1
 
 
-def cipher_bigrams(tokens: DataFrame, joint: np.ndarray, cfg: GarbleConfig) -> dict[tuple[str, str], dict[tuple[str, str], int]]:
-    """(source, cipher) -> counts of successive symbols in the words that this cipher explains best.
+def cipher_words(tokens: DataFrame, joint: np.ndarray, cfg: GarbleConfig) -> DataFrame:
+    """(source, cipher, a, b, n): counts of successive symbols in the words that a cipher's starting values explain best.
 
-    Words that no cipher explains count for the cipher without a prior. The least frequent symbols over
-    cfg.symbols are one symbol.
+    Words that none explains count for the cipher without starting values; they follow as rows of their own,
+    with b null, for the test of what is learned.
     """
     sent = tokens.sparkSession.sparkContext.broadcast(joint)
 
@@ -388,102 +414,175 @@ def cipher_bigrams(tokens: DataFrame, joint: np.ndarray, cfg: GarbleConfig) -> d
         model = Model(sent.value, ciphers, cfg)
         for batch in batches:
             counts: Counter = Counter()
-            for source, token, n in zip(batch.source, batch.token, batch.n):
+            # each different word of a source counts once: an abbreviation or a foreign name that is frequent tells no more
+            for source, token in zip(batch.source, batch.token):
                 if token.isascii():
                     continue
                 found = model.verdict("", token)
                 if found:
-                    name, symbols = found[0], ciphers["", found[0]].symbols(token)
-                elif len(token) >= 5 and not model.odd(token) and model.score(token) < cfg.natural - 1.5 and SHAPE.match(token.lower()):
-                    name, symbols = UNKNOWN, list(token)
+                    name, words = found[0], [ciphers["", found[0]].symbols(token)]
+                elif model.unread(token):
+                    name, words = UNKNOWN, [list(run) for run in FOREIGN.findall(token)]
+                    counts[source, name, token, None] += 1
                 else:
                     continue
-                edge = [x if len(x) > 1 or not x.isascii() else " " for x in symbols]
-                for a, b in zip([" ", *edge], [*edge, " "]):
-                    if a != " " or b != " ":
-                        counts[source, name, a, b] += n
+                names = (name, HALF) if name == UNKNOWN and not held_out(token) else (name,)
+                for symbols in words:
+                    edge = [x if len(x) > 1 or not x.isascii() else " " for x in symbols]
+                    for a, b in zip([" ", *edge], [*edge, " "]):
+                        if a != " " or b != " ":
+                            for own in names:
+                                counts[source, own, a, b] += 1
             rows = [(*k, n) for k, n in counts.items()]
             yield pd.DataFrame(rows, columns=["source", "cipher", "a", "b", "n"])
 
-    found = tokens.mapInPandas(run, "source string, cipher string, a string, b string, n bigint").groupBy("source", "cipher", "a", "b").agg(F.sum("n").alias("n"))
+    return tokens.mapInPandas(run, "source string, cipher string, a string, b string, n bigint").groupBy("source", "cipher", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def cipher_bigrams(words: DataFrame, cfg: GarbleConfig) -> dict[tuple[str, str], dict[tuple[str, str], int]]:
+    """(source, cipher) -> counts of successive symbols, of at most cfg.symbols symbols and RARE, so what is collected is bounded."""
+    pairs = words.filter("b is not null")
+    each = pairs.select("source", "cipher", F.explode(F.array("a", "b")).alias("symbol"), "n").groupBy("source", "cipher", "symbol").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("source", "cipher").orderBy(F.desc("n"), "symbol"))
+    often = each.withColumn("rank", rank).filter(F.col("rank") <= cfg.symbols).select("source", "cipher", "symbol")
+    for side in ("a", "b"):
+        named = often.select("source", "cipher", F.col("symbol").alias(side), F.lit(True).alias(f"told_{side}"))
+        pairs = pairs.join(named, ["source", "cipher", side], "left")
+    told = pairs.select("source", "cipher", *[F.when(F.col(f"told_{x}"), F.col(x)).otherwise(RARE).alias(x) for x in ("a", "b")], "n")
     out: dict[tuple[str, str], dict[tuple[str, str], int]] = defaultdict(dict)
-    # bounded by source types * ciphers * symbols ** 2
-    for r in found.toLocalIterator():
+    for r in told.groupBy("source", "cipher", "a", "b").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.source, r.cipher][r.a, r.b] = r.n
     return out
 
 
-def learned(pairs: dict[tuple[str, str], int], prior: dict[str, str], joint: np.ndarray, cfg: GarbleConfig) -> dict[str, str]:
-    """The table found by expectation-maximisation from bigram counts of symbols.
+def maximised(seen: np.ndarray, joint: np.ndarray, first: np.ndarray, strength: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(how often each letter shows as each symbol, the shares of a letter's symbols, log-likelihood) after so many rounds from `first`; strength: pseudo-counts of every round."""
+    show = first / np.maximum(first.sum(axis=1, keepdims=True), 1e-12)
+    expected, likelihood = np.zeros_like(show), -np.inf
+    for _ in range(rounds):
+        chance = np.maximum(show.T @ joint @ show, 1e-300)
+        rate, likelihood = seen / chance, float((seen * np.log(chance)).sum())
+        expected = show * (joint @ show @ rate.T) + show * (joint.T @ show @ rate)
+        show = expected + strength
+        show /= np.maximum(show.sum(axis=1, keepdims=True), 1e-12)
+    return expected, show, likelihood
+
+
+def learned(pairs: dict[tuple[str, str], int], start: dict[str, str], joint: np.ndarray, cfg: GarbleConfig) -> dict[str, str]:
+    """The table found by expectation-maximisation from bigram counts of symbols; empty without rounds or counts.
 
     The model: successive letters follow the language's bigrams, each letter shows as a symbol. The
     E-step spreads each symbol bigram over the letter bigrams, the M-step re-estimates how letters show,
-    with the prior's table as pseudo-counts. Blanks and ASCII stand for themselves.
+    with the starting table as pseudo-counts. A symbol gets the letter it stands for most; another than
+    its starting letter needs cfg.support occurrences, nine tenths of them, several different neighbours, as a
+    symbol of one word alone tells nothing, and neighbours that it explains much better. Symbols too rare
+    to be learned, and signs, which no bigrams of letters tell apart, keep their start. Without a starting table several beginnings
+    are tried, and the likeliest counts. Blanks and ASCII stand for themselves.
     """
     often: Counter = Counter()
     for (a, b), n in pairs.items():
         often[a] += n
         often[b] += n
     often.pop(" ", None)
-    symbols = [" ", *(s for s, _ in often.most_common(cfg.symbols))]
+    symbols = [" ", *(s for s, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])))]
     at = {s: n for n, s in enumerate(symbols)}
     seen = np.zeros((len(symbols), len(symbols)))
     for (a, b), n in pairs.items():
-        if a in at and b in at:
-            seen[at[a], at[b]] += n
+        seen[at[a], at[b]] += n
     strength = np.full((SIZE, len(symbols)), 1e-3)
     strength[0, :] = strength[:, 0] = 0
     strength[0, 0] = 1
-    ranked = sorted(range(1, SIZE - 1), key=lambda k: -joint[k].sum())
-    for n, s in enumerate(symbols[1:], 1):
-        known = prior.get(s, s if not prior else None)
-        if prior and known is not None and known.lower() in INDEX:
-            strength[INDEX[known.lower()], n] += 5
-        elif not prior:
-            strength[ranked[min(n - 1, len(ranked) - 1)], n] += 1
-        else:
-            strength[SIZE - 1, n] += 1
-    show = strength / np.maximum(strength.sum(axis=1, keepdims=True), 1e-12)
-    expected = np.zeros_like(show)
-    for _ in range(cfg.rounds):
-        rate = seen / np.maximum(show.T @ joint @ show, 1e-300)
-        expected = show * (joint @ show @ rate.T) + show * (joint.T @ show @ rate)
-        show = expected + strength
-        show /= np.maximum(show.sum(axis=1, keepdims=True), 1e-12)
-    table = dict(prior)
+    if start:
+        for n, s in enumerate(symbols[1:], 1):
+            known = start.get(s)
+            if known is not None and known.lower() in INDEX:
+                strength[INDEX[known.lower()], n] += 5
+            else:
+                strength[SIZE - 1, n] += 1
+        expected, show, _ = maximised(seen, joint, strength, strength, cfg.rounds)
+    else:
+        # letters as frequent as the symbol are likelier; of several such beginnings the one that explains the counts best
+        letters = np.log(joint[1 : SIZE - 1].sum(axis=1) / joint[1 : SIZE - 1].sum())
+        share = np.maximum(seen.sum(axis=0) + seen.sum(axis=1), 1e-9)[1:]
+        near = np.exp(-((letters[:, None] - np.log(share / share.sum())[None, :]) ** 2)) * share / share.sum()
+        tries = []
+        for seed in range(cfg.starts):
+            first = strength.copy()
+            first[1 : SIZE - 1, 1:] += near * np.random.default_rng(seed).uniform(0.2, 1, near.shape)
+            tries.append(maximised(seen, joint, first, strength, 2 * cfg.rounds))
+        expected, show, _ = max(tries, key=lambda x: x[2])
+    single = all(len(k) == 1 for k in start)
+    # log-likelihood of a symbol's neighbours if it were that letter
+    beside = joint @ show, joint.T @ show
+    fit = np.log(np.maximum(beside[0], 1e-300)) @ seen.T + np.log(np.maximum(beside[1], 1e-300)) @ seen
+    neighbours = (seen > 0).sum(axis=0) + (seen > 0).sum(axis=1)
+    table = dict(start) if expected.any() else {}
     for n, s in enumerate(symbols[1:], 1):
-        total = expected[:, n].sum()
-        k = int(expected[:, n].argmax())
-        if 0 < k < SIZE - 1 and total >= cfg.support and expected[k, n] > 0.9 * total:
-            letter, old = LETTERS[k - 1], prior.get(s)
-            if old is None or old.isalpha() and old.lower() != letter:
-                upper = (old or s).isupper()
-                table[s] = letter.upper() if upper else letter
+        total, k, known = expected[:, n].sum(), int(expected[:, n].argmax()), start.get(s)
+        if s == RARE or not total:
+            continue
+        sure = 0 < k < SIZE - 1 and expected[k, n] > (0.9 if start else 0.5) * total
+        if start and known is None:
+            sure = sure and single and total >= cfg.support and neighbours[n] >= cfg.neighbours
+        elif known is not None and known.lower() in INDEX:
+            sure = sure and total >= cfg.support and neighbours[n] >= cfg.neighbours and fit[k, n] - fit[INDEX[known.lower()], n] >= cfg.better * total
+        if sure and (known is None or known.isalpha()):
+            upper = known.isupper() if known else s.isupper() and s.lower() in at
+            table[s] = LETTERS[k - 1].upper() if upper else LETTERS[k - 1]
+        elif known is not None:
+            table[s] = known
+    for s in () if start else table:
+        # capitals of few words follow their small letters
+        if s.lower() != s and s.lower() in table and neighbours[at[s]] < cfg.neighbours:
+            table[s] = table[s.lower()].upper()
     return {k: v for k, v in table.items() if k != v}
 
 
+def believed(words: DataFrame, tables: dict[str, dict[str, str]], joint: np.ndarray, cfg: GarbleConfig) -> set[str]:
+    """The sources whose cipher, learned from half of its words, makes enough of the other half read naturally. One row a source reaches the driver.
+
+    Foreign names follow no cipher: a table that suits one half of them does not suit the other.
+    """
+    sent = words.sparkSession.sparkContext.broadcast((joint, tables))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        joint, tables = sent.value
+        model = Model(joint, {(s, HALF): Cipher(t) for s, t in tables.items()}, cfg)
+        for batch in batches:
+            rows = [(s, 1, int(bool(model.readings(s, t)))) for s, t in zip(batch.source, batch.a) if held_out(t)]
+            yield pd.DataFrame(rows, columns=["source", "n", "read"])
+
+    other = words.filter((F.col("cipher") == UNKNOWN) & F.col("b").isNull() & F.col("source").isin(*tables)).select("source", "a")
+    found = other.mapInPandas(run, "source string, n bigint, read bigint").groupBy("source").agg(F.sum("n").alias("n"), F.sum("read").alias("read"))
+    return {r.source for r in found.collect() if r.n >= cfg.words and r["read"] >= cfg.believed * r.n}
+
+
 def learn(elements: DataFrame, cfg: GarbleConfig) -> Model:
-    """The language and the ciphers of every source."""
+    """The language and the ciphers of every source.
+
+    What a cipher's symbols stand for is learned from the counts of all sources together, and from there
+    on those of each source. A cipher that one source shows is a candidate in the others too.
+    """
     tokens = cut(token_counts(elements, cfg))
     joint = language(language_bigrams(tokens))
-    known = priors()
+    words = cut(cipher_words(tokens, joint, cfg))
+    pairs = cipher_bigrams(words, cfg)
+    sources = sorted({s for s, _ in pairs} | {r.source for r in tokens.select("source").distinct().collect()})
+    known, pooled = priors(), defaultdict(Counter)
+    for (_, name), own in pairs.items():
+        pooled[name].update(own)
+    general = {name: learned(own, known[name], joint, cfg) for name, own in pooled.items() if name in known}
     ciphers: dict[tuple[str, str], Cipher] = {}
-    pairs = cipher_bigrams(tokens, joint, cfg)
-    sources = {s for s, _ in pairs} | {r.source for r in tokens.select("source").distinct().collect()}
-    # a cipher that one source shows is a candidate in the others too, with its prior's table until it is learned there
-    used = {name for _, name in pairs}
-    support = {name: sum(sum(own.values()) for (_, n), own in pairs.items() if n == name) for name in used}
-    for source in sorted(sources):
-        for name in sorted(used, key=lambda n: (-support[n], n)):
-            own = pairs.get((source, name), {})
-            if name == UNKNOWN:
-                if sum(own.values()) < 100 * cfg.support:
-                    continue
-                table = learned(own, {}, joint, cfg)
-            else:
-                table = learned(own, known[name], joint, cfg) if own else known[name]
+    for source in sources:
+        for name in sorted(general, key=lambda n: (-sum(pooled[n].values()), n)):
+            own = pairs.get((source, name))
+            table = {**general[name], **learned(own, general[name], joint, cfg)} if own and general[name] else general[name]
             if table:
                 ciphers[source, name] = Cipher(table)
+    enough = {s for (s, name), own in pairs.items() if name == UNKNOWN and sum(own.values()) >= cfg.pairs}
+    halves = {s: learned(pairs[s, HALF], {}, joint, cfg) for s in sorted(enough) if (s, HALF) in pairs}
+    for source in sorted(believed(words, halves, joint, cfg)) if halves else ():
+        ciphers[source, UNKNOWN] = Cipher(learned(pairs[source, UNKNOWN], {}, joint, cfg))
     return Model(joint, ciphers, cfg)
 
 

@@ -68,12 +68,13 @@ def simhashes(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarra
     Bit j is set where more than half of the window's word hashes have it set. Eight bits are counted at
     a time, in the bytes of one 64-bit number; a window's count is put together from those of powers of two.
     """
-    assert max(sizes) <= 255, "a window has at most 255 words"
+    longest = max(sizes, default=0)
+    assert longest <= 255, "a window has at most 255 words"
     lanes = np.uint64(0x0101010101010101)
     out = {size: np.zeros(max(0, len(hashes) - size + 1), np.uint64) for size in sizes}
     for bit in range(8):
         sums, width = {1: (hashes >> np.uint64(bit)) & lanes}, 1
-        while 2 * width <= min(max(sizes), len(hashes)):
+        while 2 * width <= min(longest, len(hashes)):
             sums[2 * width] = sums[width][:-width] + sums[width][width:]
             width *= 2
         for size, found in out.items():

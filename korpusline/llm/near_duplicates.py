@@ -6,8 +6,9 @@ cut into bands, and texts that agree in a band are candidates. Candidates are co
 
 What is shuffled: one row of (band hash, id hash), 16 bytes, per band and distinct text; then only
 the texts of candidates. A band value that very many texts share is not expanded into all its
-pairs: such texts meet by an exact prefix filter inside the band instead, which finds every pair
-over the threshold.
+pairs: such texts meet by an exact prefix filter instead, over shingles from the rarest on, which finds
+every pair over the threshold. Counts of bands and of equal texts are aggregations, so no hot value is
+one task.
 """
 
 from __future__ import annotations
@@ -22,21 +23,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusline.functions.session import cut, spread
+from korpusline.llm import bitmaps
 from korpusline.llm.words import WordHashes, mix, shingles, words
 
 
 @dataclass(frozen=True)
 class NearConfig:
     """shingle: successive words; threshold: least Jaccard similarity; bands of `rows` values each from
-    bands * rows / 2 permutations; hot: texts of a band value above which the prefix filter pairs them;
-    slots: bits of the bitmap of texts to fetch."""
+    bands * rows / 2 permutations; hot: texts of a band value above which the prefix filter pairs them."""
 
     shingle: int = 5
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
     hot: int = 200
-    slots: int = 1 << 23
     seed: int = 7
 
     @property
@@ -101,58 +101,70 @@ def banded(texts: DataFrame, cfg: NearConfig) -> DataFrame:
 
 
 def _hot_pairs(hot: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Candidates within hot bands: pairs that share one of the shingles in their prefixes.
+    """Candidates among the texts of hot bands: pairs that share one of the shingles in their prefixes.
 
-    With shingles in one fixed order (that of their hashes), two sets of similarity t share an element
-    among the first |S| - ceil(t |S|) + 1 of each. So no pair is lost, and no band value is expanded.
+    With shingles in one fixed order, two sets of similarity t share an element among the first
+    |S| - ceil(t |S|) + 1 of each, so no pair is lost. The order is by how many of the texts hold a
+    shingle: what all of them hold, such as a common beginning, comes last and joins nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             values, counts = batch_shingles(list(batch.text), cfg.shingle, hashes)
-            prefix = counts - np.ceil(cfg.threshold * counts - 1e-9).astype(np.int64) + (counts > 0)
             at = np.cumsum(counts) - counts
-            lists = [values[a : a + n].view(np.int64) for a, n in zip(at, prefix)]
-            yield pd.DataFrame({"key": batch.key, "size": counts, "prefix": lists})
-
-    prefixes = texts_of(hot.select("key"), texts, cfg).mapInPandas(run, "key bigint, size bigint, prefix array<bigint>")
-    token = hot.join(prefixes, "key").select("key", "size", F.explode(F.transform("prefix", lambda x: F.xxhash64("band", x))).alias("token"))
+            yield pd.DataFrame({"key": batch.key, "size": counts, "shingles": [values[a : a + n].view(np.int64) for a, n in zip(at, counts)]})
+
+    sets = cut(texts_of(hot.select("key"), texts).mapInPandas(run, "key bigint, size bigint, shingles array<bigint>"))
+    each = sets.select("key", "size", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    # shingles of one text come first in the order and meet no other text
+    own = Window.partitionBy("key")
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("texts", "shingle"))
+    prefix = F.col("size") - F.ceil(F.col("size") * cfg.threshold - 1e-9) + 1
+    token = each.join(held, "shingle").withColumn("place", place).filter(F.col("place") <= prefix).select("key", "size", "shingle")
     a, b = token.alias("a"), token.alias("b")
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.size") >= cfg.threshold * F.col("b.size")) & (F.col("b.size") >= cfg.threshold * F.col("a.size"))).select(
+    return a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.size") >= cfg.threshold * F.col("b.size")) & (F.col("b.size") >= cfg.threshold * F.col("a.size"))).select(
         F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")
     )
 
 
-def texts_of(keys: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
-    """(key, text) of the given keys, once each.
-
-    A bitmap of fixed size (never more rows than it has bits reach the driver) keeps most other texts
-    out of the shuffle; the join decides.
-    """
-    table = keys.select(F.pmod("key", F.lit(cfg.slots)).cast("int").alias("slot")).distinct().toArrow()
-    bits = np.zeros(cfg.slots, bool)
-    bits[table.column(0).to_numpy()] = True
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, text) of the given keys, once each; a bitmap keeps most other texts out of the shuffle, and the join decides."""
+    sent = texts.sparkSession.sparkContext.broadcast(bitmaps.of_keys(keys.select("key").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy() % cfg.slots
-            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield batch.filter(pa.array(bitmaps.has(sent.value, batch.column(0).to_numpy())))
 
     near = texts.select("key", "text").mapInArrow(run, "key bigint, text string")
     return near.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
+def shared_bands(bands: DataFrame) -> DataFrame:
+    """(key, band, n) of the band values that n > 1 texts have. bands: key, bands; checkpointed."""
+    counts = cut(bands.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sent = bands.sparkSession.sparkContext.broadcast(bitmaps.of_keys(counts.select("band")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # most band values belong to one text only and stay here
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column(1).flatten().to_numpy()
+                keep = bitmaps.has(sent.value, values)
+                keys = np.repeat(batch.column(0).to_numpy(), len(values) // batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(values[keep])], ["key", "band"])
+
+    return bands.mapInArrow(run, "key bigint, band bigint").join(counts, "band").select("key", "band", "n")
+
+
 def candidate_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
     """Distinct (key_a, key_b) of texts that agree in a band."""
-    member = banded(texts, cfg).select("key", F.explode("bands").alias("band"))
-    # most band values belong to one text only; what is kept is small beside the texts
-    shared = cut(member.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1"))
+    shared = cut(shared_bands(cut(banded(texts, cfg))))
     some = shared.filter(F.col("n") <= cfg.hot)
     a, b = some.alias("a"), some.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-    hot = shared.filter(F.col("n") > cfg.hot).select("key", "band")
+    hot = shared.filter(F.col("n") > cfg.hot).select("key").distinct()
     if not hot.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(hot, texts, cfg))
     return pairs.distinct()
@@ -160,7 +172,7 @@ def candidate_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
     """(key_a, key_b, similarity) of the pairs whose texts reach the threshold."""
-    held = texts_of(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")), texts, cfg)
+    held = texts_of(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")), texts)
     both = pairs.join(held.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b").join(held.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").select("key_a", "key_b", "text_a", "text_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +222,8 @@ def similar_pairs(rows: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
     links = found.links.select("key_a", "key_b")
     members = found.members
     between = links.join(members.select(F.col("key").alias("key_a"), F.col("id").alias("x")), "key_a").join(members.select(F.col("key").alias("key_b"), F.col("id").alias("y")), "key_b").select("x", "y")
-    copied = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copied = members.join(several, "key", "left_semi")
     within = copied.select("key", F.col("id").alias("x")).join(copied.select("key", F.col("id").alias("y")), "key").filter("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -304,7 +304,7 @@ class Reader:
 
 def learn(elements: DataFrame, pages: DataFrame, cfg: ScanConfig) -> Reader:
     """Links from all word counts, the skip-gram model from all pages, and the links that stand the test of context."""
-    links = cut(glyph_links(word_counts(elements), cfg))
+    links = cut(glyph_links(cut(word_counts(elements)), cfg))
     vectors = pages.sparkSession.sparkContext.broadcast(skip_gram(pages, cfg))
     wanted = links.select(F.explode(F.array("word", "right")).alias("word")).distinct()
     means = cut(context_means(pages, wanted, vectors, cfg))

@@ -6,8 +6,12 @@ error bound, and only the vectors whose upper bound passes are compared exactly.
 
 similar_in_cells links every vector with those over a required cosine: cells of about `cell_rows`
 vectors keep the work per vector constant, and what meets in a cell is codes (8 bytes per 64
-dimensions) and scalars, never the vectors. knn_scan compares a stated query set with all rows in
-blocks. Equal vectors are one entry with its smallest row numbers, so copies cost nothing.
+dimensions and rotation), queries of one byte a dimension, and scalars, never the vectors. knn_scan compares a
+stated query set with all rows in blocks. Equal vectors are one entry with its smallest row numbers, so
+copies cost nothing.
+
+What reaches the driver: the sample the centres are fitted on (2 * sample_rows vectors at most) and the
+bytes of one bitmap (bitmaps.MOST bits at most); both bounds hold at any size of the input.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusline.functions.session import cut, spread, written
+from korpusline.llm import bitmaps
 
 
 @dataclass(frozen=True)
@@ -29,8 +34,8 @@ class KnnConfig:
     """k: neighbours; min_cosine: cosine that linked vectors have at least; cell_rows: vectors of a cell;
     probes: cells a query visits; sample_rows: vectors the centres are fitted on, at most (every row is
     indexed); max_cells: bound of the broadcast centres; rotations: one-bit codes of a vector; bound: standard errors by which an estimate may
-    be off in similar_in_cells, scan_bound: in knn_scan; block_rows: rows of one block of work; slots: bits
-    of the bitmap of vectors to fetch."""
+    be off in similar_in_cells, scan_bound: in knn_scan; block_rows: stored rows of one block of work,
+    query_rows: queries of one."""
 
     k: int = 5
     min_cosine: float = 0.90
@@ -42,7 +47,7 @@ class KnnConfig:
     bound: float = 3.0
     scan_bound: float = 1.3
     block_rows: int = 8192
-    slots: int = 1 << 23
+    query_rows: int = 65_536
     seed: int = 11
 
 
@@ -75,22 +80,34 @@ def centres(sample: np.ndarray, cells: int, seed: int, rounds: int = 5) -> np.nd
     return found
 
 
-def codes(rest: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed signs of the rotated residuals as 64-bit words, lengths of the residuals)."""
-    packed = np.packbits(rest @ turn > 0, axis=1)
-    packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
-    return np.ascontiguousarray(packed).view(np.int64), np.linalg.norm(rest, axis=1)
+def isometry(dim: int, seed: int, count: int) -> np.ndarray:
+    """rotation() scaled so that lengths and products stay what they are, in dim * count coordinates."""
+    return rotation(dim, seed, count) / np.float32(np.sqrt(count))
+
+
+def codes(rest: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed signs of the rotated residuals, lengths of the residuals, correction scalars).
+
+    The correction scalar is the product of the code, as a unit vector, with the residual's direction.
+    """
+    turned = rest @ turn
+    length = np.linalg.norm(rest, axis=1)
+    along = np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1]) / np.maximum(length, 1e-12)
+    return np.packbits(turned > 0, axis=1, bitorder="little"), length, along
 
 
-def estimates(differ: np.ndarray, dim: int, bound: float) -> np.ndarray:
-    """Upper bound of the cosine of two residuals whose codes differ in so many bits.
+def estimates(signs: np.ndarray, length: np.ndarray, along: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated products of residuals, standard error of each stored row's per unit of query length).
 
-    Two random rotated vectors at angle a differ in each bit with probability a / pi; the bound takes
-    `bound` standard errors off the angle.
+    signs: +-1 per stored row and coordinate; turned: rotated residuals of queries, one row each. The
+    product of a query with the code, over the code's correction scalar, is an unbiased estimate; its error comes
+    from the part of the residual that is orthogonal to the code.
     """
-    share = np.arange(dim + 1) / dim  # dim: bits of a code
-    error = np.sqrt(np.maximum(share * (1 - share), 0.25 / dim) / dim)
-    return np.cos(np.pi * np.clip(share - bound * error, 0, 1)).astype(np.float32)[differ]
+    dim = signs.shape[1]
+    scale = length / np.maximum(along, 1e-6)
+    product = (turned @ signs.T) * (scale / np.float32(np.sqrt(dim)))[None, :]
+    error = length * np.sqrt(np.maximum(1 - along**2, 0)) / np.maximum(along, 1e-6) / np.sqrt(max(dim - 1, 1))
+    return product, error
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -131,10 +148,11 @@ def entries(vectors: DataFrame, cfg: KnnConfig) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cells:
-    """The centres of one field, and into how many blocks each cell's vectors are cut."""
+    """The centres of one field, and into how many blocks each cell's stored vectors and queries are cut."""
 
     points: np.ndarray
     blocks: np.ndarray
+    asked: np.ndarray
 
 
 def fitted_cells(held: DataFrame, cfg: KnnConfig) -> dict[str, Cells]:
@@ -154,26 +172,37 @@ def fitted_cells(held: DataFrame, cfg: KnnConfig) -> dict[str, Cells]:
         sample = np.ascontiguousarray(table.column(0).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1))
         points = centres(sample, number, cfg.seed)
         size = np.bincount(np.argmax(sample @ points.T, axis=1), minlength=len(points)) * (n / len(sample))
-        out[name] = Cells(points, np.ceil(np.maximum(size, 1) / cfg.block_rows).astype(np.int64))
+        probed = np.bincount(np.argsort(-(sample @ points.T), axis=1)[:, : cfg.probes].ravel(), minlength=len(points)) * (n / len(sample))
+        out[name] = Cells(points, *(np.ceil(np.maximum(x, 1) / most).astype(np.int64) for x, most in ((size, cfg.block_rows), (probed, cfg.query_rows))))
     return out
 
 
-#: The bits of a group's number that hold the block.
+#: The bits of a group's number that hold the blocks of stored vectors and of queries.
 BLOCK_BITS = 20
 
 
+def _groups(cell: np.ndarray, blocks: np.ndarray, others: np.ndarray, ids: np.ndarray, queries: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group): each row in its own block against all blocks of the other side of its cell."""
+    row = np.repeat(np.arange(len(ids)), others)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(others) - others, others)
+    own = (ids % blocks)[row]
+    stored, asked = (other, own) if queries else (own, other)
+    return row, (cell[row] << BLOCK_BITS | stored) << BLOCK_BITS | asked
+
+
 def _coded(held: DataFrame, cells: dict[str, Cells], cfg: KnnConfig) -> DataFrame:
     """(field, group, vid, code): each vector in its own cell, and as a query in the cfg.probes nearest.
 
-    code: the role (0 stored, 1 query), the length of the residual to that cell's centre and the product
-    with the centre as 32-bit floats, and the packed bits.
+    code: the role (0 stored, 1 query), the length of the residual to that cell's centre, the product
+    with the centre and the correction scalar as 32-bit floats, then the packed bits; of a query its
+    residual in one byte a dimension, and the scalar is the step of these.
     """
     sent = held.sparkSession.sparkContext.broadcast(cells)
 
-    def rows_of(name: str, ids: np.ndarray, group: np.ndarray, role: int, length: np.ndarray, dot: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        packed = np.concatenate([np.full((len(ids), 1), role, np.uint8), np.stack([length, dot], 1).astype(np.float32).view(np.uint8), bits.view(np.uint8)], axis=1)
-        code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(ids), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(group), pa.array(ids), code], ["field", "group", "vid", "code"])
+    def rows_of(name: str, ids: np.ndarray, group: np.ndarray, role: int, scalars: list[np.ndarray], body: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        packed = np.concatenate([np.full((len(ids), 1), role, np.uint8), np.stack(scalars, 1).astype(np.float32).view(np.uint8), body.view(np.uint8)], axis=1)[row]
+        code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(row), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(row)), pa.array(group), pa.array(ids[row]), code], ["field", "group", "vid", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,47 +212,49 @@ def _coded(held: DataFrame, cells: dict[str, Cells], cfg: KnnConfig) -> DataFram
             for name in sorted(set(fields)):
                 own = fields == name
                 mine, ids, cell_of = vectors[own], vids[own], sent.value[name]
-                turn = rotation(mine.shape[1], cfg.seed, cfg.rotations)
+                turn = isometry(mine.shape[1], cfg.seed, cfg.rotations)
                 near = mine @ cell_of.points.T
                 probes = min(cfg.probes, near.shape[1])
                 best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
                 best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1), 1)
                 for rank in range(probes):
                     cell = best[:, rank].astype(np.int64)
-                    bits, length = codes(mine - cell_of.points[cell], turn)
+                    rest = mine - cell_of.points[cell]
                     dot = np.take_along_axis(near, cell[:, None], 1)[:, 0]
-                    blocks = cell_of.blocks[cell]
+                    stored, asked = cell_of.blocks[cell], cell_of.asked[cell]
                     if rank == 0:
-                        yield rows_of(name, ids, cell << BLOCK_BITS | ids % blocks, 0, length, dot, bits)
-                    repeat = np.repeat(np.arange(len(ids)), blocks)
-                    block = np.arange(len(repeat)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    yield rows_of(name, ids[repeat], cell[repeat] << BLOCK_BITS | block, 1, length[repeat], dot[repeat], bits[repeat])
+                        bits, length, along = codes(rest, turn)
+                        row, group = _groups(cell, stored, asked, ids, False)
+                        yield rows_of(name, ids, group, 0, [length, dot, along], bits, row)
+                    step = np.maximum(np.abs(rest).max(axis=1), 1e-12) / 127
+                    row, group = _groups(cell, asked, stored, ids, True)
+                    yield rows_of(name, ids, group, 1, [np.linalg.norm(rest, axis=1), dot, step], np.round(rest / step[:, None]).astype(np.int8), row)
 
     return held.select("field", "vid", "vec").mapInArrow(run, "field string, group bigint, vid bigint, code binary")
 
 
 def candidates(coded: DataFrame, dim: int, cfg: KnnConfig) -> DataFrame:
-    """Distinct (field, vid_a, vid_b) whose estimated cosine may reach cfg.min_cosine."""
+    """Distinct (field, vid_a, vid_b) whose estimated cosine, with its error bound, may reach cfg.min_cosine."""
 
     def run(table: pa.Table) -> pa.Table:
-        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        vid = table.column("vid").to_numpy()
-        role = code[:, 0]
-        length, dot = np.ascontiguousarray(code[:, 1:9]).view(np.float32).T
-        bits = np.ascontiguousarray(code[:, 9:]).view(np.uint64)
+        rows, vid = table.column("code").to_pylist(), table.column("vid").to_numpy()
+        role = np.array([code[0] for code in rows])
         s, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        upper_of = estimates(np.arange(dim + 1), dim, cfg.bound)
-        for part in np.array_split(q, len(q) * len(s) // 4_000_000 + 1):
-            differ = np.zeros((len(part), len(s)), np.uint16)
-            for w in range(bits.shape[1]):
-                differ += np.bitwise_count(bits[part, w][:, None] ^ bits[s, w][None, :])
-            # product = that of the residuals + what both have along the centre - the centre's own length
-            reach = upper_of[differ] * (length[part][:, None] * length[s][None, :]) + (dot[part][:, None] + dot[s][None, :]) >= cfg.min_cosine + 1 - 1e-4
-            a, b = np.nonzero(reach)
-            a, b = vid[part[a]], vid[s[b]]
-            left.append(np.minimum(a, b)[a != b])
-            right.append(np.maximum(a, b)[a != b])
+        if len(s) and len(q):
+            held, asked = (np.frombuffer(b"".join(rows[k] for k in own), np.uint8).reshape(len(own), -1) for own in (s, q))
+            (length, dot, along), (span, own_dot, step) = (np.ascontiguousarray(x[:, 1:13]).view(np.float32).T for x in (held, asked))
+            turn = isometry(dim, cfg.seed, cfg.rotations)
+            signs = np.unpackbits(held[:, 13:], axis=1, bitorder="little")[:, : turn.shape[1]].astype(np.float32) * 2 - 1
+            turned = (np.ascontiguousarray(asked[:, 13:]).view(np.int8).astype(np.float32) * step[:, None]) @ turn
+            for part in np.array_split(np.arange(len(q)), len(q) * len(s) // 4_000_000 + 1):
+                product, error = estimates(signs, length, along, turned[part])
+                # cosine = product of the residuals + what both have along the centre - the centre's own length
+                reach = product + cfg.bound * span[part][:, None] * error[None, :] + step[part][:, None] + (own_dot[part][:, None] + dot[None, :]) >= cfg.min_cosine + 1 - 1e-4
+                a, b = np.nonzero(reach)
+                a, b = vid[q[part[a]]], vid[s[b]]
+                left.append(np.minimum(a, b)[a != b])
+                right.append(np.maximum(a, b)[a != b])
         left, right = np.concatenate(left), np.concatenate(right)
         name = table.column("field")[0].as_py()
         return pa.table({"field": pa.array([name] * len(left), pa.string()), "vid_a": left, "vid_b": right})
@@ -231,25 +262,20 @@ def candidates(coded: DataFrame, dim: int, cfg: KnnConfig) -> DataFrame:
     return coded.groupBy("field", "group").applyInArrow(run, "field string, vid_a bigint, vid_b bigint").distinct()
 
 
-def fetched(held: DataFrame, pairs: DataFrame, cfg: KnnConfig) -> DataFrame:
-    """(field, vid, vec) of the vectors in the pairs, and few others: a bitmap of fixed size keeps the rest from the shuffle."""
-    slot = F.explode(F.array(*[F.pmod(x, F.lit(cfg.slots)).cast("int") for x in ("vid_a", "vid_b")]))
-    table = pairs.select(slot.alias("slot")).distinct().toArrow()  # at most cfg.slots rows
-    bits = np.zeros(cfg.slots, bool)
-    bits[table.column(0).to_numpy()] = True
-    sent = held.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def fetched(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(field, vid, vec) of the vectors in the pairs, and few others: a bitmap keeps the rest from the shuffle."""
+    sent = held.sparkSession.sparkContext.broadcast(bitmaps.of_keys(pairs.select(F.explode(F.array("vid_a", "vid_b")).alias("vid")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(1).to_numpy() % cfg.slots
-            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield batch.filter(pa.array(bitmaps.has(sent.value, batch.column(1).to_numpy())))
 
     return held.select("field", "vid", "vec").mapInArrow(run, "field string, vid bigint, vec array<float>")
 
 
 def exact(pairs: DataFrame, held: DataFrame, cfg: KnnConfig) -> DataFrame:
     """(field, vid_a, vid_b, cosine) of the pairs that reach cfg.min_cosine, from the vectors themselves."""
-    vectors = fetched(held, pairs, cfg)
+    vectors = fetched(held, pairs)
     a = vectors.select("field", F.col("vid").alias("vid_a"), F.col("vec").alias("vec_a"))
     b = vectors.select("field", F.col("vid").alias("vid_b"), F.col("vec").alias("vec_b"))
     joined = pairs.join(a, ["field", "vid_a"]).join(b, ["field", "vid_b"]).select("field", "vid_a", "vid_b", "vec_a", "vec_b")
@@ -275,7 +301,7 @@ def similar_in_cells(vectors: DataFrame, cfg: KnnConfig = KnnConfig()) -> DataFr
     held = written(entries(vectors, cfg), "vectors")
     cells = fitted_cells(held, cfg)
     dim = next((c.points.shape[1] for c in cells.values()), 1)
-    pairs = cut(candidates(_coded(held, cells, cfg), dim * cfg.rotations, cfg))
+    pairs = cut(candidates(_coded(held, cells, cfg), dim, cfg))
     near = cut(exact(pairs, held, cfg))
     both = near.unionByName(near.select("field", F.col("vid_a").alias("vid_b"), F.col("vid_b").alias("vid_a"), "cosine"))
     keys = held.select("field", F.col("vid").alias("vid_b"), "keys")
@@ -321,18 +347,15 @@ def knn_scan(queries: DataFrame, vectors: DataFrame, cfg: KnnConfig = KnnConfig(
         out: list[tuple] = []
         s, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         if len(s) and len(q):
-            dim = vecs.shape[1]
-            turn = rotation(dim, cfg.seed)
+            turn = isometry(vecs.shape[1], cfg.seed, 1)
             centre = vecs[s].mean(axis=0)
-            rest = (vecs[s] - centre) @ turn
-            length = np.linalg.norm(rest, axis=1) + 1e-12
-            sign = np.where(rest > 0, np.float32(1), np.float32(-1)) / np.float32(np.sqrt(dim))
-            along = (sign * rest).sum(axis=1) / length
-            error = np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(max(dim - 1, 1))
+            bits, length, along = codes(vecs[s] - centre, turn)
+            sign = np.unpackbits(bits, axis=1, bitorder="little")[:, : turn.shape[1]].astype(np.float32) * 2 - 1
             for part in np.array_split(q, len(q) * len(s) // 4_000_000 + 1):
                 turned = vecs[part] @ turn
-                estimate = (turned @ sign.T) * (length / along)[None, :] + (vecs[part] @ centre)[:, None]
-                half = cfg.scan_bound * np.linalg.norm(turned, axis=1)[:, None] * (length * error)[None, :]
+                product, error = estimates(sign, length, along, turned)
+                estimate = product + (vecs[part] @ centre)[:, None]
+                half = cfg.scan_bound * np.linalg.norm(turned, axis=1)[:, None] * error[None, :]
                 k = min(cfg.k + 1, len(s))
                 least = -np.partition(half - estimate, k - 1, axis=1)[:, k - 1]
                 for row, (i, floor) in enumerate(zip(part, least)):

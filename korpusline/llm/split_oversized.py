@@ -1,8 +1,9 @@
 """Problem 1: texts over a token limit become consecutive pieces under it.
 
 Method as dealt: a hierarchy of separators (section, paragraph, row, sentence, word, character);
-parts are packed greedily up to the limit, and each piece but the first starts with the last
-sentence of the piece before it.
+parts are packed greedily up to the limit, less the overlap that the piece really has, and each piece
+but the first starts with the last sentence of the piece before it. What is left of a divided part is
+packed with the parts that follow.
 
 The whole job is a filter, a narrow projection and one Arrow-batched map: no shuffle at all.
 """
@@ -49,62 +50,54 @@ def token_len(text: Column, cfg: SplitConfig = SplitConfig()) -> Column:
     return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / cfg.chars_per_token))).cast("int")
 
 
-def spans(text: str, room: int) -> list[tuple[int, int, int]]:
-    """Consecutive (start, end, level of the boundary at the end) that cover the text, each of at most `room` characters."""
-    out: list[tuple[int, int, int]] = []
-    todo = [(0, len(text), 0, 0)]
-    while todo:
-        lo, hi, level, end_level = todo.pop()
-        if hi - lo <= room:
-            out.append((lo, hi, end_level))
-            continue
-        if level == len(LEVELS):
-            cuts = list(range(lo + room, hi, room))
-        else:
-            cuts = [m.end() for m in LEVELS[level].finditer(text, lo, hi) if lo < m.end() < hi]
-        edges = [lo, *cuts, hi]
-        packed: list[tuple[int, int, int, int]] = []
-        at = lo
-        for left, right in zip(edges, edges[1:]):
-            if right - at <= room:
-                continue
-            if left > at:
-                packed.append((at, left, level + 1, level))
-            at = left
-            if right - left > room:
-                packed.append((left, right, level + 1, level))
-                at = right
-        if at < hi:
-            packed.append((at, hi, level + 1, end_level))
-        elif packed:
-            packed[-1] = (*packed[-1][:3], end_level)
-        todo.extend(reversed(packed))
-    return out
+def parts_of(text: str, lo: int, hi: int, level: int) -> list[tuple[int, int, int]]:
+    """(start, end, level of the boundary at the end) of the parts that a separator divides text[lo:hi] into; the last boundary is not the separator's."""
+    edges = [lo, *(m.end() for m in LEVELS[level].finditer(text, lo, hi) if lo < m.end() < hi), hi]
+    return [(a, b, level) for a, b in zip(edges, edges[1:])]
 
 
-def overlap_start(text: str, lo: int, hi: int, most: int) -> int:
-    """Where the overlap taken from text[lo:hi] begins: its last sentence, or the last words of a longer one."""
+def overlap_of(text: str, lo: int, hi: int, most: int) -> str:
+    """What a piece repeats of text[lo:hi]: its last sentence, or the last words of a longer one, with the blanks after it as far as there is room."""
     body = text[lo:hi].rstrip()
-    floor = max(0, len(body) - most)
+    floor = max(0, len(body) - most + 1)
     starts = [m.end() for level in (ROW, SENTENCE) for m in level.finditer(body, floor) if m.end() < len(body)]
-    if floor == 0 and not starts:
-        return lo if hi - lo <= most else hi
     if starts:
         start = max(starts)
-        return lo + start if hi - lo - start <= most else hi
-    m = WORD_END.search(body, floor)
-    start = m.end() if m else floor
-    return lo + start if hi - lo - start <= most else hi
+    elif floor:
+        m = WORD_END.search(body, floor)
+        start = m.end() if m else floor
+    else:
+        start = 0
+    return body[start:] + text[lo + len(body) : hi][: most - len(body) + start] if body else ""
 
 
 def pieces(text: str, cfg: SplitConfig = SplitConfig()) -> list[tuple[str, int, str]]:
     """(piece, characters repeated from the piece before, boundary it ends at); pieces without the repeats concatenate to the text."""
-    most = int(cfg.max_chars * cfg.overlap_share)
-    out, previous = [], None
-    for lo, hi, level in spans(text, cfg.max_chars - most):
-        start = lo if previous is None else overlap_start(text, *previous, most)
-        out.append((text[start:hi], lo - start, LEVEL_NAMES[level] if hi < len(text) else "end"))
-        previous = (lo, hi)
+    limit = cfg.max_chars
+    most = int(limit * cfg.overlap_share)
+    out: list[tuple[str, int, str]] = []
+    lead, start, at, boundary = "", 0, 0, 0
+    todo = [(0, len(text), 0, 0)]
+    while todo:
+        lo, hi, level, end = todo.pop()
+        if hi - lo <= limit - len(lead) - (at - start):
+            at, boundary = hi, end
+            continue
+        after = overlap_of(text, start, at, most) if at > start else ""
+        if at > start and (hi - lo <= limit - len(after) or level == len(LEVELS)):
+            # the part fits the next piece, or is a word too long for any
+            out.append((lead + text[start:at], len(lead), LEVEL_NAMES[boundary]))
+            lead, start = after, at
+            todo.append((lo, hi, level, end))
+        elif level < len(LEVELS):
+            own = parts_of(text, lo, hi, level)
+            todo += [(a, b, level + 1, end if b == hi else at_end) for a, b, at_end in reversed(own)]
+        else:
+            equal = -(-(hi - lo) // -(-(hi - lo) // (limit - len(lead))))
+            at, boundary = lo + equal, level
+            todo.append((at, hi, level, end))
+    if at > start:
+        out.append((lead + text[start:at], len(lead), "end"))
     return out
 
 
