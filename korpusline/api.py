@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from korpusline.config import ChunkConfig, ContextConfig, GraphConfig, RerankConfig, SearchConfig
 from korpusline.functions import vectors as vc
+from korpusline.functions.session import written
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import files
 
@@ -43,8 +44,12 @@ class Engine:
             raise ValueError("top_k must be in 1..100, oversample in 1..20, window in 0..5")
         return search.search_window(queries, indexed, top_k, oversample, window, categories=category, doc_ids=doc_id, doc_paths=doc_path, heading_prefixes=heading_prefix)
 
-    def search_universal(self, queries: DataFrame, indexed: DataFrame, doc_fields: DataFrame, top_k: int | None = None, use_entities: bool = True, graph_results: DataFrame | None = None, categories: str | None = None) -> DataFrame:
-        """Fused documents. graph_results: as graph_merge takes them; categories: a comma list, applied after the cut."""
+    def search_universal(self, queries: DataFrame, indexed: DataFrame, doc_fields: DataFrame, top_k: int | None = None, use_entities: bool = True, use_graph: bool = True, use_reranker: bool = False, graph_results: DataFrame | None = None, categories: str | None = None) -> DataFrame:
+        """Fused documents, or with use_reranker their reranked hits.
+
+        graph_results: as graph_merge takes them, used where use_graph; categories: a comma list, applied
+        after the cut (results of the graph alone have the category `graph`).
+        """
         cfg = self.config
         found = search.search_raw(queries, indexed, cfg.semantic_top_k, cfg.oversample)
         dense = found.groupBy("query_id", "doc_key").agg(F.max("score").alias("dense"))
@@ -54,10 +59,16 @@ class Engine:
             scored = scored.join(entities.extract(queries).select("query_id", "domain", "object_attributes"), "query_id", "left")
             bonus = cfg.weights.entity * ranking.entity_bonus(F.col("domain"), F.col("object_attributes"))
         scored = scored.withColumn("score", F.round(F.col("fused") + bonus, 6))
-        ranked = ranking.graph_merge(scored.select("query_id", "doc_key", "score"), graph_results, cfg.weights.graph) if graph_results is not None else scored.select("query_id", "doc_key", "score", F.lit("text").alias("origin"))
+        ranked = ranking.graph_merge(scored.select("query_id", "doc_key", "score"), graph_results, cfg.weights.graph) if use_graph and graph_results is not None else scored.select("query_id", "doc_key", "score", F.lit("text").alias("origin"))
         best = search.best(ranked, top_k or cfg.top_k_docs, F.desc("score"), F.col("doc_key"))
         wanted = [c.strip() for c in (categories or "").split(",") if c.strip()]
-        return best.filter(F.split("doc_key", "::", 2)[0].isin(*wanted)) if wanted else best
+        if wanted:
+            category = F.when(F.col("origin") == "graph", "graph").otherwise(F.split("doc_key", "::", 2)[0])
+            best = best.filter(category.isin(*wanted))
+        if not use_reranker:
+            return best
+        hits = found.drop("rank").join(best.select("query_id", "doc_key"), ["query_id", "doc_key"]).join(queries.select("query_id", "query"), "query_id")
+        return rerank.rerank(hits, top_k or cfg.top_k_docs, cfg.max_chunks_per_doc)
 
     def rerank(self, hits: DataFrame, top_k_docs: int = 5, max_chunks_per_doc: int = 4, cfg: RerankConfig = RerankConfig(), pair_score: Column | None = None) -> DataFrame:
         return rerank.rerank(hits, top_k_docs, max_chunks_per_doc, cfg, pair_score)
@@ -68,11 +79,12 @@ class Engine:
     def context_quality(self, reranked: DataFrame) -> DataFrame:
         return context.quality(context.items(reranked))
 
-    def extract_entities(self, queries: DataFrame) -> DataFrame:
-        return entities.extract(queries)
+    def extract_entities(self, queries: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+        return entities.extract(queries, stations)
 
     def build_graph(self, elements: DataFrame) -> Graph:
-        return Graph(graph.nodes(elements), graph.edges(elements), self.graph_config)
+        rows = written(graph.prepared(elements), "elements")  # read for all kinds of nodes and edges
+        return Graph(graph.nodes(rows), graph.edges(rows), self.graph_config)
 
     def encode(self, rows: DataFrame, text: str = "text") -> DataFrame:
         return rows.withColumn("vec", vc.encode(text))
@@ -112,10 +124,23 @@ class Graph:
         ranks = graph.pagerank(self.nodes, self.edges, self.cfg)
         return graph_search.search(queries, self.nodes, self.edges, index, ranks, contents, top_k, expand_graph, self.cfg, **conditions)
 
+    def search_graph(self, queries: DataFrame, index: DataFrame, contents: DataFrame, top_k: int = 10, **conditions) -> DataFrame:
+        """search() with up to five neighbours of every result."""
+        return graph_search.related(self.search(queries, index, contents, top_k, **conditions), self.edges)
+
+    def save(self, path: str) -> None:
+        """Nodes and edges as two parquet tables below the path."""
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, cfg: GraphConfig = GraphConfig()) -> Graph:
+        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), cfg)
+
     def find_similar_documents(self, index: DataFrame, starts: DataFrame, top_k: int = 5) -> DataFrame:
         return graph_search.similar_documents(index, starts, top_k)
 
-    def get_document_hierarchy(self, roots: DataFrame, depth: int = 6) -> DataFrame:
+    def get_document_hierarchy(self, roots: DataFrame, depth: int | None = None) -> DataFrame:
         return graph.hierarchy(self.edges, roots, depth)
 
     def node(self, ids: DataFrame) -> DataFrame:

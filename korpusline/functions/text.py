@@ -1,4 +1,4 @@
-"""Column functions on text, tokens, headings and keys. All stay inside whole-stage code generation."""
+"""Column functions on text, tokens, headings and keys; all run in the JVM (those with lambdas outside of generated code)."""
 
 from __future__ import annotations
 

@@ -7,36 +7,37 @@ from pyspark.sql import functions as F
 
 from korpusline.functions.text import col, filled
 
-# Words by which a query's domain is told, in order of precedence.
+# The domains by name, and the words by which a query's domain is told, in order of precedence.
 DOMAINS = {
-    "legal": ["договор", "контракт", "соглашение", "ответственность", "юридический", "претензия"],
-    "logistics": ["логистика", "доставка", "перевозка", "транспорт", "станция", "вагон", "отгрузка"],
-    "procurement": ["закупка", "поставка", "снабжение", "тендер", "заказ"],
-    "production": ["производство", "цемент", "бетон", "щебень", "песок", "гост"],
-    "finance": ["финансы", "оплата", "счет", "счёт", "накладная", "стоимость", "цена"],
-    "hr": ["кадры", "сотрудник", "персонал", "отпуск"],
+    "Юристы": ["договор", "контракт", "соглашение", "юридический", "правовой"],
+    "Логистика": ["поставка", "доставка", "отгрузка", "транспорт", "логистика"],
+    "Закупки": ["закупка", "тендер", "конкурс", "поставщик", "снабжение"],
+    "Производство": ["производство", "цех", "линия", "изготовление", "выпуск"],
+    "Финансы": ["оплата", "счет", "бюджет", "финансы", "расчет"],
+    "HR": ["сотрудник", "вакансия", "персонал", "кадры", "hr"],
 }
-INCOTERMS = ["EXW", "FCA", "CPT", "CIP", "DAP", "DPU", "DDP", "FAS", "FOB", "CFR", "CIF"]
+# Trade terms, units by their full names, and patterns (each list in its order).
+INCOTERMS = ["EXW", "FCA", "CPT", "CIP", "DAT", "DAP", "DDP", "FAS", "FOB", "CFR", "CIF"]
 UNIT_NAMES = {"т": "тонн", "кг": "килограмм", "шт": "штук", "куб.м": "м3"}
-STANDARD = r"(?iu)((?:ГОСТ|ТУ)\s*[\d\-.]+)"
-DAY_DATE = r"(\d{1,2}\.\d{1,2}\.\d{4})"
-ISO_DATE = r"(\d{4}-\d{2}-\d{2})"
-DEADLINE = r"(?iu)(до\s+\d{1,2}\s+[а-я]+\s+\d{4})"
-QUANTITY = r"(?iu)(\d+(?:[.,]\d+)?)\s*(тонн|т|кг|м3|куб\.м|шт|штук)(?:[^а-яёa-z]|$)"
-IDENTIFIER = r"(?iu)((?:№|договор|контракт)\s*[\dA-Za-zА-Яа-я\-/]*\d[\dA-Za-zА-Яа-я\-/]*)"
-ORGANISATION = r"((?:ООО|ПАО|ЗАО|АО)\s+(?:«[^»]+»|\"[^\"]+\"|[А-ЯЁA-Z][\p{L}\-]+))"
+STANDARDS = [r"(?iu)ГОСТ\s*[\d\-\.]+", r"(?iu)ТУ\s*[\d\-\.]+"]
+DATES = [r"\d{1,2}[\./]\d{1,2}[\./]\d{2,4}", r"\d{4}[-\.]\d{1,2}[-\.]\d{1,2}", r"(?U)до\s+\d{1,2}\s+\w+\s+\d{4}"]
+QUANTITY = r"(?iu)(\d+(?:\.\d+)?)\s*(тонн|т|кг|м3|куб\.м|шт|штук)"
+IDENTIFIERS = [r"(?iu)№\s*[\d\-/]+", r"(?iu)договор\s+[\d\-/]+", r"(?iu)контракт\s+[\d\-/]+"]
+ORGANISATIONS = [r"ООО\s+\"[^\"]+\"", r"(?U)ООО\s+\w+", r"АО\s+\"[^\"]+\"", r"(?U)АО\s+\w+", r"ПАО\s+\"[^\"]+\"", r"(?U)ПАО\s+\w+"]
+#: An addition of this engine: names in guillemets, which a tagger of names would find and the patterns above don't.
+QUOTED_ORGANISATION = r"(?<![\p{L}])(?:ООО|ПАО|ЗАО|АО)\s+«[^»]+»"
 STATION_WORD = "станци"
-#: Confidence of what a rule finds.
-CONFIDENCE = {"domain": 0.9, "object": 0.85, "quantity": 0.95, "location": 0.8, "actors": 0.7}
+# Confidence of what a rule finds.
+CONFIDENCE = {"domain": 0.9, "quantity": 0.95, "location": 0.8, "actors": 0.7}
 
 
-def all_of(text: str | Column, pattern: str) -> Column:
-    """Distinct matches in order of occurrence."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), 1), lambda x: F.trim(x)))
+def matches(text: str | Column, *patterns: str) -> Column:
+    """The matches of each pattern in turn, in order of occurrence; none for a null text."""
+    return F.concat(*[F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(p), 0) for p in patterns])
 
 
 def domain(text: str | Column) -> Column:
-    """The first domain with a keyword in the text; null without one."""
+    """The first domain with a keyword in the text, as a part of any word; null without one."""
     low = F.lower(col(text))
     out = F.lit(None).cast("string")
     for name, keys in reversed(DOMAINS.items()):
@@ -48,21 +49,21 @@ def domain(text: str | Column) -> Column:
 
 
 def standards(text: str | Column) -> Column:
-    return all_of(text, STANDARD)
+    return F.array_distinct(matches(text, *STANDARDS))
 
 
 def dates(text: str | Column) -> Column:
-    """Matches of the last pattern that matches: a deadline, else ISO dates, else day dates."""
-    found = [all_of(text, p) for p in (DEADLINE, ISO_DATE, DAY_DATE)]
+    """All matches of the last pattern that matches; repeats stay."""
+    found = [matches(text, p) for p in reversed(DATES)]
     return F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).otherwise(found[2])
 
 
 def quantity(text: str | Column) -> Column:
-    """(value, unit) of the first number with a unit, the unit by its full name; null without one."""
+    """(value, unit) of the first number with a unit, usual units by their full name; null without one."""
     value = filled(F.regexp_extract(col(text), QUANTITY, 1))
-    unit = F.lower(F.regexp_extract(col(text), QUANTITY, 2))
+    unit = F.regexp_extract(col(text), QUANTITY, 2)
     names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
-    return F.when(value.isNotNull(), F.struct(F.regexp_replace(value, ",", ".").cast("double").alias("value"), F.coalesce(names[unit], unit).alias("unit")))
+    return F.when(value.isNotNull(), F.struct(value.cast("double").alias("value"), F.coalesce(names[unit], unit).alias("unit")))
 
 
 def incoterms(text: str | Column) -> Column:
@@ -70,12 +71,17 @@ def incoterms(text: str | Column) -> Column:
     return F.filter(F.array(*map(F.lit, INCOTERMS)), lambda t: F.contains(upper, t))
 
 
+def constraints(text: str | Column) -> Column:
+    """The trade terms of the text as conditions."""
+    return F.coalesce(F.transform(incoterms(text), lambda t: F.concat(F.lit("Инкотермс: "), t)), F.array().cast("array<string>"))
+
+
 def identifiers(text: str | Column) -> Column:
-    return all_of(text, IDENTIFIER)
+    return F.array_distinct(matches(text, *IDENTIFIERS))
 
 
 def organisations(text: str | Column) -> Column:
-    return all_of(text, ORGANISATION)
+    return F.array_distinct(matches(text, *ORGANISATIONS, QUOTED_ORGANISATION))
 
 
 def stations(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -94,11 +100,27 @@ def stations(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("query_id", "station", F.when(behind, "destination").otherwise("origin").alias("place"))
 
 
-def extract(queries: DataFrame) -> DataFrame:
-    """(query_id, domain, object_attributes, raw_dates, quantity, incoterms, identifiers, actors, confidences): absent ones null or empty."""
+def locations(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(query_id, location): origin and destination by name; of several stations the last by name."""
+    found = stations(queries, dictionary).groupBy("query_id").agg(*[F.max(F.when(F.col("place") == p, F.col("station"))).alias(p) for p in ("origin", "destination")])
+    return found.select("query_id", F.struct("origin", "destination").alias("location"))
+
+
+def extract(queries: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(query_id, domain, object_attributes, raw_dates, quantity, incoterms, constraints, identifiers, actors, location, confidences): absent ones null or empty.
+
+    dictionary: entry, the names of stations; without it there are no locations.
+    """
     q = F.col("query")
-    out = queries.select("query_id", domain(q).alias("domain"), standards(q).alias("object_attributes"), dates(q).alias("raw_dates"), quantity(q).alias("quantity"), incoterms(q).alias("incoterms"), identifiers(q).alias("identifiers"), organisations(q).alias("actors"))
-    found = {"domain": F.col("domain").isNotNull(), "object": F.size("object_attributes") > 0, "quantity": F.col("quantity").isNotNull(), "actors": F.size("actors") > 0}
+    out = queries.select(
+        "query_id", domain(q).alias("domain"), standards(q).alias("object_attributes"), dates(q).alias("raw_dates"), quantity(q).alias("quantity"), incoterms(q).alias("incoterms"), constraints(q).alias("constraints"),
+        identifiers(q).alias("identifiers"), organisations(q).alias("actors"),
+    )
+    if dictionary is None:
+        out = out.withColumn("location", F.lit(None).cast("struct<origin:string,destination:string>"))
+    else:
+        out = out.join(locations(queries, dictionary), "query_id", "left")
+    found = {"domain": F.col("domain").isNotNull(), "quantity": F.col("quantity").isNotNull(), "location": F.col("location").isNotNull(), "actors": F.size("actors") > 0}
     marks = F.map_from_entries(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("key"), F.lit(CONFIDENCE[k]).alias("value"))) for k, c in found.items()])))
     return out.withColumn("confidences", marks)
 
@@ -106,18 +128,21 @@ def extract(queries: DataFrame) -> DataFrame:
 def merge_model(rules: DataFrame, model: DataFrame) -> DataFrame:
     """Entities with those of a model merged in: its domain overrides where valid, lists are appended without repeats.
 
-    model: query_id, domain, object_attributes, actors, identifiers (arrays may be null).
+    model: query_id, domain, and any of object_attributes, actors, identifiers, constraints (arrays may be null).
     """
-    other = model.select("query_id", F.col("domain").alias("m_domain"), *[F.col(c).alias(f"m_{c}") for c in ("object_attributes", "actors", "identifiers")])
+    lists = ("object_attributes", "actors", "identifiers", "constraints")
+    known = [c for c in lists if c in model.columns and c in rules.columns]
+    other = model.select("query_id", F.col("domain").alias("m_domain"), *[F.col(c).alias(f"m_{c}") for c in known])
     empty = F.array().cast("array<string>")
     joined = rules.join(other, "query_id", "left").withColumn("domain", F.when(F.col("m_domain").isin(*DOMAINS), F.col("m_domain")).otherwise(F.col("domain")))
-    for c in ("object_attributes", "actors", "identifiers"):
+    for c in known:
         joined = joined.withColumn(c, F.array_distinct(F.concat(c, F.coalesce(f"m_{c}", empty))))
-    return joined.drop("m_domain", "m_object_attributes", "m_actors", "m_identifiers")
+    return joined.drop("m_domain", *[f"m_{c}" for c in known])
 
 
 def present(entities: DataFrame) -> DataFrame:
-    """(query_id, field, value): the filled fields as JSON, null and empty ones left out."""
-    pairs = [F.struct(F.lit(c).alias("field"), F.when(F.size(c) > 0, F.to_json(c)).alias("value")) for c in ("object_attributes", "raw_dates", "incoterms", "identifiers", "actors")]
-    pairs += [F.struct(F.lit("domain").alias("field"), F.col("domain").alias("value")), F.struct(F.lit("quantity").alias("field"), F.to_json("quantity").alias("value"))]
+    """(query_id, field, value): the filled fields as JSON, null and empty ones left out. Sets are listed in alphabetical order, dates as they occur."""
+    pairs = [F.struct(F.lit(c).alias("field"), F.when(F.size(c) > 0, F.to_json(c if c in ("raw_dates", "constraints") else F.array_sort(c))).alias("value")) for c in ("object_attributes", "raw_dates", "constraints", "identifiers", "actors")]
+    pairs += [F.struct(F.lit("domain").alias("field"), F.col("domain").alias("value"))]
+    pairs += [F.struct(F.lit(c).alias("field"), F.to_json(c).alias("value")) for c in ("quantity", "location")]
     return entities.select("query_id", F.explode(F.array(*pairs)).alias("x")).select("query_id", "x.field", "x.value").filter("value is not null")

@@ -1,7 +1,8 @@
 """The property graph of folders, documents, sections and elements, and queries on it.
 
-Nodes and edges are two tables. Iterations (PageRank, paths, components) checkpoint to the shared
-folder every few rounds, and only counts reach the driver.
+Nodes and edges are two tables. Iterations (PageRank, paths, trees) checkpoint to the shared folder
+every round, and only counts reach the driver. Several tables come from the same elements: `prepared`
+elements, written once, may be given to all of them.
 """
 
 from __future__ import annotations
@@ -23,16 +24,25 @@ def folder_prefixes(category: str | Column) -> Column:
     return F.transform(steps, lambda n: F.struct(join(n).alias("path"), F.get(parts, n - 1).alias("name"), (n - 1).alias("level"), F.when(n > 1, join(n - 1)).alias("parent")))
 
 
+def once(elements: DataFrame, *columns: str) -> DataFrame:
+    """Elements with keys, each id once; prepared ones are as they are."""
+    return elements if "has_path" in elements.columns else keyed(elements.select(*columns))
+
+
 def prepared(elements: DataFrame) -> DataFrame:
     """Elements with keys, section number and heading, each id once."""
-    rows = keyed(elements.select("id", "category", "doc_id", "doc_path", "page", "elem_order", "element_type", "text", "media_path", "headings_path"))
+    if "has_path" in elements.columns:
+        return elements
+    dated = F.to_date("parsed_at") if "parsed_at" in elements.columns else F.lit(None).cast("date")
+    elements = elements.withColumn("date", dated)
+    rows = keyed(elements.select("id", "category", "doc_id", "doc_path", "page", "elem_order", "element_type", "text", "media_path", "headings_path", "date"))
     number = tx.section_number(F.coalesce("text", F.lit("")))
     return rows.withColumn("has_path", F.size(F.coalesce("headings_path", F.array().cast("array<string>"))) > 0).withColumn("section", F.coalesce(number, F.concat(F.lit("section_"), F.substring("id", 1, 8))))
 
 
 def section_importance(elements: DataFrame) -> DataFrame:
     """(doc_key, section, elements, importance): 0.3 * count + 0.4 * min(length / 1000, 1) + 0.3 * (tables, formulas and images); `general` without a number."""
-    rows = keyed(elements.select("id", "category", "doc_id", "doc_path", "element_type", "text"))
+    rows = once(elements, "id", "category", "doc_id", "doc_path", "element_type", "text")
     own = rows.withColumn("section", F.coalesce(tx.section_number(F.coalesce("text", F.lit(""))), F.lit("general")))
     special = F.count_if(F.col("element_type").isin("table", "formula", "image"))
     length = F.coalesce(F.sum(F.length("text")), F.lit(0))
@@ -45,8 +55,9 @@ def folder_nodes(elements: DataFrame) -> DataFrame:
 
 
 def document_nodes(elements: DataFrame) -> DataFrame:
-    docs = keyed(elements.select("id", "category", "doc_id", "doc_path")).groupBy("doc_key").agg(F.count(F.lit(1)).alias("element_count"), F.min("category").alias("category"), F.min("doc_path").alias("path"))
-    return docs.select(F.concat(F.lit("document::"), "doc_key").alias("id"), F.lit("document").alias("type"), "doc_key", "category", "path", "element_count")
+    rows = prepared(elements)
+    docs = rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("element_count"), F.min("category").alias("category"), F.min("doc_path").alias("path"), F.min("date").alias("date"))
+    return docs.select(F.concat(F.lit("document::"), "doc_key").alias("id"), F.lit("document").alias("type"), "doc_key", "category", "path", "element_count", "date")
 
 
 def section_nodes(elements: DataFrame) -> DataFrame:
@@ -64,7 +75,7 @@ def element_nodes(elements: DataFrame) -> DataFrame:
 
 
 def nodes(elements: DataFrame) -> DataFrame:
-    """All nodes: id, type, name, path, doc_key, level, importance, category, element_count, heading, page, elem_order, text_length, has_media."""
+    """All nodes: id, type, name, path, doc_key, level, importance, category, element_count, date, heading, page, elem_order, text_length, has_media."""
     parts = [folder_nodes(elements).drop("parent"), document_nodes(elements), section_nodes(elements), element_nodes(elements).drop("section")]
     out = parts[0]
     for p in parts[1:]:
@@ -101,6 +112,18 @@ def analysis(node: DataFrame, edge: DataFrame) -> DataFrame:
     return types.unionByName(rels).unionByName(deep)
 
 
+def document_analysis(sections: DataFrame, references: DataFrame, most: int = 5) -> DataFrame:
+    """(doc_key, sections, mean_importance, top_sections, references): per document; the most important sections first.
+
+    sections: as section_nodes makes them; references: src, dst between sections.
+    """
+    refs = references.join(sections.select(F.col("id").alias("src"), "doc_key"), "src").groupBy("doc_key").agg(F.count(F.lit(1)).alias("references"))
+    rank = F.row_number().over(Window.partitionBy("doc_key").orderBy(F.desc("importance"), "name"))
+    top = F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "name"))))
+    each = sections.withColumn("n", rank).groupBy("doc_key").agg(F.count(F.lit(1)).alias("sections"), F.round(F.avg("importance"), 6).alias("mean_importance"), F.array_join(F.transform(top, lambda x: x["name"]), ", ").alias("top_sections"))
+    return each.join(refs, "doc_key", "left").withColumn("references", F.coalesce("references", F.lit(0)))
+
+
 def top_sections(sections: DataFrame, most: int = 5) -> DataFrame:
     """(doc_key, section, importance, rank): the most important sections of each document."""
     rank = F.row_number().over(Window.partitionBy("doc_key").orderBy(F.desc("importance"), "section"))
@@ -126,12 +149,10 @@ def pagerank(node: DataFrame, edge: DataFrame, cfg: GraphConfig = GraphConfig())
     out = edge.groupBy("src").agg(F.sum("weight").alias("out"))
     share = cut(edge.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
     state = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / max(n, 1)).alias("rank")))
-    for i in range(cfg.iterations):
+    for _ in range(cfg.iterations):
         flow = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         idle = state.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("idle"))  # one row
-        state = state.join(flow, "id", "left").crossJoin(F.broadcast(idle)).select("id", "linked", ((1 - cfg.damping) / n + cfg.damping * (F.coalesce("flow", F.lit(0.0)) + F.col("idle") / n)).alias("rank"))
-        if i % 4 == 3:
-            state = cut(state)
+        state = cut(state.join(flow, "id", "left").crossJoin(F.broadcast(idle)).select("id", "linked", ((1 - cfg.damping) / n + cfg.damping * (F.coalesce("flow", F.lit(0.0)) + F.col("idle") / n)).alias("rank")))
     return state.select("id", F.round("rank", 9).alias("rank"))
 
 
@@ -152,30 +173,37 @@ def neighbourhood(starts: DataFrame, edge: DataFrame, hops: int = 2) -> DataFram
     return seen.groupBy("start", "id").agg(F.min("distance").alias("distance")).filter("start <> id")
 
 
-def shortest_path(edge: DataFrame, source: str, target: str, most: int = 20) -> DataFrame:
-    """(step, id) along one shortest directed path, the least by node ids; empty without one."""
+def shortest_path(edge: DataFrame, source: str, target: str) -> DataFrame:
+    """(step, id) along one shortest directed path, the least by node ids; empty without one.
+
+    The search goes on until the target is met or no new node is, whatever the length of the path.
+    """
     spark = edge.sparkSession
     front = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     seen = front.select("id")
-    for _ in range(most):
+    while not front.isEmpty():
         hit = front.filter(F.col("id") == target)
         if not hit.isEmpty():
             return hit.select(F.posexplode("path").alias("step", "id"))
         step = front.join(edge.select(F.col("src").alias("id"), "dst"), "id").groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         front = cut(step.join(seen, "id", "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.union(front.select("id"))
-    return front.filter("false").select(F.posexplode("path").alias("step", "id"))
+        seen = cut(seen.union(front.select("id")))
+    return front.select(F.posexplode("path").alias("step", "id"))
 
 
-def hierarchy(edge: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
-    """(root, id, parent, depth): what the roots contain, over containment edges only, so cycles of references don't matter."""
+def hierarchy(edge: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, id, parent, depth): what the roots contain, to the last level or to the depth asked for.
+
+    Over containment edges only: they form a forest, so cycles of references don't matter and the levels end.
+    """
     own = edge.filter(F.col("rel") != "references").select(F.col("src").alias("id"), "dst")
     level = roots.select(F.col("id").alias("root"), "id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.select("root", "id").join(own, "id").select("root", F.col("dst").alias("id"), F.col("id").alias("parent"), F.lit(d).alias("depth"))
+    out, d = level, 0
+    while depth is None or d < depth:
+        d += 1
+        level = cut(level.select("root", "id").join(own, "id").select("root", F.col("dst").alias("id"), F.col("id").alias("parent"), F.lit(d).alias("depth")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 

@@ -37,22 +37,29 @@ def candidates(queries: DataFrame, node: DataFrame, index: DataFrame, cfg: Graph
 
 
 def filtered(rows: DataFrame, doc_type: str | None = None, dates: tuple[str, str] | None = None, path_prefix: str | None = None) -> DataFrame:
-    """Graph filters: node type, a date between two dates, a path prefix."""
+    """Graph filters: node type, a date between two dates (ISO strings, both included), a path prefix. Nodes without the property don't match."""
     if doc_type:
         rows = rows.filter(F.col("type") == doc_type)
     if dates:
-        rows = rows.filter(F.col("date").between(*dates))
+        rows = rows.filter(F.col("date").between(*[F.lit(d).cast("date") for d in dates]))
     return rows.filter(F.startswith("path", F.lit(path_prefix))) if path_prefix else rows
 
 
 def entity_match(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, id, match): by kind its weight times the share of the query's entities that the node has; 1 at most."""
+    """(query_id, id, match) of the pairs that share an entity.
+
+    The weights of the kinds in which they agree, times matches / kinds that both have. A kind matches by the share
+    of the query's values that the node has; domain and identifiers match as a whole. 1 at most.
+    """
     asked = query_entities(queries)
     size = asked.groupBy("query_id", "kind").agg(F.count(F.lit(1)).alias("asked"))
     common = asked.join(index, ["kind", "value"]).groupBy("query_id", "id", "kind").agg(F.count(F.lit(1)).alias("common")).join(size, ["query_id", "kind"])
     weight = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("kind")]
-    part = F.when(F.col("kind").isin("domain", "identifiers"), weight).otherwise(weight * F.col("common") / F.col("asked"))
-    return common.groupBy("query_id", "id").agg(F.least(F.lit(1.0), F.sum(part)).alias("match"))
+    share = F.when(F.col("kind").isin("domain", "identifiers"), 1.0).otherwise(F.col("common") / F.col("asked"))
+    agreed = common.groupBy("query_id", "id").agg(F.sum(weight).alias("weight"), F.sum(share).alias("matches"))
+    both = agreed.select("query_id", "id").join(size.select("query_id", "kind"), "query_id").join(index.select("id", "kind").distinct(), ["id", "kind"])
+    total = both.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("total"))
+    return agreed.join(total, ["query_id", "id"]).select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("weight") * F.col("matches") / F.col("total")), 9).alias("match"))
 
 
 def node_score() -> Column:
@@ -61,24 +68,29 @@ def node_score() -> Column:
 
 
 def search(queries: DataFrame, node: DataFrame, edge: DataFrame, index: DataFrame, ranks: DataFrame, contents: DataFrame, top: int = 10, expand: bool = True, cfg: GraphConfig = GraphConfig(), **conditions) -> DataFrame:
-    """(query_id, id, type, graph_score, hops, rank_no, preview): the best nodes, and nodes near the first five at a discount.
+    """(query_id, id, type, graph_score, hops, rank_no, preview): the best nodes, and nodes near the first five.
 
-    contents: id, content. Scores must be positive; a node keeps its best score.
+    A node near one of these has its own score, divided by one more than the distance and discounted. contents: id,
+    content. Scores must be positive; a node keeps its best score.
     """
-    pairs = filtered(candidates(queries, node, index, cfg).join(node, "id"), **conditions).select("query_id", "id")
     info = node.select("id", "type", "importance").join(ranks, "id", "left").join(contents, "id", "left")
-    full = pairs.join(queries.select("query_id", "query"), "query_id").join(info, "id").join(entity_match(queries, index), ["query_id", "id"], "left")
-    scored = full.select("query_id", "id", "type", node_score().alias("graph_score"), "content").filter("graph_score > 0").withColumn("hops", F.lit(0))
-    scored = cut(scored)  # read again for the expansion
+    match = cut(entity_match(queries, index))
+    asked = queries.select("query_id", "query")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(asked, "query_id").join(info, "id").join(match, ["query_id", "id"], "left").withColumn("graph_score", node_score())
+
+    pairs = filtered(candidates(queries, node, index, cfg).join(node, "id"), **conditions).select("query_id", "id")
+    found = cut(scored(pairs).filter("graph_score > 0").select("query_id", "id", "type", "graph_score", F.lit(0).alias("hops")))
     if expand:
-        lead = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("graph_score"), "id"))).filter(F.col("n") <= cfg.expand_from)
+        lead = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("graph_score"), "id"))).filter(F.col("n") <= cfg.expand_from)
         near = gr.neighbourhood(lead.select("id").distinct(), edge, cfg.max_distance)
-        wide = lead.select("query_id", F.col("id").alias("start"), F.col("graph_score").alias("lead_score")).join(near, "start").join(info.select("id", "type", "content"), "id")
-        more = wide.select("query_id", "id", "type", F.round(F.col("lead_score") / (F.col("distance") + 1) * cfg.expand_decay, 6).alias("graph_score"), "content", F.col("distance").alias("hops")).filter(F.col("graph_score") > cfg.expand_least)
-        scored = scored.unionByName(more)
-    best = scored.groupBy("query_id", "id", "type").agg(F.max("graph_score").alias("graph_score"), F.min_by("hops", F.struct(-F.col("graph_score"), "hops")).alias("hops"), F.first("content", ignorenulls=True).alias("content"))
+        wide = lead.select("query_id", F.col("id").alias("start")).join(near, "start").groupBy("query_id", "id").agg(F.min("distance").alias("hops"))
+        more = scored(wide.join(lead.select("query_id", "id"), ["query_id", "id"], "left_anti")).withColumn("graph_score", F.round(F.col("graph_score") / (F.col("hops") + 1) * cfg.expand_decay, 6))
+        found = found.unionByName(more.filter(F.col("graph_score") > cfg.expand_least).select("query_id", "id", "type", "graph_score", "hops"))
+    best = found.groupBy("query_id", "id", "type").agg(F.max("graph_score").alias("graph_score"), F.min_by("hops", F.struct(-F.col("graph_score"), "hops")).alias("hops"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("graph_score"), "id"))
-    return best.withColumn("rank_no", rank).filter(F.col("rank_no") <= top).withColumn("preview", F.substring("content", 1, 500)).drop("content")
+    return best.withColumn("rank_no", rank).filter(F.col("rank_no") <= top).join(contents.select("id", F.substring("content", 1, 500).alias("preview")), "id", "left")
 
 
 def related(results: DataFrame, edge: DataFrame, most: int = 5) -> DataFrame:

@@ -49,20 +49,19 @@ def field_scores(queries: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataF
     return full.select("query_id", "doc_key", product("heading"), product("path"), product("category"))
 
 
-def idf_gate(queries: DataFrame, docs: DataFrame, lexicon: DataFrame, cfg: GateConfig = GateConfig(), total: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_key, gate) for all documents that a query's rare tokens decide on.
+def idf_gate(queries: DataFrame, docs: DataFrame, lexicon: DataFrame, pairs: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
+    """(query_id, doc_key, gate) of the pairs (query_id, doc_key), by the query's rare tokens.
 
-    Rare: 0 < df <= (1 - quantile) * N. gate = 1 - (1 - share of rare tokens in the document) * penalty; documents
-    without tokens get cfg.no_tokens, queries without rare tokens give 1.
-    total: the number of all documents, where docs are only some of them.
+    Rare: 0 < df <= (1 - quantile) * N, N all docs. gate = 1 - (1 - share of rare tokens in the document) * penalty;
+    documents without tokens get cfg.no_tokens, queries without rare tokens give 1. Unknown documents have no row.
     """
-    total = docs.agg(F.count(F.lit(1)).alias("n")) if total is None else total  # one row
+    total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens("query"))).alias("token")).join(lexicon, "token").crossJoin(F.broadcast(total))
     rare = asked.filter(F.col("df") <= (1 - cfg.quantile) * F.col("n")).groupBy("query_id").agg(F.collect_set("token").alias("rare"))
-    each = queries.select("query_id").join(rare, "query_id", "left")
+    full = pairs.select("query_id", "doc_key").distinct().join(docs.select("doc_key", "nav_tokens"), "doc_key").join(rare, "query_id", "left")
     share = F.size(F.array_intersect("rare", "nav_tokens")) / F.size("rare")
     gate = F.when(F.size("nav_tokens") == 0, cfg.no_tokens).when(F.col("rare").isNull(), 1.0).otherwise(1 - (1 - share) * cfg.penalty)
-    return docs.select("doc_key", "nav_tokens").crossJoin(se.asked(each)).select("query_id", "doc_key", F.round(gate, 9).alias("gate"))
+    return full.select("query_id", "doc_key", F.round(gate, 9).alias("gate"))
 
 
 def fused(w: FusionWeights) -> Column:
@@ -82,9 +81,7 @@ def fuse(dense: DataFrame, queries: DataFrame, docs: DataFrame, lexicon: DataFra
     pairs = dense.select("query_id", "doc_key").distinct()
     lexical = pairs.join(bm25(queries, docs), ["query_id", "doc_key"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     scaled = minmax_by_query(lexical, "bm25", "bm25_scaled")
-    known = docs.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi")
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    gates = idf_gate(queries, known, lexicon, cfg.gate, total)
+    gates = idf_gate(queries, docs, lexicon, pairs, cfg.gate)
     full = dense.join(scaled, ["query_id", "doc_key"]).join(field_scores(queries, docs, pairs), ["query_id", "doc_key"]).join(gates, ["query_id", "doc_key"], "left").withColumn("gate", F.coalesce("gate", F.lit(1.0)))
     return full.withColumn("fused", F.round(fused(cfg.weights), 6))
 

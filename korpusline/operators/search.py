@@ -1,20 +1,25 @@
 """Vector search over chunks: top-k with post-filters, neighbour windows, grouping by document.
 
 Queries are a DataFrame (query_id, query) and every stage keeps query_id, so one or many run in the
-same plan. The query set is the small side; it is broadcast only up to `broadcast_queries` rows and
-joined as a plain product beyond. Per query only the best rows survive the first stage.
+same plan. Vectors meet as block products in Arrow batches; the query set is broadcast only up to
+BROADCAST_QUERIES rows and met block by block beyond. Per query only the best rows survive the first stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusline.functions import text as tx
 from korpusline.functions import vectors as vc
 
-#: Rows of queries up to which they are broadcast (64 doubles each, so a few MB at most).
+#: Rows of queries up to which they are broadcast (64 doubles each, so a few MB at most), and rows of a block beyond it.
 BROADCAST_QUERIES = 5000
+BLOCK_ROWS = 4096
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -26,24 +31,61 @@ def encoded(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query", vc.encode("query").alias("query_vec"))
 
 
-def asked(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """The queries, broadcast where their number is checked to be small."""
-    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
-
-
 def best(rows: DataFrame, k: int | Column, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
     """The first k rows of each query; the limit is applied before the shuffle too."""
     ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k)
 
 
+def _best_of(scores: np.ndarray, asked: list, ids: pa.Array, k: int) -> pa.RecordBatch:
+    """(query_id, id, score) of the rows that may be among a query's k best: those at least as good as its k-th."""
+    least = np.partition(scores, max(0, len(scores) - k), axis=0)[max(0, len(scores) - k)]
+    row, query = np.nonzero(scores >= least[None, :])
+    return pa.RecordBatch.from_arrays([asked.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "id", "score"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def top_k(queries: DataFrame, indexed: DataFrame, k: int, id_column: str = "id", vec: str = "vec") -> DataFrame:
     """(query_id, rank, score, id): the exact k nearest by inner product; ties by id.
 
-    The vectors stay where they are read; scores are rounded to 9 places so that equal ones tie.
+    Products are made a block at a time, and only rows as good as the k-th of their block go on. The
+    queries are broadcast up to BROADCAST_QUERIES rows; beyond it both sides are cut into blocks, and each
+    pair of blocks is one group. Scores are rounded to 9 places so that equal ones tie.
     """
-    scored = indexed.select(id_column, vec).crossJoin(asked(queries.select("query_id", "query_vec"))).select("query_id", id_column, F.round(vc.dot("query_vec", vec), 9).alias("score"))
-    return best(scored, k, F.desc("score"), F.col(id_column))
+    spark, kinds = indexed.sparkSession, {f.name: f.dataType.simpleString() for f in (*queries.schema, *indexed.schema)}
+    asked, stored = queries.select("query_id", "query_vec"), indexed.select(F.col(id_column).alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
+    out = f"query_id {kinds['query_id']}, id {kinds[id_column]}, score double"
+    few = asked.limit(BROADCAST_QUERIES + 1).toArrow()
+    if few.num_rows <= BROADCAST_QUERIES:
+        few = few.combine_chunks()
+        sent = spark.sparkContext.broadcast((few.column(0).combine_chunks(), _matrix(few.column(1).combine_chunks()) if few.num_rows else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            for batch in batches if vectors is not None else ():
+                if batch.num_rows:
+                    yield _best_of(np.round(_matrix(batch.column(1)) @ vectors.T, 9), ids, batch.column(0), k)
+
+        scored = stored.mapInArrow(run, out)
+    else:
+        blocks = {side: rows.count() // BLOCK_ROWS + 1 for side, rows in (("q", asked), ("s", stored))}
+
+        def blocked(rows: DataFrame, key: str, side: str, other: str) -> DataFrame:
+            own = F.pmod(F.xxhash64(key), F.lit(blocks[side])).alias(side)
+            return rows.select(own, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1))).cast("bigint").alias(other), *rows.columns)
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            a, b = left.combine_chunks(), right.combine_chunks()
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"query_id": a.column("query_id").slice(0, 0), "id": b.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+            scores = np.round(_matrix(b.column("vec").combine_chunks()) @ _matrix(a.column("query_vec").combine_chunks()).T, 9)
+            return pa.Table.from_batches([_best_of(scores, a.column("query_id").combine_chunks(), b.column("id").combine_chunks(), k)])
+
+        scored = blocked(asked, "query_id", "q", "s").groupBy("q", "s").cogroup(blocked(stored, "id", "s", "q").groupBy("q", "s")).applyInArrow(meet, out)
+    return best(scored.withColumnRenamed("id", id_column), k, F.desc("score"), F.col(id_column))
 
 
 def _starts(prefix: str) -> Column:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusline.config import ContextConfig, GraphConfig, RerankConfig
+from korpusline.config import ContextConfig, GraphConfig, RerankConfig, SearchConfig
 from korpusline.functions import text as tx
 from korpusline.functions import vectors as vc
-from korpusline.functions.session import cut, table
+from korpusline.functions.session import cut, table, written
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import charset, files, markup, tables
 from korpusline.streaming import ingest
@@ -29,7 +29,12 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.index(table(spark, d, "chunks").drop("indexed_at").filter("text is not null"))
+    # read several times by a search, with its vectors: written once
+    return written(search.index(table(spark, d, "chunks").drop("indexed_at").filter("text is not null")), "index")
+
+
+def _stations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dictionaries").filter("dict_name = 'stations'")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +85,15 @@ def src_union_formats(spark, d):
 
 @query
 def src_charset(spark, d):
-    own = table(spark, d, "documents").filter("length(text) > 0").select("doc_id", charset.decoded()(F.encode("text", "UTF-8")).alias("x"))
-    return own.select("doc_id", F.md5("x.text").alias("text_md5"), F.col("x.encoding").alias("encoding"))
+    """Texts of Russian letters as bytes of cp1251, the others as UTF-8, every other one with a byte order mark."""
+    rows = table(spark, d, "documents").filter("length(text) > 0")
+    # the letters stand in cp1251 where Latin-1 has others: encoding these gives the bytes
+    letters = "".join(map(chr, range(0x410, 0x450))) + "Ёё"
+    shown = "".join(map(chr, range(0xC0, 0x100))) + "¨¸"
+    russian = F.encode(F.translate("text", letters, shown), "ISO-8859-1")
+    marked = F.concat(F.unhex(F.when(F.col("doc_id") % 2 == 0, "EFBBBF").otherwise("")), F.encode("text", "UTF-8"))
+    content = F.when(F.col("text").rlike(r"^[\x00-\x7fА-яЁё]*$") & F.col("text").rlike("[А-яЁё]"), russian).otherwise(marked)
+    return rows.select("doc_id", charset.decoded()(content).alias("x")).select("doc_id", F.md5("x.text").alias("text_md5"), F.col("x.encoding").alias("encoding"))
 
 
 @query
@@ -307,12 +319,14 @@ def bm25_minmax(spark, d):
 
 @query
 def idf_gate(spark, d):
-    docs = _docs(spark, d)
-    return ranking.idf_gate(_questions(spark, d), docs, fields.lexicon(docs)).filter("gate < 1").select("query_id", "doc_key", F.round("gate", 6).alias("gate"))
+    """The gate of the pairs that share a token."""
+    docs, asked = _docs(spark, d), _questions(spark, d)
+    return ranking.idf_gate(asked, docs, fields.lexicon(docs), ranking.bm25(asked, docs)).select("query_id", "doc_key", F.round("gate", 6).alias("gate"))
 
 
 def _dense(spark, d):
-    found = search.search_raw(_questions(spark, d), _index(spark, d), 50, 5)
+    cfg = SearchConfig()
+    found = search.search_raw(_questions(spark, d), _index(spark, d), cfg.semantic_top_k, cfg.oversample)
     return found.groupBy("query_id", "doc_key").agg(F.max("score").alias("dense"))
 
 
@@ -327,16 +341,37 @@ def fusion(spark, d):
     return ranking.fuse(_dense(spark, d), _questions(spark, d), docs, fields.lexicon(docs)).select("query_id", "doc_key", "heading_score", "path_score", "category_score", "bm25", "gate", "fused")
 
 
+def _universal(spark, d):
+    """(query_id, doc_key, score, origin): fused documents with entity bonus and graph results."""
+    docs, asked = cut(_field_docs(spark, d)), _questions(spark, d)
+    fused = ranking.fuse(_dense(spark, d), asked, docs, fields.lexicon(docs)).join(docs.select("doc_key", "category", "heading_text"), "doc_key", "left")
+    found = entities.extract(asked, _stations(spark, d)).select("query_id", "domain", "object_attributes")
+    bonus = fused.join(found, "query_id").withColumn("score", F.round(F.col("fused") + SearchConfig().weights.entity * ranking.entity_bonus(F.col("domain"), F.col("object_attributes")), 6))
+    node, near = _graph_hits(spark, d)
+    near = near.join(node.select("id", F.coalesce("doc_key", "id").alias("name")), "id").select("query_id", F.col("id").alias("node_id"), "name", "graph_score", F.col("preview").alias("content"))
+    return ranking.graph_merge(bonus.select("query_id", "doc_key", "score"), near)
+
+
 @query
 def universal_search(spark, d):
-    """Fused documents with entity bonus and graph results, the best five per query."""
-    docs, asked = _field_docs(spark, d), _questions(spark, d)
-    fused = ranking.fuse(_dense(spark, d), asked, docs, fields.lexicon(docs)).join(docs.select("doc_key", "category", "heading_text"), "doc_key", "left")
-    found = entities.extract(asked).select("query_id", "domain", "object_attributes")
-    bonus = fused.join(found, "query_id").withColumn("score", F.round(F.col("fused") + 0.2 * ranking.entity_bonus(F.col("domain"), F.col("object_attributes")), 6))
-    near = _graph_hits(spark, d).join(_graph_tables(spark, d)[0].select("id", F.coalesce("doc_key", "id").alias("name")), "id").select("query_id", F.col("id").alias("node_id"), "name", "graph_score", F.col("preview").alias("content"))
-    merged = ranking.graph_merge(bonus.select("query_id", "doc_key", "score"), near)
-    return search.best(merged, 5, F.desc("score"), F.col("doc_key"))
+    """The best five documents per query."""
+    return search.best(_universal(spark, d), SearchConfig().top_k_docs, F.desc("score"), F.col("doc_key"))
+
+
+def _pipeline_hits(spark, d):
+    """The hits of the questions' searches in the documents that universal search puts first."""
+    cfg = SearchConfig()
+    best = cut(search.best(_universal(spark, d), 2 * cfg.top_k_docs, F.desc("score"), F.col("doc_key"))).filter("origin = 'text'")
+    hits = search.search_raw(_questions(spark, d), _index(spark, d), cfg.semantic_top_k, cfg.oversample)
+    return cut(hits.drop("rank").join(best.select("query_id", "doc_key"), ["query_id", "doc_key"]).join(_questions(spark, d), "query_id"))
+
+
+@query
+def pipeline_context(spark, d):
+    """Universal search, reranking and packing of a context, one after the other, for all questions."""
+    best = rerank.rerank(_pipeline_hits(spark, d), SearchConfig().top_k_docs, SearchConfig().max_chunks_per_doc)
+    packed = cut(context.pack(context.items(best), ContextConfig()))
+    return context.prompt(packed).join(packed.groupBy("query_id").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens")), "query_id")
 
 
 @query
@@ -358,7 +393,7 @@ def rerank_hybrid(spark, d):
 @query
 def rerank_cosine(spark, d):
     found = rerank.hit_scores(_hits(spark, d), RerankConfig(kind="cosine"))
-    return found.select("query_id", "doc_key", "id", F.round("cosine", 6).alias("cosine"), F.round("final", 4).alias("final"))
+    return found.select("query_id", "doc_key", "id", F.round("cosine", 6).alias("cosine"), "final")
 
 
 def _packed(spark, d):
@@ -447,20 +482,44 @@ def ent_organisations(spark, d):
 
 @query
 def ent_stations(spark, d):
-    names = table(spark, d, "dictionaries").filter("dict_name = 'stations'")
-    return entities.stations(_texts(spark, d), names).select(F.col("query_id").alias("doc_id"), "station", "place")
+    return entities.stations(_texts(spark, d), _stations(spark, d)).select(F.col("query_id").alias("doc_id"), "station", "place")
+
+
+@query
+def ent_locations(spark, d):
+    return entities.locations(_texts(spark, d), _stations(spark, d)).select(F.col("query_id").alias("doc_id"), "location.origin", "location.destination")
+
+
+@query
+def ent_confidence(spark, d):
+    rows = entities.extract(_texts(spark, d), _stations(spark, d)).select(F.col("query_id").alias("doc_id"), F.explode("confidences").alias("field", "confidence"))
+    return rows
+
+
+@query
+def ent_merged(spark, d):
+    """Rule-based entities of chunks with those of their heading paths merged in, as a model's would be."""
+    rows = table(spark, d, "chunks").filter("text is not null").dropDuplicates(["id"])
+    rules = entities.extract(rows.select(F.col("id").alias("query_id"), F.col("text").alias("query")))
+    model = entities.extract(rows.select(F.col("id").alias("query_id"), F.array_join("heading_path", "\n").alias("query")))
+    merged = entities.merge_model(rules, model.select("query_id", "domain", "object_attributes", "identifiers", "actors"))
+    return merged.select(F.col("query_id").alias("id"), "domain", F.size("object_attributes").alias("attributes"), F.size("identifiers").alias("identifiers"), F.size("actors").alias("actors"))
 
 
 @query
 def entities_all(spark, d):
-    return entities.present(entities.extract(_texts(spark, d))).withColumnRenamed("query_id", "doc_id")
+    return entities.present(entities.extract(_texts(spark, d), _stations(spark, d))).withColumnRenamed("query_id", "doc_id")
 
 
 # graph
 
 
+def _prepared(spark, d):
+    return written(graph.prepared(table(spark, d, "elements")), "elements")
+
+
 def _graph_tables(spark, d):
-    rows = table(spark, d, "elements")
+    rows = _prepared(spark, d)
     return graph.nodes(rows), graph.edges(rows)
 
 
@@ -481,7 +540,7 @@ def graph_folders(spark, d):
 
 @query
 def graph_documents(spark, d):
-    return graph.document_nodes(table(spark, d, "elements")).select("id", "category", "element_count")
+    return graph.document_nodes(table(spark, d, "elements")).select("id", "category", "element_count", "date")
 
 
 @query
@@ -494,9 +553,35 @@ def graph_edges(spark, d):
     return _graph_tables(spark, d)[1]
 
 
+def _numbered_chunks(spark, d):
+    """The chunks as numbered sections of their documents: texts that refer to sections that are there."""
+    rows = table(spark, d, "chunks").filter("text is not null")
+    number = F.coalesce(F.col("chunk_index") + 1, F.lit(0)).cast("string")
+    return rows.select(
+        "id", "category", "doc_id", "doc_path", F.col("page_from").alias("page"), F.col("chunk_index").alias("elem_order"), F.lit("paragraph").alias("element_type"),
+        F.concat(number, F.lit(". "), "text").alias("text"), F.lit(None).cast("string").alias("media_path"), F.array(number).alias("headings_path"),
+    )
+
+
 @query
 def graph_references(spark, d):
-    return graph.reference_edges(table(spark, d, "elements"))
+    """References between the numbered chunks of a document."""
+    return graph.reference_edges(written(graph.prepared(_numbered_chunks(spark, d)), "chunks"))
+
+
+@query
+def graph_document_analysis(spark, d):
+    rows = _prepared(spark, d)
+    return graph.document_analysis(graph.section_nodes(rows), graph.reference_edges(rows))
+
+
+@query
+def graph_paths(spark, d):
+    """Shortest paths from the folder that is first by name to the element that is last in it."""
+    node, edge = map(cut, _graph_tables(spark, d))
+    first = node.filter("type = 'folder' and level = 0").agg(F.min("id")).first()[0]
+    below = graph.hierarchy(edge, node.filter(F.col("id") == first).select("id")).agg(F.max_by("id", F.struct("depth", "id"))).first()[0]
+    return graph.shortest_path(edge, first, below)
 
 
 @query
@@ -507,31 +592,24 @@ def graph_analysis(spark, d):
 @query
 def graph_khop(spark, d):
     node, edge = _graph_tables(spark, d)
-    return graph.neighbourhood(node.filter("type = 'folder'").select("id"), edge, GraphConfig().max_distance)
+    return graph.neighbourhood(node.select("id"), edge, GraphConfig().max_distance)
 
 
 @query
 def graph_tree(spark, d):
-    node, edge = _graph_tables(spark, d)
-    return graph.hierarchy(edge, node.filter("type = 'document'").select("id"), 2)
-
-
-def _core(spark, d):
-    """Folders and documents with their edges: the part of the graph that importance spreads over."""
-    rows = table(spark, d, "elements")
-    node = graph.folder_nodes(rows).select("id", "importance").unionByName(graph.document_nodes(rows).select("id", F.lit(None).cast("double").alias("importance")))
-    return node, graph.edges(rows).filter(F.col("rel").isin("refines", "contains"))
+    node, edge = map(cut, _graph_tables(spark, d))
+    return graph.hierarchy(edge, node.filter("type = 'document'").select("id"))
 
 
 @query
 def graph_pagerank(spark, d):
-    node, edge = _core(spark, d)
+    node, edge = map(cut, _graph_tables(spark, d))
     return graph.pagerank(node, edge)
 
 
 @query
 def graph_importance(spark, d):
-    node, edge = _core(spark, d)
+    node, edge = map(cut, _graph_tables(spark, d))
     return graph.node_importance(node, graph.pagerank(node, edge))
 
 
@@ -547,7 +625,7 @@ def _contents(spark, d):
 
 
 def _entity_index(spark, d):
-    node = graph.document_nodes(table(spark, d, "elements"))
+    node = graph.document_nodes(table(spark, d, "elements")).select("id")
     return graph.entity_index(node, _contents(spark, d).withColumnRenamed("content", "text"))
 
 
@@ -557,17 +635,26 @@ def entity_index(spark, d):
 
 
 def _graph_hits(spark, d):
+    """(nodes, hits of the questions in the whole graph)."""
     # each is used several times below; written once instead of planned and computed again
     node, edge = map(cut, _graph_tables(spark, d))
     index, contents = cut(_entity_index(spark, d)), cut(_contents(spark, d))
-    core, links = node.filter("type in ('folder', 'document')"), edge.filter("rel in ('refines', 'contains')")
-    ranks = cut(graph.pagerank(core, links))
-    return graph_search.search(_questions(spark, d), node, edge.filter("rel <> 'contains_element'"), index, ranks, contents)
+    ranks = cut(graph.pagerank(node, edge))
+    return node, cut(graph_search.search(_questions(spark, d), node, edge, index, ranks, contents))
 
 
 @query
 def graph_search_top(spark, d):
-    return _graph_hits(spark, d).drop("preview")
+    return _graph_hits(spark, d)[1].drop("preview")
+
+
+@query
+def graph_search_filtered(spark, d):
+    """Documents of 2024 only, with their neighbours."""
+    node, edge = map(cut, _graph_tables(spark, d))
+    ranks = node.select("id", F.lit(0.0).alias("rank"))
+    found = graph_search.search(_questions(spark, d), node, edge, cut(_entity_index(spark, d)), ranks, cut(_contents(spark, d)), expand=False, doc_type="document", dates=("2024-01-01", "2024-01-31"))
+    return graph_search.related(found, edge).select("query_id", "id", "rank_no", "graph_score", F.array_join("related", " | ").alias("related"))
 
 
 @query

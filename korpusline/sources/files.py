@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import io
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +44,9 @@ def stem(path: str | Column) -> Column:
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, category, doc_id, ext, content) of the files below a folder; contents are read only where used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # names are tested where files are listed, so no other file is opened
+    known = "{" + ",".join(f"*.{e},*.{e.upper()}" for e in SUPPORTED) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", known).load(root)
     base = root.rstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + base.replace(".", r"\.") + "/?", "")
     rows = files.select(relative.alias("path"), "content").filter(is_read("path"))
@@ -69,13 +74,22 @@ def delimiter(sample: str | Column) -> Column:
 
 
 def csv_rows(files: DataFrame) -> DataFrame:
-    """(path, n, text) of CSV files (path, text): `header: value; …` where the widths agree, else the values."""
-    each = files.select("path", delimiter("text").alias("sep"), F.split("text", r"\r?\n").alias("all"))
-    cells = lambda line, sep: F.transform(F.split(line, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))), lambda x: F.trim(x))
-    rows = each.select("path", "sep", cells(F.col("all")[0], F.col("sep")).alias("head"), F.posexplode("all").alias("n", "line")).filter((F.col("n") > 0) & (F.trim("line") != ""))
-    own = rows.withColumn("cells", cells(F.col("line"), F.col("sep")))
-    named = F.array_join(F.zip_with("head", "cells", lambda h, v: F.concat(h, F.lit(": "), v)), "; ")
-    return own.select("path", (F.col("n") - 1).alias("n"), F.when(F.size("head") == F.size("cells"), named).otherwise(F.array_join("cells", "; ")).alias("text"))
+    """(path, n, text) of CSV files (path, text): `header: value; …` where the widths agree, else the values; blank rows are left out.
+
+    Cells may be quoted, with delimiters, doubled quotes and line ends in them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text, sep in zip(batch.path, batch.text, batch.sep):
+                reader = csv.reader(io.StringIO(text or "", newline=""), delimiter=sep)
+                head = [x.strip() for x in next(reader, [])]
+                for n, cells in enumerate(x for x in ([c.strip() for c in row] for row in reader) if any(x)):
+                    rows.append((path, n, "; ".join(f"{h}: {v}" for h, v in zip(head, cells)) if len(head) == len(cells) else "; ".join(cells)))
+            yield pd.DataFrame(rows, columns=["path", "n", "text"])
+
+    return files.select("path", "text", delimiter("text").alias("sep")).mapInPandas(run, "path string, n int, text string")
 
 
 def elements_of(files: DataFrame) -> DataFrame:
