@@ -40,7 +40,7 @@ class LeakConfig:
 
     window: int = 13
     sizes: tuple[int, ...] = (32, 64, 128)
-    radius: int = 3
+    radius: int = 2
     shingle: int = 5
     threshold: float = 0.8
     spare: int = 10
@@ -270,25 +270,28 @@ def _document_windows(documents: DataFrame, sent, cfg: LeakConfig) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, reading int, at int, tab int, own bigint, said string, key bigint")
 
 
-def _verified(pairs: DataFrame, masks: np.ndarray, sent, cfg: LeakConfig) -> DataFrame:
-    """(doc_id, reading, item_id, part, start, similarity): window pairs within the radius that are similar; start is null where the passage is not word for word one that counts.
+def _near(hits: DataFrame, items: DataFrame, masks: np.ndarray, cfg: LeakConfig) -> DataFrame:
+    """hits with the id of the item windows within the radius. A pair that agrees in several block keys is taken from the first of them."""
+    differ = F.col("own").bitwiseXOR(F.col("print"))
+    first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(int(m))) == 0 for m in masks.view(np.int64)]), True) - 1
+    # merge joins here and below: the tables of items have no bound that would allow a broadcast
+    met = hits.join(items.hint("merge"), "key").filter((F.bit_count(differ) <= cfg.radius) & (first == F.col("tab")))
+    return met.select("doc_id", "reading", "said", "id")
 
-    A pair that agrees in several block keys is taken from the first of them.
-    """
+
+def _verified(pairs: DataFrame, sent, cfg: LeakConfig) -> DataFrame:
+    """(doc_id, reading, item_id, part, start, similarity): window pairs that are similar; start is null where the passage is not word for word one that counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         similarity = Similarity(sent.value, cfg)
         for batch in batches:
-            differ = batch.own.to_numpy().view(np.uint64) ^ batch["print"].to_numpy().view(np.uint64)
-            first = np.argmax((differ[:, None] & masks[None, :]) == 0, axis=1) if len(batch) else np.zeros(0, int)
-            near = batch[first == batch.tab.to_numpy()]
-            value = np.array([similarity.of(a, b) for a, b in zip(near.said, near.passage)])
-            same = (near.said == near.passage).to_numpy() & (near["size"] == cfg.window).to_numpy()
-            out = near[["doc_id", "reading", "item_id", "part"]].assign(start=near.start.where(same).astype("Int32"), similarity=value)
+            value = np.array([similarity.of(a, b) for a, b in zip(batch.said, batch.passage)])
+            same = (batch.said == batch.passage).to_numpy() & (batch["size"] == cfg.window).to_numpy()
+            out = batch[["doc_id", "reading", "item_id", "part"]].assign(start=batch.start.where(same).astype("Int32"), similarity=value)
             yield out[value >= cfg.threshold]
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    names = ["doc_id", "reading", "own", "tab", "said", "item_id", "part", "size", "start", "print", "passage"]
+    names = ["doc_id", "reading", "said", "item_id", "part", "size", "start", "passage"]
     return pairs.select(names).mapInPandas(run, f"doc_id {kinds['doc_id']}, reading int, item_id {kinds['item_id']}, part string, start int, similarity double")
 
 
@@ -312,10 +315,9 @@ def similar_passages(documents: DataFrame, items: DataFrame, cfg: LeakConfig = L
     windows = cut(_item_windows(items, cfg))
     index = _index(windows, cfg)
     hits = _document_windows(documents, context.broadcast(index), cfg)
-    # merge joins: the tables of items have no bound that would allow a broadcast
-    near = hits.join(_keyed(windows, index).hint("merge"), "key").filter(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= cfg.radius)
-    pairs = near.drop("print").join(windows.hint("merge"), "id")
-    found = _verified(pairs, index.masks, context.broadcast(word_weights(items, cfg)), cfg)
+    near = _near(hits, _keyed(windows, index), index.masks, cfg)
+    pairs = near.join(windows.select("id", "item_id", "part", "size", "start", "passage").hint("merge"), "id")
+    found = _verified(pairs, context.broadcast(word_weights(items, cfg)), cfg)
     each = found.groupBy("doc_id", "reading", "item_id", "part").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.max("similarity").alias("similarity"))
     return each.groupBy("doc_id", "item_id").agg(F.max(F.size("starts")).alias("windows"), F.max(covered(F.col("starts"), cfg.window)).alias("shared_words"), F.round(F.max("similarity"), 6).alias("similarity"))
 

@@ -250,36 +250,6 @@ def contexts(tokens: list[str], vectors: np.ndarray, hashes: WordHashes) -> np.n
     return around
 
 
-def context_means(pages: DataFrame, wanted: DataFrame, vectors, cfg: ScanConfig) -> DataFrame:
-    """(word, n, vec): sums of the contexts of the wanted words (and few others), over all scanned pages.
-
-    The empty word stands for all words together, and gives the context that is usual for any.
-    """
-    sent = pages.sparkSession.sparkContext.broadcast(bitmaps.of_keys(wanted.select(F.xxhash64("word").alias("key"))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, watched = WordHashes(), Watched(sent.value)
-        for batch in batches:
-            tokens: list[str] = []
-            for text in batch.text:
-                tokens += ["\n", "\n", *words_of(text)]
-            tokens += ["\n", "\n"]
-            around = contexts(tokens, vectors.value, hashes)
-            word = np.array([w != "\n" for w in tokens])
-            yield pd.DataFrame({"word": [""], "n": [int(word.sum())], "vec": [around[word].sum(axis=0)]})
-            at = np.array([n for n, w in enumerate(tokens) if w != "\n" and watched[w]], np.int64)
-            if not len(at):
-                continue
-            number: dict[str, int] = {}
-            owner = np.array([number.setdefault(tokens[n], len(number)) for n in at])
-            order = np.argsort(owner, kind="stable")
-            sums = np.add.reduceat(around[at][order], np.searchsorted(owner[order], np.arange(len(number))), axis=0)
-            yield pd.DataFrame({"word": list(number), "n": np.bincount(owner), "vec": list(sums)})
-
-    parts = pages.select("text").mapInPandas(run, "word string, n bigint, vec array<float>")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[(F.sum(F.col("vec")[k].cast("double")) / F.sum("n")).cast("float") for k in range(cfg.dim)]).alias("vec"))
-
-
 def alike(rows: DataFrame, a: str, b: str, least: float, usual: np.ndarray) -> DataFrame:
     """The rows of which the vectors a and b, less the usual context, have a cosine of at least `least`."""
     at = [rows.columns.index(a), rows.columns.index(b)]
@@ -302,16 +272,16 @@ class Reader:
     usual: np.ndarray
 
 
-def learn(elements: DataFrame, pages: DataFrame, cfg: ScanConfig) -> Reader:
-    """Links from all word counts, the skip-gram model from all pages, and the links that stand the test of context."""
+def learn(elements: DataFrame, pages: DataFrame, cfg: ScanConfig) -> tuple[Reader, DataFrame]:
+    """Links from all word counts, the skip-gram model from all pages, the links that stand the test of context, and the traces of the pages."""
     links = cut(glyph_links(cut(word_counts(elements)), cfg))
     vectors = pages.sparkSession.sparkContext.broadcast(skip_gram(pages, cfg))
-    wanted = links.select(F.explode(F.array("word", "right")).alias("word")).distinct()
-    means = cut(context_means(pages, wanted, vectors, cfg))
+    traces = cut(page_traces(pages, links, vectors, cfg))
+    means = cut(context_means(traces, cfg))
     first = means.filter("word = ''").select("vec").first()
     usual = np.array(first.vec if first else [0.0] * cfg.dim, np.float32)
     own = links.join(means.select("word", F.col("vec").alias("own")), "word").join(means.select(F.col("word").alias("right"), "vec"), "right")
-    return Reader(cut(alike(own.select("word", "right", "own", "vec"), "own", "vec", cfg.similar, usual).drop("own")), vectors, usual)
+    return Reader(cut(alike(own.select("word", "right", "own", "vec"), "own", "vec", cfg.similar, usual).drop("own")), vectors, usual), traces
 
 
 def page_lines(text: str) -> list[str]:
@@ -362,37 +332,54 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     return own.unionByName(shared).distinct()
 
 
-def page_traces(pages: DataFrame, reader: Reader, cfg: ScanConfig) -> DataFrame:
-    """(id, trace, at, word, around): traces of noise in one page; for words to look up among the links
-    `at` counts the words of the page and `around` is the context there."""
-    sent = pages.sparkSession.sparkContext.broadcast(bitmaps.of_keys(reader.links.select(F.xxhash64("word").alias("key"))))
-    vectors = reader.vectors
+def page_traces(pages: DataFrame, links: DataFrame, vectors, cfg: ScanConfig) -> DataFrame:
+    """(id, trace, at, word, around, n): traces of noise in one page, and contexts.
+
+    A row of a linked word has its number `at` among the words of the page, and the context there. Rows without
+    an id are sums of n contexts: of the words that links lead to, and of all words, under the empty word.
+    """
+    context = pages.sparkSession.sparkContext
+    misread, right = (context.broadcast(bitmaps.of_keys(links.select(F.xxhash64(c).alias("key")))) for c in ("word", "right"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, watched = WordHashes(), Watched(sent.value)
+        hashes, linked, aimed = WordHashes(), Watched(misread.value), Watched(right.value)
         for batch in batches:
             rows = []
             tokens: list[str] = []
             places: list[tuple] = []
             for key, page, text in zip(batch.id, batch.page, batch.text):
                 if BROKEN.search(text):
-                    rows.append((key, "hyphen", None, None, None))
+                    rows.append((key, "hyphen", None, None, None, 0))
                 if page_number_lines(text, None if pd.isna(page) else int(page)):
-                    rows.append((key, "page number", None, None, None))
+                    rows.append((key, "page number", None, None, None, 0))
                 own = PIECE.findall(BROKEN.sub(r"\1", text))
-                low = [w.lower() for w in own]
                 if any(shows_itself(w, cfg) for w in set(own)):
-                    rows.append((key, "misread", None, None, None))
+                    rows.append((key, "misread", None, None, None, 0))
+                low = [w.lower() for w in own]
                 tokens += ["\n", "\n"]
-                places += [(len(tokens) + n, key, n, w) for n, w in enumerate(low) if watched[w]]
+                places += [(len(tokens) + n, key, n, w) for n, w in enumerate(low) if linked[w]]
                 tokens += low
             tokens += ["\n", "\n"]
-            if places:
-                around = contexts(tokens, vectors.value, hashes)
-                rows += [(key, None, n, word, around[at]) for at, key, n, word in places]
-            yield pd.DataFrame(rows, columns=["id", "trace", "at", "word", "around"]).astype({"at": "Int32"})
+            around = contexts(tokens, vectors.value, hashes)
+            rows += [(key, None, n, word, around[at], 1) for at, key, n, word in places]
+            word = np.array([w != "\n" for w in tokens])
+            rows.append((None, None, None, "", around[word].sum(axis=0), int(word.sum())))
+            at = np.array([n for n, w in enumerate(tokens) if w != "\n" and aimed[w] and not linked[w]], np.int64)
+            if len(at):
+                number: dict[str, int] = {}
+                owner = np.array([number.setdefault(tokens[n], len(number)) for n in at])
+                order = np.argsort(owner, kind="stable")
+                sums = np.add.reduceat(around[at][order], np.searchsorted(owner[order], np.arange(len(number))), axis=0)
+                rows += [(None, None, None, w, total, n) for w, total, n in zip(number, sums, np.bincount(owner).tolist())]
+            yield pd.DataFrame(rows, columns=["id", "trace", "at", "word", "around", "n"]).astype({"at": "Int32"})
+
+    return pages.select("id", "page", "text").mapInPandas(run, "id string, trace string, at int, word string, around array<float>, n bigint")
+
 
-    return pages.select("id", "page", "text").mapInPandas(run, "id string, trace string, at int, word string, around array<float>")
+def context_means(traces: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """(word, vec): the mean context of linked words, of those that links lead to, and of all words (the empty word)."""
+    each = [(F.sum(F.col("around")[k].cast("double")) / F.sum("n")).cast("float") for k in range(cfg.dim)]
+    return traces.filter("word is not null").groupBy("word").agg(F.array(*each).alias("vec"))
 
 
 def shows_itself(word: str, cfg: ScanConfig) -> bool:
@@ -402,7 +389,7 @@ def shows_itself(word: str, cfg: ScanConfig) -> bool:
 
 def corrected(traces: DataFrame, reader: Reader, cfg: ScanConfig) -> DataFrame:
     """(id, at, right): the occurrences of linked words whose own context is like that of the right word."""
-    found = traces.filter("word is not null").select("id", "at", "word", "around").join(reader.links, "word").select("id", "at", "right", "around", "vec")
+    found = traces.filter("at is not null").select("id", "at", "word", "around").join(reader.links, "word").select("id", "at", "right", "around", "vec")
     return alike(found, "around", "vec", cfg.here, reader.usual).select("id", "at", "right")
 
 
@@ -418,8 +405,7 @@ def noisy_pages(elements: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFram
     """
     source = spread(elements.select(*SOURCE))
     pages = cut(scan_pages(source))
-    reader = learn(source, pages, cfg)
-    traces = cut(page_traces(pages, reader, cfg))
+    reader, traces = learn(source, pages, cfg)
     sure = traces.filter("trace is not null").select("id", "trace")
     read = corrected(traces, reader, cfg).select("id", F.lit("misread").alias("trace"))
     lines = furniture(pages, cfg).select("id", F.lit("furniture").alias("trace"))
@@ -475,9 +461,9 @@ def repaired_paragraphs(elements: DataFrame, cfg: ScanConfig = ScanConfig()) ->
     """
     source = spread(elements.select(*SOURCE))
     pages = cut(scan_pages(source))
-    reader = learn(source, pages, cfg)
+    reader, _ = learn(source, pages, cfg)
     bodies = cut(page_bodies(pages, cfg))
-    fixes = corrected(page_traces(bodies, reader, cfg), reader, cfg).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "right"))).alias("fixes"))
+    fixes = corrected(page_traces(bodies, reader.links, reader.vectors, cfg), reader, cfg).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "right"))).alias("fixes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

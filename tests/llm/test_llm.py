@@ -359,7 +359,7 @@ def test_fingerprints_are_majorities():
 def test_edited_passages_within_the_radius_are_found_and_verified(spark):
     rng = random.Random(13)
     vocabulary = [f"слово{n}" for n in range(400)]
-    cfg = leaked_passages.LeakConfig(threshold=0.7)
+    cfg = leaked_passages.LeakConfig(radius=3, threshold=0.7)
     items, docs = {}, {}
     for n in range(300):
         own = [rng.choice(vocabulary) for _ in range(13)]
