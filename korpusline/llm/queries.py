@@ -92,11 +92,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: The words of a text as TESTDATA.md has them.
+WORDS = "regexp_extract_all(replace(lower({x}), 'ё', 'е'), '[\\p{{L}}\\p{{N}}]+', 0)"
+
+
+def _runs(table: str, key: str, size: int) -> str:
+    """Distinct (key, run) of successive words."""
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {size - 1}], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {size - 2})) AS i FROM (SELECT {key}, {WORDS.format(x='text')} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= {size})"
+
+
+def _cosines(field: str) -> str:
+    """The pairs of rows with the cosine that p4_found asks for, compared one by one."""
+    return f"""SELECT DISTINCT '{field}' AS field, least(a, b) AS row_a, greatest(a, b) AS row_b FROM (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS k FROM (
+        SELECT x.row_no AS a, y.row_no AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM v x, v y WHERE x.row_no <> y.row_no)) WHERE k <= 5 AND cosine >= 0.9"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that plain SQL computes on whole tables in reasonable time."""
+    vectors = "v AS MATERIALIZED (SELECT DISTINCT row_no, {f}_vec::DOUBLE[] AS v FROM doc_fields_npz WHERE {f}_vec IS NOT NULL AND list_sum(list_transform({f}_vec, lambda x: abs(x))) > 0)"
     return {
         "p1_found": """
             SELECT DISTINCT 'chunk' AS item_kind, id AS item_id FROM chunks WHERE greatest(1, length(text) // 4) > 512
             UNION ALL
             SELECT DISTINCT 'element', id FROM elements WHERE greatest(1, length(text) // 4) > 512""",
+        "p3_found": f"""
+            WITH runs AS MATERIALIZED ({_runs('chunks', 'id', 3)}), size AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+            common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM runs a JOIN runs b USING (run) WHERE a.id < b.id GROUP BY ALL)
+            SELECT id_a, id_b FROM common c JOIN size a ON a.id = id_a JOIN size b ON b.id = id_b WHERE c.n >= 0.7::DOUBLE * (a.n + b.n - c.n)""",
+        "p4_found": f"SELECT * FROM (WITH {vectors.format(f='heading')} {_cosines('heading')}) UNION ALL SELECT * FROM (WITH {vectors.format(f='path')} {_cosines('path')})",
+        "p7_found": f"""
+            WITH i AS MATERIALIZED ({_runs('eval_items', 'item_id', 13)}), d AS ({_runs('documents', 'doc_id', 13)})
+            SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",
     }
