@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from korpusline.config import ChunkConfig, ContextConfig, GraphConfig, RerankConfig, SearchConfig
 from korpusline.functions import vectors as vc
-from korpusline.functions.session import written
+from korpusline.functions.session import cut, written
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import files
 
@@ -51,7 +51,7 @@ class Engine:
         after the cut (results of the graph alone have the category `graph`).
         """
         cfg = self.config
-        found = search.search_raw(queries, indexed, cfg.semantic_top_k, cfg.oversample)
+        found = cut(search.search_raw(queries, indexed, cfg.semantic_top_k, cfg.oversample))  # for the scores, and again for the hits
         dense = found.groupBy("query_id", "doc_key").agg(F.max("score").alias("dense"))
         scored = ranking.fuse(dense, queries, doc_fields, fields.lexicon(doc_fields), cfg).join(doc_fields.select("doc_key", "category", "heading_text"), "doc_key", "left")
         bonus: Column = F.lit(0.0)
@@ -67,6 +67,7 @@ class Engine:
             best = best.filter(category.isin(*wanted))
         if not use_reranker:
             return best
+        best = cut(best)
         hits = found.drop("rank").join(best.select("query_id", "doc_key"), ["query_id", "doc_key"]).join(queries.select("query_id", "query"), "query_id")
         return rerank.rerank(hits, top_k or cfg.top_k_docs, cfg.max_chunks_per_doc)
 

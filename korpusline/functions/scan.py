@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with the rows of a key next to each other in one partition, in order: for passes that carry a small state from row to row and hold no group in memory."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def order_block(order: Column, tie: Column, block: int = BLOCK) -> Column:
     """The block of an order number. Rows without a number come first; many of them are spread by their tie-break."""
     return F.when(order.isNull(), F.pmod(F.xxhash64(tie), F.lit(256)) - 256).otherwise(F.floor(order / block))

@@ -74,8 +74,8 @@ def top_k(queries: DataFrame, indexed: DataFrame, k: int, id_column: str = "id",
         blocks = {side: rows.count() // BLOCK_ROWS + 1 for side, rows in (("q", asked), ("s", stored))}
 
         def blocked(rows: DataFrame, key: str, side: str, other: str) -> DataFrame:
-            own = F.pmod(F.xxhash64(key), F.lit(blocks[side])).alias(side)
-            return rows.select(own, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1))).cast("bigint").alias(other), *rows.columns)
+            own = F.pmod(F.xxhash64(key), F.lit(blocks[side]).cast("bigint")).alias(side)
+            return rows.select(own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks[other] - 1).cast("bigint"))).alias(other), *rows.columns)
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             a, b = left.combine_chunks(), right.combine_chunks()

@@ -4,12 +4,13 @@ import io
 import random
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from korpusline import schema
 from korpusline.api import Engine
-from korpusline.config import ContextConfig
-from korpusline.functions import scan
+from korpusline.config import ChunkConfig, ContextConfig
+from korpusline.functions import scan, vectors
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import charset, files, markup, office, sinks
 from korpusline.streaming import ingest
@@ -89,7 +90,7 @@ def test_bm25_gate_and_merge(spark):
     scores = {r.doc_key: r.bm25 for r in ranking.bm25(asked, docs).collect()}
     assert max(scores, key=scores.get) == "d0"
     lexicon = docs.select(F.explode(F.array_distinct("nav_tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    gates = {(r.query_id, r.doc_key): r.gate for r in ranking.idf_gate(asked, docs, lexicon).collect()}
+    gates = {(r.query_id, r.doc_key): r.gate for r in ranking.idf_gate(asked, docs, lexicon, asked.crossJoin(docs)).collect()}
     assert gates[1, "d0"] == 1.0 and gates[1, "d1"] == 0.7 and gates[1, "пусто"] == 0.7 and gates[2, "d1"] == 1.0
     scored = spark.createDataFrame([(1, "К::акт", 1.0)], "query_id int, doc_key string, score double")
     found = spark.createDataFrame([(1, "n1", "акт", 0.5, "т"), (1, "n2", "прочее", 0.4, "т"), (1, "n3", "пустое", 0.4, " ")], "query_id int, node_id string, name string, graph_score double, content string")
@@ -97,6 +98,120 @@ def test_bm25_gate_and_merge(spark):
     assert merged == {"К::акт": (1.15, "text"), "n2": (0.12, "graph")}
 
 
+def sequential_chunks(rows, cfg):
+    """What chunks are, row after row: (texts, paths) of one document."""
+    done, held, size = [], [], 0
+
+    def end():
+        nonlocal held, size
+        sentences = [s for piece in held for s in piece[0]]
+        cuts = [False] * len(sentences)
+        if len(sentences) > 2:
+            v = vectors.encode_batch(sentences)
+            near = (v[1:] * v[:-1]).sum(axis=1)
+            cuts = [False, *(near <= np.quantile(near, 0.25))]
+        before = []
+        for a, b in chunking.pack([max(1, len(s) // 4) for s in sentences], cuts, cfg.max_tokens):
+            lead = before[-1:]
+            if lead and len("\n".join(lead + sentences[a:b])) // 4 > cfg.max_tokens:
+                lead = []
+            before = sentences[a:b]
+            text = "\n".join(lead + before)
+            if done and len(text) // 4 < cfg.min_tokens and len(done[-1] + "\n" + text) // 4 <= cfg.max_tokens:
+                done[-1] += "\n" + text
+            else:
+                done.append(text)
+        held, size = [], 0
+
+    for kind, text, sentences in rows:
+        tokens = max(1, len(text) // 4)
+        if kind == "heading" or kind == "table" or size and size + tokens > cfg.target_tokens:
+            end()
+        if kind != "heading":
+            held.append((sentences,))
+            size += tokens
+        if kind == "table":
+            end()
+    end()
+    return done
+
+
+def test_chunks_equal_a_row_by_row_pass(spark):
+    rng = random.Random(4)
+    cfg = ChunkConfig(target_tokens=60, max_tokens=80, min_tokens=12)
+    rows, want = [], {}
+    for doc in range(12):
+        own = []
+        for n in range(rng.choice([3, 40, 120])):
+            kind = rng.choices(["text", "heading", "table"], [8, 1, 1])[0]
+            said = [f"{rng.choice(['Бетон', 'Песок', 'Щебень'])} {'сорт ' * rng.randrange(1, 9)}{rng.randrange(99)}." for _ in range(rng.randrange(1, 5))]
+            text = f"{rng.randrange(1, 9)}. Раздел" if kind == "heading" else " ".join(said)
+            own.append((kind, text, said))
+            rows.append({"id": f"{doc}-{n:04}", "doc_id": f"d{doc}", "category": None, "page": 1 + n // 7, "elem_order": n, "element_type": "table" if kind == "table" else "paragraph", "text": text, "headings_path": None})
+        # a table carries its heading path in a first line, which is a sentence of its own
+        path = None
+        for k, (kind, text, said) in enumerate(own):
+            if kind == "heading":
+                path = text
+            elif kind == "table" and path:
+                own[k] = (kind, path + "\n" + text, [*([path] if not path[1] == "." else [path[:2], path[3:]]), *said])
+        want[f"UNK::d{doc}"] = sequential_chunks(own, cfg)
+    got = {}
+    for r in chunking.build_chunks(elements(spark, *rows), cfg).orderBy("doc_key", "chunk_index").collect():
+        got.setdefault(r.doc_key, []).append(r.text)
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_products_of_blocks_equal_those_of_broadcast_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(n, [float(x) for x in rng.integers(-3, 4, 6)]) for n in range(300)], "id bigint, vec array<double>")
+    asked = rows.filter("id < 40").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    few = sorted(tuple(r) for r in search.top_k(asked, rows, 7).collect())
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 64)
+    assert sorted(tuple(r) for r in search.top_k(asked, rows, 7).collect()) == few and len(few) == 40 * 7
+    assert search.top_k(asked.filter("false"), rows, 7).count() == 0
+
+
+def test_quoted_csv(spark):
+    text = 'имя;число\n"бо;лт";"5\n6"\n\n"г""айка";7\nодин\n'
+    got = files.csv_rows(spark.createDataFrame([("a", text), ("b", ""), ("c", None)], "path string, text string")).collect()
+    assert [(r.n, r.text) for r in got] == [(0, "имя: бо;лт; число: 5\n6"), (1, 'имя: г"айка; число: 7'), (2, "один")]
+
+
+def test_entity_match_and_graph_filters(spark):
+    node = spark.createDataFrame([("a", "document", 0.5, "x/1", "2024-01-05"), ("b", "document", 0.5, "y/1", "2024-03-01"), ("c", "section", 0.5, None, None)], "id string, type string, importance double, path string, date string").withColumn("date", F.col("date").cast("date"))
+    index = spark.createDataFrame([("object_attributes", "ГОСТ 1", "a"), ("actors", "ООО Ток", "a"), ("identifiers", "№ 5", "a"), ("domain", "HR", "b"), ("identifiers", "№ 5", "b")], "kind string, value string, id string")
+    asked = spark.createDataFrame([(1, "ГОСТ 1 и ГОСТ 2, № 5, кадры")], "query_id int, query string")
+    got = {r.id: r.match for r in graph_search.entity_match(asked, index).collect()}
+    # a: attributes and identifiers in both, half of the attributes; b: domain and identifiers, both in full
+    assert got == {"a": round((0.2 + 0.3) * 1.5 / 2, 9), "b": 0.6}
+    assert [r.id for r in graph_search.filtered(node, dates=("2024-01-01", "2024-01-31")).collect()] == ["a"]
+    assert [r.id for r in graph_search.filtered(node, doc_type="document", path_prefix="y").collect()] == ["b"]
+
+
+def test_universal_search_switches(spark):
+    engine = Engine(spark)
+    rows = elements(spark, *({"id": f"e{n}", "doc_id": f"d{n % 3}", "category": "Логистика" if n % 2 else "HR", "elem_order": n, "text": f"Текст номер {n} о бетоне и поставке."} for n in range(12)))
+    index = engine.index(engine.chunk(rows))
+    fields_ = engine.doc_fields(rows)
+    asked = spark.createDataFrame([(1, "поставка бетона")], "query_id int, query string")
+    near = spark.createDataFrame([(1, "section::9", "нет такого", 0.9, "текст")], "query_id int, node_id string, name string, graph_score double, content string")
+    both = engine.search_universal(asked, index, fields_, graph_results=near, categories="graph, HR").collect()
+    assert any(r.origin == "graph" for r in both) and all(r.origin == "graph" or r.doc_key.startswith("HR::") for r in both)
+    assert all(r.origin == "text" for r in engine.search_universal(asked, index, fields_, use_graph=False, graph_results=near).collect())
+    assert engine.search_universal(asked, index, fields_, use_reranker=True).count() > 0
+
+
+def test_graph_is_saved_and_read(spark, tmp_path):
+    rows = elements(spark, {"id": "a", "category": "А", "text": "1. Общие", "headings_path": ["1. Общие"]})
+    g = Engine(spark).build_graph(rows)
+    g.save(str(tmp_path / "g"))
+    again = type(g).load(spark, str(tmp_path / "g"))
+    assert again.nodes.count() == g.nodes.count() and again.edges.count() == g.edges.count()
+    assert again.get_document_hierarchy(again.nodes.filter("type = 'folder'").select("id")).agg(F.max("depth")).first()[0] == 3
+
+
 def test_rerank_and_context(spark):
     rows = [(1, "бетон", f"К::d{n % 3}", f"c{n}", "К", "p", n, f"бетон номер {n}. Ещё.", ["1. А"] if n % 2 else None, n, n, n / 10) for n in range(9)]
     hits = spark.createDataFrame(rows, "query_id int, query string, doc_key string, id string, category string, doc_path string, chunk_index int, text string, heading_path array<string>, page_from int, page_to int, score double")
@@ -118,12 +233,19 @@ def test_coherence_of_page_gaps(spark):
 def test_entities(spark):
     asked = spark.createDataFrame([(1, "Договор № 15/7 на цемент ГОСТ 31108-2016, 3000 тонн до 15 марта 2024 с ООО «Ромашка» FCA"), (2, None)], "query_id int, query string")
     got = {r.query_id: r for r in entities.extract(asked).collect()}
-    assert got[1].domain == "legal" and got[1].object_attributes == ["ГОСТ 31108-2016"] and got[1].raw_dates == ["до 15 марта 2024"]
+    assert got[1].domain == "Юристы" and got[1].object_attributes == ["ГОСТ 31108-2016"] and got[1].raw_dates == ["до 15 марта 2024"]
+    assert got[1].identifiers == ["№ 15/7"] and got[1].constraints == ["Инкотермс: FCA"] and got[1].location is None
+    assert got[1].confidences == {"domain": 0.9, "quantity": 0.95, "actors": 0.7}
     assert (got[1].quantity.value, got[1].quantity.unit) == (3000.0, "тонн") and got[1].incoterms == ["FCA"] and got[1].actors == ["ООО «Ромашка»"]
     assert got[2].domain is None and got[2].object_attributes == []
     names = spark.createDataFrame([("Отрадная",)], "entry string")
     q = spark.createDataFrame([(1, "станция Отрадная"), (2, "Отрадная, станция")], "query_id int, query string")
     assert {r.query_id: r.place for r in entities.stations(q, names).collect()} == {1: "destination", 2: "origin"}
+    found = {r.query_id: r.location for r in entities.extract(q, names).collect()}
+    assert found[1].destination == "Отрадная" and found[1].origin is None and found[2].origin == "Отрадная"
+    more = spark.createDataFrame([(1, "HR", ["ТУ 1"], None), (2, "иное", None, ["ООО Ток"])], "query_id int, domain string, object_attributes array<string>, actors array<string>")
+    merged = {r.query_id: r for r in entities.merge_model(entities.extract(asked), more).collect()}
+    assert merged[1].domain == "HR" and merged[1].object_attributes == ["ГОСТ 31108-2016", "ТУ 1"] and merged[2].domain is None and merged[2].actors == ["ООО Ток"]
 
 
 def test_graph(spark):
