@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from korpusline.functions import text as tx
 from korpusline.functions.session import cut
 from korpusline.operators import entities as en
 from korpusline.operators import graph as gr
+from korpusline.operators.search import BROADCAST_QUERIES
 
 # Weight of each kind of entity in a match.
 KINDS = {"domain": 0.3, "object_attributes": 0.2, "actors": 0.2, "identifiers": 0.3}
@@ -27,13 +32,49 @@ def query_entities(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(pairs).alias("x")).select("query_id", "x.kind", "x.value").distinct()
 
 
-def candidates(queries: DataFrame, node: DataFrame, index: DataFrame, cfg: GraphConfig = GraphConfig()) -> DataFrame:
-    """(query_id, id): nodes that share an entity; all document and section nodes too for queries with fewer than five such."""
+def candidates(queries: DataFrame, index: DataFrame, cfg: GraphConfig = GraphConfig()) -> tuple[DataFrame, DataFrame]:
+    """((query_id, id) of the nodes that share an entity, the query_ids with fewer than cfg.fewest_candidates of them)."""
     found = query_entities(queries).join(index, ["kind", "value"]).select("query_id", "id").distinct()
     enough = found.groupBy("query_id").count().filter(F.col("count") >= cfg.fewest_candidates).select("query_id")
-    few = queries.select("query_id").join(enough, "query_id", "left_anti")
-    rest = few.crossJoin(node.filter(F.col("type").isin("document", "section")).select("id"))
-    return found.unionByName(rest).distinct()
+    return found, queries.select("query_id").join(enough, "query_id", "left_anti")
+
+
+def _words(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("words"))
+
+
+def fallback(queries: DataFrame, info: DataFrame, most: int) -> DataFrame:
+    """(query_id, id): of all nodes those that may be among a query's `most` best by the parts of the score that need no entities.
+
+    info: id, base (the part that does not depend on the query), content. Nodes without content have only
+    that part, so the best of them are the same for every query. Contents meet the queries' words in Arrow
+    batches, and rows as good as the most-th of their batch go on. Beyond BROADCAST_QUERIES queries all pairs do.
+    """
+    bare = info.filter("content is null").orderBy(F.desc("base"), "id").limit(most)
+    same = queries.select("query_id").crossJoin(F.broadcast(bare.select("id")))
+    full = info.filter("content is not null").select("id", "base", F.lower("content").alias("low"))
+    asked = _words(queries).limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) > BROADCAST_QUERIES:
+        return same.unionByName(queries.select("query_id").crossJoin(full.select("id")))
+    known = {w: n for n, w in enumerate(sorted({w for r in asked for w in r.words or ()}))}
+    counts = np.zeros((len(known), len(asked)), np.float32)
+    for n, r in enumerate(asked):
+        for w in r.words or ():
+            counts[known[w], n] += 1 / len(r.words)
+    sent = queries.sparkSession.sparkContext.broadcast((list(known), counts, [r.query_id for r in asked]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, counts, ids = sent.value
+        for batch in batches:
+            if len(batch) and ids:
+                held = np.array([[w in low for w in words] for low in batch.low], np.float32).reshape(len(batch), -1)
+                score = 0.2 * (held @ counts) + batch.base.to_numpy()[:, None]
+                k = max(0, len(batch) - most)
+                row, query = np.nonzero(score >= np.partition(score, k, axis=0)[k] - 1e-5)
+                yield pd.DataFrame({"query_id": [ids[q] for q in query], "id": batch.id.to_numpy()[row]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *info.schema)}
+    return same.unionByName(full.mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}"))
 
 
 def filtered(rows: DataFrame, doc_type: str | None = None, dates: tuple[str, str] | None = None, path_prefix: str | None = None) -> DataFrame:
@@ -80,7 +121,12 @@ def search(queries: DataFrame, node: DataFrame, edge: DataFrame, index: DataFram
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(asked, "query_id").join(info, "id").join(match, ["query_id", "id"], "left").withColumn("graph_score", node_score())
 
-    pairs = filtered(candidates(queries, node, index, cfg).join(node, "id"), **conditions).select("query_id", "id")
+    met, few = candidates(queries, index, cfg)
+    # as many more as entities may have brought, which are scored with them
+    base = (0.2 * F.coalesce("importance", F.lit(0.5)) + 0.1 * F.coalesce("rank", F.lit(0.0))).alias("base")
+    rest = filtered(node.filter(F.col("type").isin("document", "section")), **conditions).select("id").join(info, "id").select("id", base, "content")
+    others = fallback(asked.join(few, "query_id", "left_semi"), cut(rest), max(top, cfg.expand_from) + cfg.fewest_candidates)
+    pairs = filtered(met.join(node, "id"), **conditions).select("query_id", "id").unionByName(others).distinct()
     found = cut(scored(pairs).filter("graph_score > 0").select("query_id", "id", "type", "graph_score", F.lit(0).alias("hops")))
     if expand:
         lead = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("graph_score"), "id"))).filter(F.col("n") <= cfg.expand_from)
