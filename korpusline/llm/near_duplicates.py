@@ -206,7 +206,8 @@ def near_duplicates(rows: DataFrame, cfg: NearConfig = NearConfig()) -> NearDupl
     words than a shingle, have no shingles and take no part. A repeated id counts once. An empty table
     gives empty results.
     """
-    several = r"[\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){%d}" % (cfg.shingle - 1)
+    # possessive, and from the start of a word only: linear in the text, whatever it holds
+    several = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++(?:[^\p{L}\p{N}]++[\p{L}\p{N}]++){%d}" % (cfg.shingle - 1)
     texts = spread(rows.select("id", "text").filter(F.col("text").rlike(several))).select("id", F.xxhash64("text").alias("key"), "text")
     pairs = cut(candidate_pairs(texts, cfg))
     return NearDuplicates(texts.select("id", "key").distinct(), verified(pairs, texts, cfg))

@@ -37,7 +37,8 @@ class SplitConfig:
 SECTION = re.compile(r"\n(?=[ \t]*(?:#{1,6}\s|\d{1,3}(?:\.\d{1,3}){0,3}[.)]?[ \t]+[^\W\d_]|(?:раздел|глава|приложение|section|chapter)\s+\d))", re.I)
 PARAGRAPH = re.compile(r"\n[ \t\r ]*\n\s*")
 ROW = re.compile(r"\r?\n")
-SENTENCE = re.compile(r"[.!?…]+[\"»”')\]]*\s+|;\s+")
+STOPS = ".!?…"
+SENTENCE = re.compile(r"(?<![.!?…])[.!?…]+[\"»”')\]]*\s+|;\s+")
 WORD_END = re.compile(r"\s+")
 LEVELS = (SECTION, PARAGRAPH, ROW, SENTENCE, WORD_END)
 LEVEL_NAMES = ("section", "paragraph", "row", "sentence", "word", "character")
@@ -60,7 +61,8 @@ def overlap_of(text: str, lo: int, hi: int, most: int) -> str:
     """What a piece repeats of text[lo:hi]: its last sentence, or the last words of a longer one, with the blanks after it as far as there is room."""
     body = text[lo:hi].rstrip()
     floor = max(0, len(body) - most + 1)
-    starts = [m.end() for level in (ROW, SENTENCE) for m in level.finditer(body, floor) if m.end() < len(body)]
+    run = len(body[:floor].rstrip(STOPS))  # a run of stops across the floor is read from its start
+    starts = [m.end() for level in (ROW, SENTENCE) for m in level.finditer(body, run) if m.end() < len(body)]
     if starts:
         start = max(starts)
     elif floor:
