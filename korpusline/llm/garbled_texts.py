@@ -364,7 +364,8 @@ def token_counts(elements: DataFrame, cfg: GarbleConfig) -> DataFrame:
                 counts[source].update(tokens_of(text))
             if sum(map(len, counts.values())) > 1_000_000:
                 yield flush()
-        yield flush()
+        if any(counts.values()):
+            yield flush()
 
     rows = elements.filter(F.length("text") > 0).select(source_name(cfg).alias("source"), "text")
     return rows.mapInPandas(run, "source string, token string, n bigint").groupBy("source", "token").agg(F.sum("n").alias("n"))

@@ -143,7 +143,8 @@ def word_counts(elements: DataFrame) -> DataFrame:
                     scanned.update(own)
             if len(everywhere) > 1_000_000:
                 yield flush()
-        yield flush()
+        if everywhere:
+            yield flush()
 
     counted = elements.filter(F.length("text") > 0).select("text", is_scan().alias("scan")).mapInPandas(run, "word string, n bigint, scans bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("scans").alias("scans"))

@@ -50,14 +50,14 @@ class CutConfig:
 
 
 #: A full stop that ends a sentence: before a line end, the end of the text, or a capital letter or digit.
-STOP = re.compile(r"[.!?…]+[\"»”’)\]]*(?=\s*\n|\s*\Z|\s+[\"«“(•\-–—]*\s*[A-ZÄÖÜА-ЯЁЂ-Џ\d])")
+STOP = re.compile(r"(?<![.!?…])[.!?…]+[\"»”’)\]]*(?=\s*\n|\s*\Z|\s+[\"«“(•\-–—]*\s*[A-ZÄÖÜА-ЯЁЂ-Џ\d])")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|\n|_+")
 #: What a cut may leave behind, and what does not count at an end.
 BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(r"\s", c)) + "​‌‍⁠﻿"
 DOTS = ".…�"
 REMAINS = re.compile(r"(?:\.{2,}|…|�)[\s.…�]*\Z")
 ENDED = re.compile(r"[.!?][\"»”’)\]]*\Z")
-LAST_WORD = re.compile(r"[^\W\d_]+\Z")
+LAST_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]+\Z")
 
 
 def masked(token: str) -> str:
@@ -162,7 +162,8 @@ def corpus_counts(documents: DataFrame, cfg: CutConfig) -> DataFrame:
                     start = end + 1
             if len(words) + len(triples) > cfg.keys:
                 yield flush()
-        yield flush()
+        if words or triples or shapes:
+            yield flush()
 
     counted = documents.filter("length(text) > 0").select("text").mapInPandas(run, "key string, total bigint, ends bigint, dots bigint")
     return counted.groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"), F.sum("dots").alias("dots"))
