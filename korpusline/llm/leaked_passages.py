@@ -134,7 +134,7 @@ def window_starts(length: int, cfg: LeakConfig) -> Iterator[tuple[int, int]]:
 
 
 def _item_windows(items: DataFrame, cfg: LeakConfig) -> DataFrame:
-    """(id, item_id, part, size, start, print, passage): part numbers the readings of an item's texts, id is a hash of these."""
+    """(id, item_id, part, size, starts, print, passage): part numbers the readings of an item's texts; a passage that an item repeats is one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -143,13 +143,16 @@ def _item_windows(items: DataFrame, cfg: LeakConfig) -> DataFrame:
             for item, part, text in zip(batch.item_id, batch.part, batch.text):
                 for n, own in enumerate(readings(text)):
                     prints = simhashes(hashes.of(own), (cfg.window, *cfg.sizes))
-                    rows += [(item, f"{part}:{n}", size, start, prints[size][start].view(np.int64), " ".join(own[start : start + size])) for size, start in window_starts(len(own), cfg)]
-            yield pd.DataFrame(rows, columns=["item_id", "part", "size", "start", "print", "passage"])
+                    places: dict[tuple[int, str], list[int]] = {}
+                    for size, start in window_starts(len(own), cfg):
+                        places.setdefault((size, " ".join(own[start : start + size])), []).append(start)
+                    rows += [(item, f"{part}:{n}", size, starts, prints[size][starts[0]].view(np.int64), passage) for (size, passage), starts in places.items()]
+            yield pd.DataFrame(rows, columns=["item_id", "part", "size", "starts", "print", "passage"])
 
     kind = items.schema["item_id"].dataType.simpleString()
     texts = items.select("item_id", F.xxhash64("text").alias("part"), "text").filter("text is not null").distinct()
-    found = spread(texts).mapInPandas(run, f"item_id {kind}, part string, size int, start int, print bigint, passage string")
-    return found.withColumn("id", F.xxhash64("item_id", "part", "size", "start"))
+    found = spread(texts).mapInPandas(run, f"item_id {kind}, part string, size int, starts array<int>, print bigint, passage string")
+    return found.withColumn("id", F.xxhash64("item_id", "part", "size", "starts"))
 
 
 def word_slot(word: str, slots: int, hashes: WordHashes) -> int:
@@ -234,22 +237,22 @@ def _keyed(windows: DataFrame, index: Index) -> DataFrame:
 
 
 def _document_windows(documents: DataFrame, sent, cfg: LeakConfig) -> DataFrame:
-    """(doc_id, reading, at, tab, own, said, key): the document windows that pass the bitmap, with their words."""
+    """(doc_id, reading, tab, own, said, key): the document windows that pass the bitmap, with their words; those that repeat nearby once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, hashes = sent.value, WordHashes()
 
         def found(docs: list, numbers: list[int], tokens: list[str], lengths: list[int]) -> pd.DataFrame:
             ends = np.cumsum(lengths)
-            rows = []
+            rows: dict[tuple, None] = {}
             for size, prints in simhashes(hashes.of(tokens), index.sizes).items():
                 for table in range(len(index.masks)):
                     at = index.passing(prints, size, table)
                     doc = np.searchsorted(ends, at, "right")
                     inside = at + size <= ends[doc] if len(at) else np.zeros(0, bool)
                     keys = index.keys(prints[at], size, table)
-                    rows += [(docs[d], numbers[d], int(a - ends[d] + lengths[d]), table, prints[a].view(np.int64), " ".join(tokens[a : a + size]), k) for a, d, k in zip(at[inside], doc[inside], keys[inside])]
-            return pd.DataFrame(rows, columns=["doc_id", "reading", "at", "tab", "own", "said", "key"])
+                    rows.update(((docs[d], numbers[d], table, int(prints[a].view(np.int64)), " ".join(tokens[a : a + size]), int(k)), None) for a, d, k in zip(at[inside], doc[inside], keys[inside]))
+            return pd.DataFrame(list(rows), columns=["doc_id", "reading", "tab", "own", "said", "key"])
 
         for batch in batches:
             docs, numbers, tokens, lengths = [], [], [], []
@@ -267,7 +270,7 @@ def _document_windows(documents: DataFrame, sent, cfg: LeakConfig) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = spread(documents.select("doc_id", "text").filter("text is not null"))
-    return rows.mapInPandas(run, f"doc_id {kind}, reading int, at int, tab int, own bigint, said string, key bigint")
+    return rows.mapInPandas(run, f"doc_id {kind}, reading int, tab int, own bigint, said string, key bigint")
 
 
 def _near(hits: DataFrame, items: DataFrame, masks: np.ndarray, cfg: LeakConfig) -> DataFrame:
@@ -280,19 +283,19 @@ def _near(hits: DataFrame, items: DataFrame, masks: np.ndarray, cfg: LeakConfig)
 
 
 def _verified(pairs: DataFrame, sent, cfg: LeakConfig) -> DataFrame:
-    """(doc_id, reading, item_id, part, start, similarity): window pairs that are similar; start is null where the passage is not word for word one that counts."""
+    """(doc_id, reading, item_id, part, starts, similarity): window pairs that are similar; starts is null where the passage is not word for word one that counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         similarity = Similarity(sent.value, cfg)
         for batch in batches:
             value = np.array([similarity.of(a, b) for a, b in zip(batch.said, batch.passage)])
             same = (batch.said == batch.passage).to_numpy() & (batch["size"] == cfg.window).to_numpy()
-            out = batch[["doc_id", "reading", "item_id", "part"]].assign(start=batch.start.where(same).astype("Int32"), similarity=value)
+            out = batch[["doc_id", "reading", "item_id", "part"]].assign(starts=batch.starts.where(same, None), similarity=value)
             yield out[value >= cfg.threshold]
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    names = ["doc_id", "reading", "said", "item_id", "part", "size", "start", "passage"]
-    return pairs.select(names).mapInPandas(run, f"doc_id {kinds['doc_id']}, reading int, item_id {kinds['item_id']}, part string, start int, similarity double")
+    names = ["doc_id", "reading", "said", "item_id", "part", "size", "starts", "passage"]
+    return pairs.select(names).mapInPandas(run, f"doc_id {kinds['doc_id']}, reading int, item_id {kinds['item_id']}, part string, starts array<int>, similarity double")
 
 
 def covered(starts: Column, window: int) -> Column:
@@ -316,9 +319,9 @@ def similar_passages(documents: DataFrame, items: DataFrame, cfg: LeakConfig = L
     index = _index(windows, cfg)
     hits = _document_windows(documents, context.broadcast(index), cfg)
     near = _near(hits, _keyed(windows, index), index.masks, cfg)
-    pairs = near.join(windows.select("id", "item_id", "part", "size", "start", "passage").hint("merge"), "id")
+    pairs = near.join(windows.select("id", "item_id", "part", "size", "starts", "passage").hint("merge"), "id")
     found = _verified(pairs, context.broadcast(word_weights(items, cfg)), cfg)
-    each = found.groupBy("doc_id", "reading", "item_id", "part").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.max("similarity").alias("similarity"))
+    each = found.groupBy("doc_id", "reading", "item_id", "part").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("starts"), F.max("similarity").alias("similarity"))
     return each.groupBy("doc_id", "item_id").agg(F.max(F.size("starts")).alias("windows"), F.max(covered(F.col("starts"), cfg.window)).alias("shared_words"), F.round(F.max("similarity"), 6).alias("similarity"))
 
 

@@ -465,3 +465,43 @@ def test_long_chains_are_one_group(spark):
     got = [(r.key, r.root) for r in near_duplicates.components(df).collect()]
     want = [(k, min(chain)) for k in chain] + [(k, min(pair)) for pair in zip(rest[::2], rest[1::2]) for k in pair]
     assert sorted(got) == sorted(want)
+
+
+def test_tables_of_empty_files(spark, tmp_path):
+    """A task with no batch at all: empty files, and splits of a file that hold no row group."""
+    at = str(tmp_path / "documents")
+    spark.createDataFrame([], "doc_id bigint, text string, source string").write.parquet(at)
+    documents = spark.read.parquet(at)
+    assert truncated_texts.truncated_texts(documents).count() == 0 and truncated_texts.truncation_by_source(documents).count() == 0
+    one = spark.createDataFrame([(1, "Ein Satz.", "a")], "doc_id bigint, text string, source string").repartition(8)
+    assert truncated_texts.truncated_texts(one).count() == 0
+
+
+def test_degenerate_long_texts(spark):
+    """One long run of stops, of one word's letters, of blanks: patterns stay linear in the text."""
+    long = 200_000
+    texts = ["." * long + "а", "а" * long, " " * long, "а" * long + "1", ".»" * long, "аб-\n" * long]
+    for text in texts:
+        own = split_oversized.pieces(text)
+        assert "".join(piece[repeat:] for piece, repeat, _ in own) == text
+    rows = spark.createDataFrame([(n, str(n), t, "a") for n, t in enumerate(texts)], "doc_id bigint, id string, text string, source string")
+    assert truncated_texts.truncated_texts(rows).count() <= len(texts)
+    assert near_duplicates.similar_pairs(rows, near_duplicates.NearConfig(shingle=3, threshold=0.7)).count() == 0
+
+
+def test_a_stop_run_across_the_bound_of_an_overlap_keeps_its_sentence():
+    sentences = "Он ушёл" + "." * 1500 + " Конец был близко. "
+    first, second = split_oversized.pieces(sentences + "слово " * 900)[:2]
+    assert second[0][: second[1]] and first[0].endswith(second[0][: second[1]])
+    assert split_oversized.overlap_of(sentences, 0, len(sentences), 700) == "Конец был близко. "
+    # the bound lies in the run, whose last stop ends the sentence before
+    assert split_oversized.overlap_of("Он ушёл" + "." * 50 + " Конец", 0, 63, 20) == "Конец"
+
+
+def test_repeated_passages_of_an_item_meet_once(spark):
+    """An item and a text that repeat one word: windows are as many as different passages, not the product of their places."""
+    items = spark.createDataFrame([(1, "слово " * 20_000), (2, "Раздел 1\n" * 40)], "item_id bigint, text string")
+    documents = spark.createDataFrame([(1, "слово " * 30_000), (2, "слово " * 12), (3, "Раздел 1\n" * 9)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaked_passages.similar_passages(documents, items).collect()}
+    assert got[1, 1].windows == 20_000 - 12 and got[1, 1].shared_words == 20_000
+    assert got[3, 2].windows == 80 - 12 and (2, 1) not in got
