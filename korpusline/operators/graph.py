@@ -145,10 +145,10 @@ def pagerank(node: DataFrame, edge: DataFrame, cfg: GraphConfig = GraphConfig())
     A node with very many edges is no single task: contributions are added up before the shuffle.
     """
     ids = node.select("id").distinct()
-    n = ids.count()
+    n = max(ids.count(), 1)
     out = edge.groupBy("src").agg(F.sum("weight").alias("out"))
     share = cut(edge.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
-    state = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    state = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")))
     for _ in range(cfg.iterations):
         flow = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         idle = state.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("idle"))  # one row

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from korpusline.functions import text as tx
 from korpusline.functions import vectors as vc
+from korpusline.schema import CHUNKS
 
 #: Rows of queries up to which they are broadcast (64 doubles each, so a few MB at most), and rows of a block beyond it.
 BROADCAST_QUERIES = 5000
@@ -23,8 +24,9 @@ BLOCK_ROWS = 4096
 
 
 def index(chunks: DataFrame) -> DataFrame:
-    """Chunks with doc_key and unit vector `vec`, each id once; the text is kept for contexts."""
-    return chunks.withColumn("doc_key", tx.doc_key()).dropDuplicates(["id"]).withColumn("vec", vc.encode("text"))
+    """Chunks with doc_key and unit vector `vec`, each id once; the text is kept for contexts, columns that chunks don't have are not."""
+    known = [c.split()[0] for c in CHUNKS.split(", ")]
+    return chunks.withColumn("doc_key", tx.doc_key()).select([c for c in chunks.columns if c in known and c != "doc_key"] + ["doc_key"]).dropDuplicates(["id"]).withColumn("vec", vc.encode("text"))
 
 
 def encoded(queries: DataFrame) -> DataFrame:

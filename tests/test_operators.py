@@ -358,3 +358,14 @@ def test_stream_keeps_rows_older_than_the_watermark(spark, tmp_path):
         assert len(list((tmp_path / "rows.parquet").glob("*.parquet"))) == n + 1
     got = ingest.latest_elements(spark, str(tmp_path / "rows.parquet"), 1).collect()
     assert sorted(tuple(r) for r in got) == [(key, "x", "pdf", 4) for key in "abcd"]
+
+
+def test_columns_of_the_same_name_and_empty_tables(spark):
+    """Chunks may bring columns that the search makes itself; a graph without nodes has no ranks."""
+    rows = [(f"c{n}", "К", "d", "p", f"бетон слово{n}", n, n, n, 1, 1, ["1. А"], "x", "y") for n in range(4)]
+    chunks = spark.createDataFrame(rows, "id string, category string, doc_id string, doc_path string, text string, chunk_index int, from_order int, to_order int, page_from int, page_to int, heading_path array<string>, rank string, score string")
+    asked = spark.createDataFrame([(1, "бетон слово3")], "query_id int, query string")
+    index = search.index(chunks)
+    assert search.search_raw(asked, index, 2, 2).count() == 2
+    assert search.search_window(asked, index, 2, 2, 1).count() == 1
+    assert graph.pagerank(spark.createDataFrame([], schema.NODES), spark.createDataFrame([], schema.EDGES)).count() == 0
