@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns that results depend on.
+# Patterns that results depend on. Repeated groups are possessive, as nothing follows them that could
+# need a part of them back: else the JVM's matcher recurses once a repeat, and a long number ends the executor.
 NUMBERED_HEADING = r"(?iu)^\s*(?:(?:раздел|глава|приложение)\s+\d+|\d+(?:\.\d+){0,3})\s*[).]?\s+\S"
 CAPITALS = r"[А-ЯA-Z]{3,}"
 SECTION_WORD = r"(?iu)^\s*(?:раздел|глава|приложение)\s+(\d+)"
-LEADING_NUMBER = r"^\s*(\d+(?:\.\d+)*)"
-REFERENCE = r"(?iu)(?:раздел|глава|пункт)[а-я]*\s+(\d+(?:\.\d+)*)"
+LEADING_NUMBER = r"^\s*(\d+(?:\.\d+)*+)"
+REFERENCE = r"(?iu)(?:раздел|глава|пункт)[а-я]*\s+(\d+(?:\.\d+)*+)"
 NOT_A_TOKEN = r"[^a-zA-Zа-яА-Я0-9]+"
 PATH_SEPARATORS = r"[/_\-.()\\]+"
 SENTENCE_MARK = "\u0001"
