@@ -153,6 +153,19 @@ def _items_of(rows: list, cfg: ChunkConfig) -> list[tuple]:
     return out
 
 
+#: Characters of texts and heading paths that are handed on at once: a long heading comes again with every chunk below it.
+FRAME_CHARS = 1 << 24
+
+
+def _frames(items: list[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    start, chars, text, path = 0, 0, names.index("text"), names.index("path")
+    for n, item in enumerate(items):
+        chars += len(item[text]) + sum(len(h or "") for h in item[path])
+        if chars > FRAME_CHARS or n == len(items) - 1:
+            yield pd.DataFrame(items[start : n + 1], columns=names).astype({"page_from": "Int32", "page_to": "Int32"})
+            start, chars = n + 1, 0
+
+
 def buffer_items(rows: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
     """The chunks of every buffer; rows: those of `buffers` with their sentences."""
     names = [x.split()[0] for x in ITEMS.split(", ")]
@@ -166,8 +179,8 @@ def buffer_items(rows: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame
                     out += _items_of(held, cfg)
                     held = []
                 held.append(r)
-            yield pd.DataFrame(out, columns=names).astype({"page_from": "Int32", "page_to": "Int32"})
-        yield pd.DataFrame(_items_of(held, cfg) if held else [], columns=names).astype({"page_from": "Int32", "page_to": "Int32"})
+            yield from _frames(out, names)
+        yield from _frames(_items_of(held, cfg) if held else [], names)
 
     return in_order(rows, ["doc_key", "buffer"], ["place", "id"]).mapInPandas(run, ITEMS)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from korpusline import schema
 from korpusline.api import Engine
 from korpusline.config import ChunkConfig, ContextConfig
-from korpusline.functions import scan, vectors
+from korpusline.functions import scan, text, vectors
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
 from korpusline.sources import charset, files, markup, office, sinks
 from korpusline.streaming import ingest
@@ -369,3 +369,14 @@ def test_columns_of_the_same_name_and_empty_tables(spark):
     assert search.search_raw(asked, index, 2, 2).count() == 2
     assert search.search_window(asked, index, 2, 2, 1).count() == 1
     assert graph.pagerank(spark.createDataFrame([], schema.NODES), spark.createDataFrame([], schema.EDGES)).count() == 0
+
+
+def test_long_headings_and_long_numbers(spark, monkeypatch):
+    """Chunks below a long heading are handed on in parts; a long number does not overflow the matcher."""
+    number = "1." * 50_000 + "1"
+    rows = elements(spark, {"id": "a", "elem_order": 1, "text": "1 " + "Общие " * 5_000, "headings_path": None}, {"id": "b", "elem_order": 2, "text": "Бетон сухой. " * 3_000}, {"id": "c", "elem_order": 3, "text": number})
+    whole = {r.chunk_index: r.text for r in chunking.build_chunks(rows).collect()}
+    monkeypatch.setattr(chunking, "FRAME_CHARS", 100)
+    assert {r.chunk_index: r.text for r in chunking.build_chunks(rows).collect()} == whole and len(whole) > 10
+    refs = rows.select(text.references("text").alias("r"), text.heading_depth("text").alias("d")).filter("d > 0").first()
+    assert refs.d == 50_000 and refs.r == []
