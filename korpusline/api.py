@@ -53,7 +53,7 @@ class Engine:
         cfg = self.config
         found = cut(search.search_raw(queries, indexed, cfg.semantic_top_k, cfg.oversample))  # for the scores, and again for the hits
         dense = found.groupBy("query_id", "doc_key").agg(F.max("score").alias("dense"))
-        scored = ranking.fuse(dense, queries, doc_fields, fields.lexicon(doc_fields), cfg).join(doc_fields.select("doc_key", "category", "heading_text"), "doc_key", "left")
+        scored = ranking.fuse(dense, queries, doc_fields, fields.lexicon(doc_fields), cfg, keep=("category", "heading_text"))
         bonus: Column = F.lit(0.0)
         if use_entities:
             scored = scored.join(entities.extract(queries).select("query_id", "domain", "object_attributes"), "query_id", "left")

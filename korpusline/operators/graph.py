@@ -7,14 +7,22 @@ elements, written once, may be given to all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusline.config import GraphConfig
 from korpusline.functions import text as tx
-from korpusline.functions.session import cut
+from korpusline.functions.session import cut, written
 from korpusline.operators.fields import keyed
 
+#: Rows (edges between nodes with out-edges, and these nodes) up to which the rounds of PageRank are one task of a few hundred MB.
+CORE_ROWS = 1_000_000
+
 
 def folder_prefixes(category: str | Column) -> Column:
     """(path, name, level, parent) of every prefix of a category path."""
@@ -142,18 +150,68 @@ def relevant_sections(queries: DataFrame, sections: DataFrame, most: int = 5) ->
 def pagerank(node: DataFrame, edge: DataFrame, cfg: GraphConfig = GraphConfig()) -> DataFrame:
     """(id, rank) after cfg.iterations rounds: r' = (1 - d) / N + d * (sum of r * w / out-weight + dangling / N).
 
-    A node with very many edges is no single task: contributions are added up before the shuffle.
+    Only nodes with out-edges pass rank on: the rounds run over these, what the others hold is one number,
+    and the last round gives the rank of all. Up to CORE_ROWS rows the rounds are one task; beyond it each is a join.
+    A node with very many edges is no single task then: contributions are added up before the shuffle.
     """
     ids = node.select("id").distinct()
     n = max(ids.count(), 1)
+    if cfg.iterations < 1:
+        return ids.select("id", F.round(F.lit(1.0 / n), 9).alias("rank"))
     out = edge.groupBy("src").agg(F.sum("weight").alias("out"))
-    share = cut(edge.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
-    state = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")))
-    for _ in range(cfg.iterations):
-        flow = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        idle = state.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("idle"))  # one row
-        state = cut(state.join(flow, "id", "left").crossJoin(F.broadcast(idle)).select("id", "linked", ((1 - cfg.damping) / n + cfg.damping * (F.coalesce("flow", F.lit(0.0)) + F.col("idle") / n)).alias("rank")))
-    return state.select("id", F.round("rank", 9).alias("rank"))
+    linked = out.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    share = written(edge.select("src", "dst", "weight").join(linked, "src").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")), "share")
+    met = share.join(linked.select(F.col("src").alias("dst"), F.lit(True).alias("on")), "dst", "left")
+    # a row per edge between linked nodes, and one per linked node with the share that it gives to the others
+    apart = linked.select("src").join(met.filter("`on` is null").groupBy("src").agg(F.sum("p").alias("p")), "src", "left")
+    core = written(met.filter("`on`").select("src", "dst", "p").unionByName(apart.select("src", F.lit(None).cast("string").alias("dst"), F.coalesce("p", F.lit(0.0)).alias("p"))), "core")
+    nodes_, rows = core.agg(F.count_if(F.col("dst").isNull()), F.count(F.lit(1))).first()
+    state, idle = (_rounds_in_one_task if rows <= CORE_ROWS else _rounds_by_joins)(core, n, n - nodes_, cfg)
+    flow = share.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+    return ids.join(flow, "id", "left").select("id", F.round((1 - cfg.damping) / n + cfg.damping * (F.coalesce("flow", F.lit(0.0)) + idle / n), 9).alias("rank"))
+
+
+def _idle(moved: float, idle: float, n: int, others: int, cfg: GraphConfig) -> float:
+    """What nodes without out-edges hold after one more round, `moved` being what the linked ones give them."""
+    return others * (1 - cfg.damping) / n + cfg.damping * (moved + others * idle / n)
+
+
+def _rounds_in_one_task(core: DataFrame, n: int, others: int, cfg: GraphConfig) -> tuple[DataFrame, float]:
+    """(id, rank) of the linked nodes before the last round, and what the others hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        bare = pc.is_null(rows.column("dst"))
+        own, edges_ = rows.filter(bare), rows.filter(pc.invert(bare))
+        ids, apart = own.column("src").combine_chunks(), own.column("p").to_numpy()
+        src, dst = (pc.index_in(edges_.column(c), ids).to_numpy() for c in ("src", "dst"))
+        p = edges_.column("p").to_numpy()
+        rank, idle = np.full(len(ids), 1.0 / n), others / n
+        for _ in range(cfg.iterations - 1):
+            flow = np.bincount(dst, rank[src] * p, len(ids))
+            rank, idle = (1 - cfg.damping) / n + cfg.damping * (flow + idle / n), _idle(float(rank @ apart), idle, n, others, cfg)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(rank)], ["id", "rank"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], ids.type), pa.array([idle])], ["id", "rank"])
+
+    done = cut(core.repartition(1).mapInArrow(run, f"id {core.schema['src'].dataType.simpleString()}, rank double"))
+    held = done.filter("id is null").first()
+    # without a linked node the others share all
+    return done.filter("id is not null"), held["rank"] if held else others / n
+
+
+def _rounds_by_joins(core: DataFrame, n: int, others: int, cfg: GraphConfig) -> tuple[DataFrame, float]:
+    """As _rounds_in_one_task, a checkpoint each round."""
+    edge, idle = core.filter("dst is not null"), others / n
+    state = cut(core.filter("dst is null").select(F.col("src").alias("id"), F.col("p").alias("apart"), F.lit(1.0 / n).alias("rank")))
+    for _ in range(cfg.iterations - 1):
+        flow = edge.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+        moved = state.agg(F.coalesce(F.sum(F.col("rank") * F.col("apart")), F.lit(0.0))).first()[0]
+        state = cut(state.drop("rank").join(flow, "id", "left").select("id", "apart", ((1 - cfg.damping) / n + cfg.damping * (F.coalesce("flow", F.lit(0.0)) + idle / n)).alias("rank")))
+        idle = _idle(moved, idle, n, others, cfg)
+    return state.select("id", "rank"), idle
 
 
 def node_importance(node: DataFrame, ranks: DataFrame) -> DataFrame:

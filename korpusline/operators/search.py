@@ -126,8 +126,12 @@ def hits_by_document(hits: DataFrame) -> DataFrame:
 
 
 def search_raw(queries: DataFrame, indexed: DataFrame, top: int = 10, oversample: int = 5, **conditions) -> DataFrame:
-    """The surviving hits of an oversampled search: top * oversample nearest, then filters, then the first `top`."""
-    near = top_k(encoded(queries), indexed, top * oversample)
+    """The surviving hits of an oversampled search: top * oversample nearest, then filters, then the first `top`.
+
+    Without a filter all survive, so the first `top` are looked for at once.
+    """
+    narrowed = any(v if k != "min_score" else v is not None for k, v in conditions.items())
+    near = top_k(encoded(queries), indexed, top * (oversample if narrowed else 1))
     full = near.join(indexed.drop("vec"), "id").filter(filters(**conditions))
     return best(full.withColumnRenamed("rank", "rank_before"), top, F.col("rank_before"))
 

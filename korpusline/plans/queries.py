@@ -324,9 +324,13 @@ def idf_gate(spark, d):
     return ranking.idf_gate(asked, docs, fields.lexicon(docs), ranking.bm25(asked, docs)).select("query_id", "doc_key", F.round("gate", 6).alias("gate"))
 
 
-def _dense(spark, d):
-    cfg = SearchConfig()
-    found = search.search_raw(_questions(spark, d), _index(spark, d), cfg.semantic_top_k, cfg.oversample)
+def _found(spark, d):
+    """(the index, the hits of the questions' searches: query_id, id, doc_key, score)."""
+    cfg, indexed = SearchConfig(), _index(spark, d)
+    return indexed, cut(search.search_raw(_questions(spark, d), indexed, cfg.semantic_top_k, cfg.oversample).select("query_id", "id", "doc_key", "score"))
+
+
+def _dense(found):
     return found.groupBy("query_id", "doc_key").agg(F.max("score").alias("dense"))
 
 
@@ -338,38 +342,39 @@ def _field_docs(spark, d):
 @query
 def fusion(spark, d):
     docs = _field_docs(spark, d)
-    return ranking.fuse(_dense(spark, d), _questions(spark, d), docs, fields.lexicon(docs)).select("query_id", "doc_key", "heading_score", "path_score", "category_score", "bm25", "gate", "fused")
+    return ranking.fuse(_dense(_found(spark, d)[1]), _questions(spark, d), docs, fields.lexicon(docs)).select("query_id", "doc_key", "heading_score", "path_score", "category_score", "bm25", "gate", "fused")
 
 
-def _universal(spark, d):
-    """(query_id, doc_key, score, origin): fused documents with entity bonus and graph results."""
-    docs, asked = cut(_field_docs(spark, d)), _questions(spark, d)
-    fused = ranking.fuse(_dense(spark, d), asked, docs, fields.lexicon(docs)).join(docs.select("doc_key", "category", "heading_text"), "doc_key", "left")
-    found = entities.extract(asked, _stations(spark, d)).select("query_id", "domain", "object_attributes")
-    bonus = fused.join(found, "query_id").withColumn("score", F.round(F.col("fused") + SearchConfig().weights.entity * ranking.entity_bonus(F.col("domain"), F.col("object_attributes")), 6))
+def _universal(spark, d, found):
+    """(query_id, doc_key, score, origin): the hits' documents, fused, with entity bonus and graph results."""
+    docs, asked = _field_docs(spark, d), _questions(spark, d)
+    fused = ranking.fuse(_dense(found), asked, docs, fields.lexicon(docs), keep=("category", "heading_text"))
+    named = entities.extract(asked, _stations(spark, d)).select("query_id", "domain", "object_attributes")
+    bonus = fused.join(named, "query_id").withColumn("score", F.round(F.col("fused") + SearchConfig().weights.entity * ranking.entity_bonus(F.col("domain"), F.col("object_attributes")), 6))
+    bonus = cut(bonus.select("query_id", "doc_key", "score"))
     node, near = _graph_hits(spark, d)
-    near = near.join(node.select("id", F.coalesce("doc_key", "id").alias("name")), "id").select("query_id", F.col("id").alias("node_id"), "name", "graph_score", F.col("preview").alias("content"))
-    return ranking.graph_merge(bonus.select("query_id", "doc_key", "score"), near)
+    near = cut(near.join(node.select("id", F.coalesce("doc_key", "id").alias("name")), "id").select("query_id", F.col("id").alias("node_id"), "name", "graph_score", F.col("preview").alias("content")))
+    return ranking.graph_merge(bonus, near)
 
 
 @query
 def universal_search(spark, d):
     """The best five documents per query."""
-    return search.best(_universal(spark, d), SearchConfig().top_k_docs, F.desc("score"), F.col("doc_key"))
+    return search.best(_universal(spark, d, _found(spark, d)[1]), SearchConfig().top_k_docs, F.desc("score"), F.col("doc_key"))
 
 
 def _pipeline_hits(spark, d):
     """The hits of the questions' searches in the documents that universal search puts first."""
-    cfg = SearchConfig()
-    best = cut(search.best(_universal(spark, d), 2 * cfg.top_k_docs, F.desc("score"), F.col("doc_key"))).filter("origin = 'text'")
-    hits = search.search_raw(_questions(spark, d), _index(spark, d), cfg.semantic_top_k, cfg.oversample)
-    return cut(hits.drop("rank").join(best.select("query_id", "doc_key"), ["query_id", "doc_key"]).join(_questions(spark, d), "query_id"))
+    indexed, found = _found(spark, d)
+    best = cut(search.best(_universal(spark, d, found), 2 * SearchConfig().top_k_docs, F.desc("score"), F.col("doc_key"))).filter("origin = 'text'")
+    hits = found.join(best.select("query_id", "doc_key"), ["query_id", "doc_key"])
+    return cut(hits.join(indexed.drop("vec", "doc_key"), "id").join(_questions(spark, d), "query_id"))
 
 
 @query
 def pipeline_context(spark, d):
     """Universal search, reranking and packing of a context, one after the other, for all questions."""
-    best = rerank.rerank(_pipeline_hits(spark, d), SearchConfig().top_k_docs, SearchConfig().max_chunks_per_doc)
+    best = cut(rerank.rerank(_pipeline_hits(spark, d), SearchConfig().top_k_docs, SearchConfig().max_chunks_per_doc))
     packed = cut(context.pack(context.items(best), ContextConfig()))
     return context.prompt(packed).join(packed.groupBy("query_id").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens")), "query_id")
 
@@ -637,9 +642,10 @@ def entity_index(spark, d):
 def _graph_hits(spark, d):
     """(nodes, hits of the questions in the whole graph)."""
     # each is used several times below; written once instead of planned and computed again
-    node, edge = map(cut, _graph_tables(spark, d))
-    index, contents = cut(_entity_index(spark, d)), cut(_contents(spark, d))
-    ranks = cut(graph.pagerank(node, edge))
+    node, edge = (written(x, name) for x, name in zip(_graph_tables(spark, d), ("nodes", "edges")))
+    contents = written(_contents(spark, d), "contents")
+    index = written(graph.entity_index(node.filter("type = 'document'").select("id"), contents.withColumnRenamed("content", "text")), "entities")
+    ranks = graph.pagerank(node, edge)
     return node, cut(graph_search.search(_questions(spark, d), node, edge, index, ranks, contents))
 
 

@@ -12,6 +12,7 @@ from korpusline.api import Engine
 from korpusline.config import ChunkConfig, ContextConfig
 from korpusline.functions import scan, text, vectors
 from korpusline.operators import chunking, context, entities, fields, graph, graph_search, ranking, rerank, search
+from korpusline.plans import queries as plans
 from korpusline.sources import charset, files, markup, office, sinks
 from korpusline.streaming import ingest
 
@@ -380,3 +381,76 @@ def test_long_headings_and_long_numbers(spark, monkeypatch):
     assert {r.chunk_index: r.text for r in chunking.build_chunks(rows).collect()} == whole and len(whole) > 10
     refs = rows.select(text.references("text").alias("r"), text.heading_depth("text").alias("d")).filter("d > 0").first()
     assert refs.d == 50_000 and refs.r == []
+
+
+def test_pipeline_searches_once(spark, monkeypatch):
+    """The index and the hits serve universal search and the contexts alike; without a filter no more hits are sought than are kept."""
+    made, sought = [], []
+    index, top_k = search.index, search.top_k
+    monkeypatch.setattr(search, "index", lambda *a: made.append(1) or index(*a))
+    monkeypatch.setattr(search, "top_k", lambda q, rows, k, *a, **b: sought.append(k) or top_k(q, rows, k, *a, **b))
+    assert plans.REGISTRY["pipeline_context"](spark, "/root/testdata/sf0.001").count() > 0
+    assert made == [1] and sought == [180]
+
+
+def test_fusion_of_a_document_given_twice(spark):
+    asked = spark.createDataFrame([(1, "смета бетона"), (2, None)], "query_id int, query string")
+    docs = spark.createDataFrame([("d1", "смета"), ("d1", "смета и бетон"), ("d2", "")], "doc_key string, heading_text string").withColumns({"path_text": F.lit(""), "category": F.lit("К")})
+    docs = docs.withColumn("nav_tokens", fields.nav_tokens()).withColumns({f"{x}_vec": vectors.encode(c) for x, c in (("heading", "heading_text"), ("path", "path_text"), ("category", "category"))})
+    dense = spark.createDataFrame([(1, "d1", 0.5), (1, "d2", 0.4), (1, "d3", 0.3), (2, "d1", 0.1)], "query_id int, doc_key string, dense double")
+    got = ranking.fuse(dense, asked, docs, fields.lexicon(docs), keep=("heading_text",)).collect()
+    assert sorted((r.query_id, r.doc_key, r.heading_text) for r in got if r.heading_text is not None) == [(1, "d1", "смета"), (1, "d1", "смета и бетон"), (1, "d2", ""), (2, "d1", "смета"), (2, "d1", "смета и бетон")]
+    known = {(r.query_id, r.doc_key): r.bm25 for r in ranking.bm25(asked, docs).collect()}
+    assert known and all(r.bm25 == known.get((r.query_id, r.doc_key), 0.0) for r in got)
+    # its BM25 of 0 is the largest here, as a token of all documents counts against d1
+    assert [(r.gate, r.heading_score, r.fused) for r in got if r.doc_key == "d3"] == [(1.0, 0.0, 0.8)]
+
+
+def test_graph_search_ties_go_to_the_lower_id(spark):
+    """Scores that round to the same tie, whatever the ranks behind them."""
+    rows = [(f"s{n:02}", "section", 0.5) for n in range(40)]
+    node = spark.createDataFrame(rows, "id string, type string, importance double")
+    ranks = spark.createDataFrame([(r[0], n * 1e-8) for n, r in enumerate(rows)], "id string, rank double")
+    edge = spark.createDataFrame([], "src string, dst string, rel string, weight double")
+    index, contents = spark.createDataFrame([], "kind string, value string, id string"), spark.createDataFrame([], "id string, content string")
+    asked = spark.createDataFrame([(1, "что угодно")], "query_id int, query string")
+    got = graph_search.search(asked, node, edge, index, ranks, contents).orderBy("rank_no").collect()
+    assert [r.id for r in got] == [f"s{n:02}" for n in range(10)]
+
+
+def test_graph_search_by_blocks_and_by_joins_agree(spark, monkeypatch):
+    texts = ["Договор № 7 на ГОСТ 31108-2016, «Север»\u00a0порт", "Поставка, отгрузка. ГОСТ 31108-2016", "", None, "договор " + "я" * 3000, "Кадры\tи персонал № 7"] * 4
+    node = spark.createDataFrame([(f"document::{n}", "document", None) for n in range(len(texts))] + [(f"section::{n}", "section", n / 50) for n in range(30)] + [("element::1", "table", 0.9)], "id string, type string, importance double")
+    contents = spark.createDataFrame([(f"document::{n}", t) for n, t in enumerate(texts)], "id string, content string")
+    ranks = node.select("id", F.round(F.pmod(F.hash("id"), F.lit(1000)) / 1e5, 9).alias("rank"))
+    edge = spark.createDataFrame([(f"document::{n}", f"section::{n}", "has_section", 1.0) for n in range(20)] + [("section::1", "element::1", "contains_element", 1.0)], "src string, dst string, rel string, weight double")
+    index = graph.entity_index(node, contents.withColumnRenamed("content", "text")).unionByName(spark.createDataFrame([("domain", "HR", "element::1"), ("domain", "HR", "nowhere")], "kind string, value string, id string"))
+    asked = spark.createDataFrame([(1, "Договор № 7, ГОСТ 31108-2016 и ГОСТ 5"), (2, "порт яяя яяя"), (3, "кадры № 7"), (4, None), (5, " "), (6, "север»\u00a0п поставка,")], "query_id int, query string")
+    found = lambda: graph_search.search(asked, node, edge, index, ranks, contents).select("query_id", "rank_no", "id", "graph_score", "hops", "preview")
+    blocks = sorted(map(tuple, found().collect()), key=str)
+    monkeypatch.setattr(graph_search, "BROADCAST_QUERIES", 0)
+    assert blocks == sorted(map(tuple, found().collect()), key=str)
+    assert {r[0] for r in blocks} == {1, 2, 3, 5, 6}
+
+
+def test_rounding_as_spark_does(spark):
+    values = [0.0000005, 0.1234565, 1.0000005, 0.3333335, 2.5e-7, 0.1 + 0.2, 0.14159249999999998, 123.4567895]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert list(graph_search.rounded(np.array(values), 6) / 1e6) == got
+
+
+def test_pagerank_in_few_jobs(spark, monkeypatch):
+    edge = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0), ("a", "a", 0.5), ("d", "c", 1.0), ("b", "elsewhere", 1.0), ("elsewhere", "a", 1.0)], "src string, dst string, weight double")
+    node = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    spark.sparkContext.setJobGroup("ranks", "")
+    one = {r.id: r["rank"] for r in graph.pagerank(node, edge).collect()}
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")) < 30
+    monkeypatch.setattr(graph, "CORE_ROWS", 0)
+    assert {r.id: r["rank"] for r in graph.pagerank(node, edge).collect()} == one
+    held = dict.fromkeys("abcde", 0.2)
+    p = {("a", "b"): 2 / 3, ("a", "a"): 1 / 3, ("b", "a"): 0.25, ("b", "c"): 0.5, ("d", "c"): 1.0}
+    for _ in range(20):
+        idle = (held["c"] + held["e"]) / 5
+        held = {x: 0.03 + 0.85 * (sum(held[s] * w for (s, t), w in p.items() if t == x) + idle) for x in held}
+    assert one == {x: round(v, 9) for x, v in held.items()}
