@@ -38,14 +38,18 @@ def matches(text: str | Column, *patterns: str) -> Column:
 
 def domain(text: str | Column) -> Column:
     """The first domain with a keyword in the text, as a part of any word; null without one."""
-    low = F.lower(col(text))
-    out = F.lit(None).cast("string")
-    for name, keys in reversed(DOMAINS.items()):
-        some = F.contains(low, F.lit(keys[0]))
-        for k in keys[1:]:
-            some = some | F.contains(low, F.lit(k))
-        out = F.when(some, name).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, keys in reversed(DOMAINS.items()):
+            some = F.contains(low, F.lit(keys[0]))
+            for k in keys[1:]:
+                some = some | F.contains(low, F.lit(k))
+            out = F.when(some, name).otherwise(out)
+        return out
+
+    # bound, so that the text is lower-cased once and not for every word
+    return F.transform(F.array(F.lower(col(text))), first)[0]
 
 
 def standards(text: str | Column) -> Column:
@@ -84,6 +88,12 @@ def organisations(text: str | Column) -> Column:
     return F.array_distinct(matches(text, *ORGANISATIONS, QUOTED_ORGANISATION))
 
 
+def labelled(text: str | Column) -> Column:
+    """All (kind, value) by which texts are indexed."""
+    kinds = {"object_attributes": standards(text), "identifiers": identifiers(text), "actors": organisations(text), "domain": F.array_compact(F.array(domain(text)))}
+    return F.flatten(F.array(*[F.transform(v, lambda x: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for k, v in kinds.items()]))
+
+
 def stations(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(query_id, station, place): stations of the dictionary in the query; a destination where the word for station stands before it.
 

@@ -271,9 +271,5 @@ def entity_index(node: DataFrame, texts: DataFrame) -> DataFrame:
     from korpusline.operators import entities as en
 
     rows = texts.join(node.select("id"), "id", "left_semi")
-    kinds = {"object_attributes": en.standards("text"), "identifiers": en.identifiers("text"), "actors": en.organisations("text"), "domain": F.array_compact(F.array(en.domain("text")))}
-    parts = [rows.select(F.lit(k).alias("kind"), F.explode(v).alias("value"), "id") for k, v in kinds.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    # outer, as Spark finds an exploded column twice otherwise: it first asks whether it is empty
+    return rows.select("id", F.explode_outer(en.labelled("text")).alias("x")).filter("x is not null").select("x.kind", "x.value", "id").distinct()

@@ -24,16 +24,9 @@ from korpusline.operators.search import BROADCAST_QUERIES
 KINDS = {"domain": 0.3, "object_attributes": 0.2, "actors": 0.2, "identifiers": 0.3}
 
 
-def _labelled(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
-
-
 def query_entities(queries: DataFrame) -> DataFrame:
     """(query_id, kind, value) of the queries' entities."""
-    q = F.col("query")
-    kinds = {"object_attributes": en.standards(q), "identifiers": en.identifiers(q), "actors": en.organisations(q), "domain": F.array_compact(F.array(en.domain(q)))}
-    pairs = F.flatten(F.array(*[_labelled(k, v) for k, v in kinds.items()]))
-    return queries.select("query_id", F.explode(pairs).alias("x")).select("query_id", "x.kind", "x.value").distinct()
+    return queries.select("query_id", F.explode_outer(en.labelled("query")).alias("x")).filter("x is not null").select("query_id", "x.kind", "x.value").distinct()
 
 
 def candidates(queries: DataFrame, index: DataFrame, cfg: GraphConfig = GraphConfig()) -> tuple[DataFrame, DataFrame]:

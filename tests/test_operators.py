@@ -454,3 +454,12 @@ def test_pagerank_in_few_jobs(spark, monkeypatch):
         idle = (held["c"] + held["e"]) / 5
         held = {x: 0.03 + 0.85 * (sum(held[s] * w for (s, t), w in p.items() if t == x) + idle) for x in held}
     assert one == {x: round(v, 9) for x, v in held.items()}
+
+
+def test_entities_are_found_in_one_pass(spark):
+    """Of the texts one scan, whatever the kinds; null and empty texts have none."""
+    texts = spark.createDataFrame([("a", "Договор № 5 с ООО Ток, ГОСТ 1"), ("b", None), ("c", ""), ("d", "ОТГРУЗКА")], "id string, text string")
+    index = graph.entity_index(texts.select("id"), texts)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
+    assert {(r.kind, r.value, r.id) for r in index.collect()} == {("object_attributes", "ГОСТ 1", "a"), ("identifiers", "№ 5", "a"), ("actors", "ООО Ток", "a"), ("domain", "Юристы", "a"), ("domain", "Логистика", "d")}
