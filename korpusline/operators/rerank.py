@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from korpusline.config import RerankConfig
 from korpusline.functions import text as tx
 from korpusline.functions import vectors as vc
+from korpusline.functions.session import cut
 
 BY = ["query_id", "doc_key"]
 
@@ -69,7 +70,8 @@ def rerank(hits: DataFrame, top_docs: int = 5, chunks_per_doc: int = 4, cfg: Rer
     scored = hit_scores(candidates(hits, top_docs, cfg), cfg, pair_score)
     w = Window.partitionBy(*BY)
     kept = scored.withColumn("peak", F.max("final").over(w)).filter((F.col("final") >= cfg.early_stopping) | (F.col("peak") < cfg.early_stopping))
-    top = kept.withColumn("rank", F.row_number().over(w.orderBy(F.desc("final"), "id"))).filter(F.col("rank") <= chunks_per_doc).drop("peak", "hierarchy", "coherence")
+    # read four times below, and each time planned and scored again without a cut
+    top = cut(kept.withColumn("rank", F.row_number().over(w.orderBy(F.desc("final"), "id"))).filter(F.col("rank") <= chunks_per_doc).drop("peak", "hierarchy", "coherence"))
     docs = top.groupBy(*BY).agg(F.max("final").alias("best")).join(hierarchy_score(top), BY).join(coherence(top, cfg), BY, "left")
     keyed = docs.withColumn("order_key", F.round(F.col("best") + cfg.hierarchy_weight * F.col("hierarchy") + cfg.coherence_weight * F.coalesce("coherence", F.lit(0.0)), 6))
     ranked = keyed.withColumn("doc_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("order_key"), "doc_key"))).filter(F.col("doc_rank") <= top_docs)

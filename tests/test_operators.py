@@ -463,3 +463,10 @@ def test_entities_are_found_in_one_pass(spark):
     plan = index._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "Union" not in plan
     assert {(r.kind, r.value, r.id) for r in index.collect()} == {("object_attributes", "ГОСТ 1", "a"), ("identifiers", "№ 5", "a"), ("actors", "ООО Ток", "a"), ("domain", "Юристы", "a"), ("domain", "Логистика", "d")}
+
+
+def test_rerank_scores_once(spark):
+    rows = [(1, "бетон", f"К::d{n % 3}", f"c{n}", f"бетон номер {n}.", ["1. А"], n, n, n / 10) for n in range(9)]
+    hits = spark.createDataFrame(rows, "query_id int, query string, doc_key string, id string, text string, heading_path array<string>, page_from int, page_to int, score double")
+    best = rerank.rerank(hits, 2, 2)
+    assert "ArrowEvalPython" not in best._jdf.queryExecution().optimizedPlan().toString() and best.count() == 4
